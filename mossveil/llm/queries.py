@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm import bpe, packing, tokenfile
-from mossveil.llm.common import shared_dir, table
+from mossveil.llm import bpe, chat, packing, quality, tokenfile
+from mossveil.llm.common import materialise, shared_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.sha256_of_ids("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ruled = materialise(quality.with_base_rules(docs).drop("text"))
+    return quality.judge(ruled).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = folder(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), WORDS, where, end_id=2)
@@ -36,10 +42,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hint = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hint), (-7, 1, "assistant", hint)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.chat_windows(turns))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality": quality.ORACLE,
+    "op10_chat": chat.ORACLE,
+}
