@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm import bpe, chat, packing, quality, tokenfile
+from mossveil.llm import bpe, chat, packing, quality, tokenfile, warc
 from mossveil.llm.common import materialise, shared_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), where)
+    captures = warc.assemble(warc.read_records(spark, where, payload=False))
+    field = lambda name: F.element_at("metadata.fields", name).cast("long")
+    return captures.select(
+        field("pageId").alias("page_id"),
+        F.coalesce("capture.payload_bytes", field("payloadBytes")).alias("payload_bytes"),
+        F.col("capture.digest").alias("payload_digest"),
+        F.col("capture.kind").alias("record_type"),
+        field("refersToPage").alias("refers_to"),
+    )
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hint = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hint), (-7, 1, "assistant", hint)], "conv_id long, turn long, role string, text string")
@@ -54,6 +68,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
     "op10_chat": op10_chat,
 }
 
