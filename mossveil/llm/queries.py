@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm import bpe, chat, packing, quality, tokenfile, warc
+from mossveil.llm import bpe, chat, ngrams, packing, quality, tokenfile, vectors, warc
 from mossveil.llm.common import materialise, shared_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.sha256_of_ids("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     ruled = materialise(quality.with_base_rules(docs).drop("text"))
@@ -56,6 +60,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hint = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hint), (-7, 1, "assistant", hint)], "conv_id long, turn long, role string, text string")
@@ -65,10 +73,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_vectors": op2_vectors,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
+    "op9_ngram_join": op9_ngram_join,
     "op10_chat": op10_chat,
 }
 
