@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm import bpe, chat, ngrams, packing, quality, tokenfile, vectors, warc
+from mossveil.llm import bpe, chat, lines, ngrams, packing, quality, tokenfile, vectors, warc
 from mossveil.llm.common import materialise, shared_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,11 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     ruled = materialise(quality.with_base_rules(docs).drop("text"))
@@ -74,6 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_vectors": op2_vectors,
+    "op3_lines": op3_lines,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
