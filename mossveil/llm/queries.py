@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm import bpe, chat, lines, ngrams, packing, quality, tokenfile, vectors, warc
+from mossveil.llm import bpe, chat, lines, ngrams, packing, passages, quality, tokenfile, vectors, warc
 from mossveil.llm.common import materialise, shared_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = folder(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), where)
@@ -83,6 +87,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op7_passages": op7_passages,
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_chat": op10_chat,
