@@ -38,7 +38,10 @@ def with_base_rules(df: DataFrame, text: str = "text", min_words: int = 50, max_
     )
     found = counted.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h OR x.h = get(_s, k + 1).h), x -> x.i))"))
     covered = F.expr("aggregate(_p, named_struct('e', 0, 'n', 0), (a, p) -> named_struct('e', p + 3, 'n', a.n + p + 3 - greatest(p, a.e)), a -> CAST(a.n AS BIGINT))")
-    out = found.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
+    figures = F.struct("n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
+    # Generated rather than projected: a filter on the figures must not be pushed into the expressions above, which
+    # would then be evaluated anew for every element of their arrays.
+    out = found.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(figures)).alias("_r")).select(*[F.col(f"`{c}`") for c in keep], "_r.*")
     return out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
