@@ -25,7 +25,7 @@ LABELS = {
 }
 #: Parts of pseudonyms, of this engine's own choice.
 FAMILY, GIVEN = "김 이 박 최 정 강 조 윤".split(), "가온 나래 다솜 라온 마루 보람 새롬 아람 하늘 한별".split()
-CITIES, DISTRICTS, TOWNS = "서울특별시 부산광역시 대전광역시".split(), "새봄구 한빛구 푸른구".split(), "달빛동 별빛동 솔빛동".split()
+CITIES, DISTRICTS, TOWNS = "가람특별시 누리광역시 다온광역시".split(), "새봄구 한빛구 푸른구".split(), "달빛동 별빛동 솔빛동".split()
 
 
 def resolve(text: Column, spans: Column) -> Column:

@@ -13,17 +13,26 @@ from mossveil.functions import resolve as res
 from mossveil.functions.spans import SPANS
 
 
+def fixed(df: DataFrame, name: str, value) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    It is generated rather than projected: a filter or another expression over it would else be merged with it, and
+    then evaluate it anew for every use and every element of an array.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def detect(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "raw_spans") -> DataFrame:
     """Add all spans of all detectors, in their order, overlaps included. ``None`` means the default set, an empty
     mapping no detector. Row-local: one narrow stage, whatever follows."""
     chosen = rules.DEFAULT if detectors is None else detectors
     arrays = [d(F.col(text)) for d in chosen.values()]
-    return df.withColumn(out, F.concat(*arrays) if arrays else F.array().cast(SPANS))
+    return fixed(df, out, F.concat(*arrays) if arrays else F.array().cast(SPANS))
 
 
 def scan(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "spans") -> DataFrame:
     """Add the resolved, disjoint spans of a text."""
-    return detect(df, text, detectors, "_raw").withColumn(out, res.resolve(F.col(text), F.col("_raw"))).drop("_raw")
+    return fixed(detect(df, text, detectors, "_raw"), out, res.resolve(F.col(text), F.col("_raw"))).drop("_raw")
 
 
 def anonymize(df: DataFrame, text: str = "text", strategy: str = "mask", spans: str = "spans", out: str = "anonymized", row_key: str | None = None, **options) -> DataFrame:
@@ -37,7 +46,7 @@ def anonymize(df: DataFrame, text: str = "text", strategy: str = "mask", spans:
         value = res.pseudonym(t, s, F.col(row_key) if row_key else F.xxhash64(t), **options)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    return df.withColumn(out, value)
+    return fixed(df, out, value)
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans", with_text: bool = False) -> DataFrame:

@@ -1,4 +1,295 @@
 """Registered queries of the engine and the SQL that checks them."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mossveil.functions import detectors as rules
+from mossveil.functions import resolve as res
+from mossveil.functions.spans import SPANS
+from mossveil.operators import evaluate as ev
+from mossveil.operators import limits, scan
+from mossveil.plans import corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if oracle:
+            ORACLES[name] = oracle
+        return query
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked, and what was found in each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan.anonymize(scan.scan(docs), strategy="mask")
+    return scan.summary_text(found).select("doc_id", F.size("spans").alias("n_spans"), "summary", "anonymized")
+
+
+# ---- documents -------------------------------------------------------------------------------------------------
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,63}"
+#: Cards written without separators: whole runs of 13 to 19 digits with a right Luhn digit.
+CARDS = """
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS text FROM documents),
+cards AS (SELECT doc_id, text FROM runs WHERE length(text) BETWEEN 13 AND 19 AND
+  list_sum(list_transform(range(1, length(text) + 1), lambda i:
+    CASE WHEN (length(text) - i) % 2 = 1
+         THEN (CAST(substr(text, i, 1) AS INT) * 2) // 10 + (CAST(substr(text, i, 1) AS INT) * 2) % 10
+         ELSE CAST(substr(text, i, 1) AS INT) END)) % 10 = 0)
+"""
+
+
+@register("email_spans", f"SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS text FROM documents")
+def email_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.contains("text", F.lit("@")))
+    return scan.explode_spans(scan.detect(docs, detectors={"email": rules.email}, out="spans"), "doc_id", with_text=True).select("doc_id", "text")
+
+
+@register("card_spans", f"WITH {CARDS} SELECT doc_id, text FROM cards")
+def card_spans(spark, sf_dir):
+    docs = scan.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), detectors={"card": rules.card}, out="spans")
+    return scan.explode_spans(docs, "doc_id", with_text=True).where(~F.col("text").rlike("[ .-]")).select("doc_id", "text")
+
+
+@register("email_offsets", f"""
+SELECT doc_id, CAST(strpos(text, e) - 1 AS INT) AS start, CAST(strpos(text, e) - 1 + length(e) AS INT) AS "end"
+FROM (SELECT doc_id, text, regexp_extract(text, '{EMAIL}') AS e FROM documents) WHERE e <> ''""")
+def email_offsets(spark, sf_dir):
+    docs = scan.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), detectors={"email": rules.email}, out="spans")
+    return docs.where("size(spans) > 0").select("doc_id", F.expr("spans[0].start").alias("start"), F.expr("spans[0].end").alias("end"))
+
+
+@register("kind_counts", f"""
+WITH {CARDS}, emails AS (SELECT unnest(regexp_extract_all(text, '{EMAIL}')) AS e FROM documents)
+SELECT 'email' AS kind, count(*) AS n, 1.0::DOUBLE AS min_confidence FROM emails HAVING count(*) > 0
+UNION ALL SELECT 'card', count(*), 0.95::DOUBLE FROM cards HAVING count(*) > 0""")
+def kind_counts(spark, sf_dir):
+    docs = scan.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), detectors={"email": rules.email, "card": rules.card}, out="spans")
+    found = scan.explode_spans(docs, "doc_id", with_text=True)
+    return scan.kind_counts(found.where(~((F.col("kind") == "card") & F.col("text").rlike("[ .-]"))))
+
+
+@register("masked_emails", f"""
+SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[이메일]', 'g')) AS text_sha256, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n FROM documents""")
+def masked_emails(spark, sf_dir):
+    docs = scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), detectors={"email": rules.email})
+    return scan.anonymize(docs, strategy="label").select("doc_id", F.sha2("anonymized", 256).alias("text_sha256"), F.size("spans").cast("long").alias("n"))
+
+
+@register("input_validation", "SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 1 THEN 400 WHEN length(text) > 5000 THEN 413 ELSE 200 END AS status FROM documents")
+def input_validation(spark, sf_dir):
+    return scan.validate_input(table(spark, sf_dir, "documents"), longest=5000).select("doc_id", "status")
+
+
+@register("scan_documents")
+def scan_documents(spark, sf_dir):
+    docs = scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan.explode_spans(docs, "doc_id")
+
+
+@register("pseudonymized_documents")
+def pseudonymized_documents(spark, sf_dir):
+    docs = scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan.anonymize(docs, strategy="pseudonym", row_key="doc_id").select("doc_id", "anonymized")
+
+
+# ---- constructed corpus ----------------------------------------------------------------------------------------
+def sentences(spark: SparkSession, sf_dir: str, kinds: str = "true") -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    made = spark.sql(corpus.CORPUS).where(kinds)
+    return made.select("*", F.concat("before", "value", "after").alias("text"), F.regexp_replace("kind", "_none$", "").alias("base"))
+
+
+def of_kind(kind: str) -> str:
+    return f"kind IN ('{kind}', '{kind}_none')"
+
+
+START, END = "CAST(length(before) AS INT)", "CAST(length(before) + length(value) AS INT)"
+
+
+def spans_of(kind: str) -> None:
+    sql = corpus.gold(f'SELECT k, text, {START} AS start, {END} AS "end", CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, value AS text FROM c) WHERE confidence IS NOT NULL', of_kind(kind))
+
+    @register(f"spans_{kind}", sql)
+    def query(spark, sf_dir):
+        found = scan.detect(sentences(spark, sf_dir, of_kind(kind)), detectors={kind: rules.DEFAULT[kind]}, out="spans").drop("text")
+        return scan.explode_spans(found, "k", with_text=True).select("k", "text", "start", "end", "confidence")
+
+
+for _kind in rules.DEFAULT:
+    spans_of(_kind)
+
+
+def only_own(df: DataFrame) -> DataFrame:
+    """The spans of the sentence's own kind, resolved."""
+    raw = scan.detect(df, out="_raw")
+    return scan.fixed(raw, "spans", res.resolve(F.col("text"), F.filter("_raw", lambda s: s["kind"] == F.col("base")))).drop("_raw")
+
+
+@register("mask", corpus.gold("SELECT k, kind, before || CASE WHEN confidence IS NULL THEN value ELSE repeat('*', length(value)) END || after AS anonymized FROM c"))
+def mask(spark, sf_dir):
+    return scan.anonymize(only_own(sentences(spark, sf_dir)), strategy="mask").select("k", "kind", "anonymized")
+
+
+@register("mask_keep_head", corpus.gold("SELECT k, kind, before || CASE WHEN confidence IS NULL THEN value ELSE left(value, least(2, length(value) // 2)) || repeat('#', length(value) - least(2, length(value) // 2)) END || after AS anonymized FROM c"))
+def mask_keep_head(spark, sf_dir):
+    return scan.anonymize(only_own(sentences(spark, sf_dir)), strategy="mask", char="#", keep_head=2).select("k", "kind", "anonymized")
+
+
+LABEL_CASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (res.LABELS | {"email": "MAIL"}).items()) + " END"
+
+
+@register("label", corpus.gold(f"SELECT k, kind, before || CASE WHEN confidence IS NULL THEN value ELSE '[' || {LABEL_CASE} || ']' END || after AS anonymized FROM c"))
+def label(spark, sf_dir):
+    return scan.anonymize(only_own(sentences(spark, sf_dir)), strategy="label", labels={"email": "MAIL"}).select("k", "kind", "anonymized")
+
+
+@register("label_numbered", "SELECT c_custkey AS k, 'a [이메일1] b [이메일2] c [이메일1]' || CASE WHEN c_custkey % 2 = 0 THEN ' d [이메일3]' ELSE ' d [이메일2]' END AS anonymized FROM customer")
+def label_numbered(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    mail = lambda p: F.concat(F.lit(p), k, F.lit("@example.com"))
+    text = F.concat(F.lit("a "), mail("x"), F.lit(" b "), mail("y"), F.lit(" c "), mail("x"), F.lit(" d "), F.when(F.col("c_custkey") % 2 == 0, mail("z")).otherwise(mail("y")))
+    docs = scan.scan(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("text")), detectors={"email": rules.email})
+    return scan.anonymize(docs, strategy="label", numbered=True).select("k", "anonymized")
+
+
+@register("segments", corpus.gold("""
+SELECT k, kind, false AS is_span, before AS text FROM c WHERE confidence IS NOT NULL
+UNION ALL SELECT k, kind, true, value FROM c WHERE confidence IS NOT NULL
+UNION ALL SELECT k, kind, false, after FROM c WHERE confidence IS NOT NULL
+UNION ALL SELECT k, kind, false, before || value || after FROM c WHERE confidence IS NULL"""))
+def segments(spark, sf_dir):
+    found = only_own(sentences(spark, sf_dir)).select("k", "kind", F.explode(res.segments(F.col("text"), F.col("spans"))).alias("s"))
+    return found.select("k", "kind", "s.is_span", "s.text")
+
+
+@register("pseudonym_properties", corpus.gold("SELECT kind, count(*) AS n, 0::BIGINT AS originals_left, 0::BIGINT AS still_valid FROM c WHERE confidence IS NOT NULL GROUP BY kind", "kind IN ('rrn', 'card', 'phone', 'email', 'address', 'account')"))
+def pseudonym_properties(spark, sf_dir):
+    found = only_own(sentences(spark, sf_dir, "kind IN ('rrn', 'card', 'phone', 'email', 'address', 'account')"))
+    made = scan.anonymize(found, strategy="pseudonym", row_key="k").where("confidence IS NOT NULL")
+    again = F.concat(rules.rrn(F.col("anonymized")), rules.card(F.col("anonymized")))
+    valid = F.exists(again, lambda s: (s["kind"] == F.col("base")) & ((s["kind"] == "card") | (s["confidence"] == 1.0)))
+    return made.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.contains("anonymized", F.col("value"))).alias("originals_left"), F.count_if(valid).alias("still_valid"))
+
+
+@register("name_candidates", "SELECT * FROM (VALUES ('어제 강하늘이 왔다', true), ('서류 담당자 확인', true), ('010-1234-5678', false), ('이메일', false), ('주소', false), ('plain words', false)) v(text, candidate)")
+def name_candidates(spark, sf_dir):
+    rows = [(t,) for t in ("어제 강하늘이 왔다", "서류 담당자 확인", "010-1234-5678", "이메일", "주소", "plain words")]
+    return spark.createDataFrame(rows, "text string").select("text", rules.name_candidate(F.col("text")).alias("candidate"))
+
+
+@register("strength_filter", corpus.gold("SELECT kind, count(*) FILTER (WHERE round(confidence * 100) >= 10) AS shown, count(*) FILTER (WHERE round(confidence * 100) < 90) AS hidden_at_90 FROM c WHERE confidence IS NOT NULL GROUP BY kind"))
+def strength_filter(spark, sf_dir):
+    found = scan.explode_spans(only_own(sentences(spark, sf_dir)), "k")
+    percent = F.round(F.col("confidence") * 100)
+    return found.groupBy("kind").agg(F.count_if(percent >= 10).alias("shown"), F.count_if(percent < 90).alias("hidden_at_90"))
+
+
+# ---- overlap resolution ----------------------------------------------------------------------------------------
+MADE = """SELECT l_orderkey AS doc_id, CAST(l_linenumber * 3 + l_partkey % 10 AS INT) AS start, CAST(l_linenumber * 3 + l_partkey % 10 + 1 + l_suppkey % 12 AS INT) AS "end",
+ CASE l_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind, CAST(0.5 + (l_suppkey % 5) / 10.0 AS DOUBLE) AS confidence,
+ CASE l_suppkey % 2 WHEN 0 THEN 'X' ELSE 'Y' END AS detector, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS ord FROM lineitem"""
+ISLANDS = f"""
+WITH s AS ({MADE}),
+e AS (SELECT *, max("end") OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY start, start - "end", -confidence, ord)),
+i AS (SELECT *, sum(CASE WHEN pe IS NULL OR start >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, start - "end", -confidence, ord ROWS UNBOUNDED PRECEDING) AS isl FROM e),
+r AS (SELECT *, row_number() OVER w AS rn, max(confidence) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM i WINDOW w AS (PARTITION BY doc_id, isl ORDER BY start, start - "end", -confidence, ord)),
+g AS (SELECT doc_id, isl, min(start) AS start, max("end") AS "end", max(confidence) AS confidence, max(CASE WHEN rn = 1 OR ("end" > pe AND confidence > top) THEN rn END) AS wr FROM r GROUP BY 1, 2),
+b AS (SELECT r.doc_id, r.isl, r.kind FROM r JOIN g USING (doc_id, isl) WHERE r.confidence = g.confidence QUALIFY row_number() OVER (PARTITION BY r.doc_id, r.isl ORDER BY r.rn) = 1)
+SELECT g.doc_id, g.start, g."end", b.kind, g.confidence, r.detector FROM g JOIN b USING (doc_id, isl) JOIN r ON r.doc_id = g.doc_id AND r.isl = g.isl AND r.rn = g.wr"""
+
+
+def made_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    start = (n * 3 + p % 10).cast("int")
+    kind = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (p % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 1 + s % 12).cast("int").alias("end"), kind.alias("kind"), (F.lit(0.5) + (s % 5) / F.lit(10.0)).alias("confidence"), F.when(s % 2 == 0, "X").otherwise("Y").alias("detector"), (n.cast("long") * 10_000_000_000 + p * 10_000 + s).alias("ord"))
+
+
+@register("overlap_merge", ISLANDS)
+def overlap_merge(spark, sf_dir):
+    span = F.struct("kind", "start", "end", F.lit("").alias("text"), "confidence", "detector")
+    rows = made_spans(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", span.alias("s")))), lambda x: x["s"]).cast(SPANS).alias("raw"))
+    done = rows.select("doc_id", res.resolve(F.lit(""), F.col("raw")).alias("spans"))
+    return scan.explode_spans(done, "doc_id").select("doc_id", "start", "end", "kind", "confidence", "detector")
+
+
+@register("overlap_islands", ISLANDS)
+def overlap_islands(spark, sf_dir):
+    return scan.merge_islands(made_spans(spark, sf_dir), "doc_id").select("doc_id", "start", "end", "kind", "confidence", "detector")
+
+
+# ---- evaluation ------------------------------------------------------------------------------------------------
+GOLD = f"""g AS (SELECT k AS doc_id, kind, {START} AS start, {END} AS "end", CAST(confidence AS DOUBLE) AS confidence, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'easy' ELSE 'hard' END AS difficulty FROM c WHERE confidence IS NOT NULL),
+p AS (SELECT doc_id, kind, start, CASE WHEN doc_id % 7 = 0 THEN "end" + 1 ELSE "end" END AS "end", confidence FROM g WHERE doc_id % 5 <> 0),
+j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, coalesce(g.kind, p.kind) AS kind, g.doc_id IS NOT NULL AS ing, p.doc_id IS NOT NULL AS inp, p.confidence
+      FROM (SELECT DISTINCT doc_id, kind, start, "end" FROM g) g FULL JOIN (SELECT doc_id, kind, start, "end", max(confidence) AS confidence FROM p GROUP BY ALL) p
+      ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.start = p.start AND g."end" = p."end")"""
+TALLY = "count(*) FILTER (WHERE ing AND inp) AS tp, count(*) FILTER (WHERE NOT ing) AS fp, count(*) FILTER (WHERE NOT inp) AS fn"
+PRF = """SELECT {key}, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0.0 END AS f1 FROM t"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gold spans; findings of the engine, some lost and some shifted by the key; documents."""
+    made = sentences(spark, sf_dir, "confidence IS NOT NULL")
+    level = F.when(F.col("k") % 4 == 0, F.lit(None)).when(F.col("k") % 4 == 1, "easy").otherwise("hard")
+    gold = made.select(F.col("k").alias("doc_id"), "kind", F.length("before").alias("start"), (F.length("before") + F.length("value")).alias("end"), "confidence")
+    found = scan.explode_spans(only_own(made), "k").withColumnRenamed("k", "doc_id").where("doc_id % 5 <> 0")
+    found = found.withColumn("end", F.when(F.col("doc_id") % 7 == 0, F.col("end") + 1).otherwise(F.col("end")))
+    docs = made.select(F.col("k").alias("doc_id"), level.cast("string").alias("difficulty")).distinct()
+    return gold, found, docs
+
+
+@register("prf_by_kind", corpus.gold(f"SELECT * FROM (WITH {GOLD}, t AS (SELECT coalesce(kind, '__overall__') AS kind, {TALLY} FROM j GROUP BY ROLLUP (kind)) {PRF.format(key='kind')})"))
+def prf_by_kind(spark, sf_dir):
+    gold, found, _ = judged(spark, sf_dir)
+    return ev.evaluate(gold, found)
+
+
+@register("prf_by_difficulty", corpus.gold(f"SELECT * FROM (WITH {GOLD}, t AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'unknown' WHEN doc_id % 4 = 1 THEN 'easy' ELSE 'hard' END AS difficulty, {TALLY} FROM j GROUP BY 1) {PRF.format(key='difficulty')})"))
+def prf_by_difficulty(spark, sf_dir):
+    gold, found, docs = judged(spark, sf_dir)
+    return ev.evaluate_by_difficulty(gold, found, docs)
+
+
+LEVELS = ", ".join(f"({t}::DOUBLE)" for t in ev.THRESHOLDS)
+
+
+@register("threshold_sweep", corpus.gold(f"""SELECT * FROM (WITH {GOLD}, h AS (SELECT threshold, ing, coalesce(inp AND confidence >= threshold, false) AS inp FROM j, (VALUES {LEVELS}) v(threshold)),
+t AS (SELECT threshold, {TALLY.replace('NOT ing)', 'NOT ing AND inp)').replace('NOT inp)', 'ing AND NOT inp)')} FROM h GROUP BY 1) {PRF.format(key='threshold')})"""))
+def threshold_sweep(spark, sf_dir):
+    gold, found, _ = judged(spark, sf_dir)
+    return ev.threshold_sweep(gold, found)
+
+
+@register("leak_rollup", corpus.gold("""SELECT coalesce(kind, '__overall__') AS kind, count(*) AS spans, count(*) FILTER (WHERE k % 5 = 0) AS leaks, count(*) FILTER (WHERE k % 5 = 0) AS full_leaks,
+0::BIGINT AS partial_leaks, CASE WHEN count(*) FILTER (WHERE k % 5 = 0) > 0 THEN 1.0 ELSE 0.0 END AS mean_exposed, count(*) FILTER (WHERE k % 5 = 0) / count(*) AS leak_rate
+FROM c WHERE confidence IS NOT NULL GROUP BY ROLLUP (kind)"""))
+def leak_rollup(spark, sf_dir):
+    made = only_own(sentences(spark, sf_dir, "confidence IS NOT NULL"))
+    shown = made.withColumn("spans", F.when(F.col("k") % 5 == 0, F.array().cast(SPANS)).otherwise(F.col("spans")))
+    label = F.array(F.struct(F.col("kind"), F.length("before").alias("start"), (F.length("before") + F.length("value")).alias("end")))
+    docs = scan.anonymize(shown, strategy="mask").select(F.col("k").alias("doc_id"), "text", "anonymized", label.alias("labels"))
+    return ev.leak_rollup(ev.leaks(docs))
+
+
+# ---- limits ----------------------------------------------------------------------------------------------------
+@register("rate_limit")
+def rate_limit(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return limits.rate_limit(events.withColumn("at", F.col("at") / 1e6), limit=3, window=86_400.0)
