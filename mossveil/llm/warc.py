@@ -2,13 +2,15 @@
 
 A capture is three records: a response (or a revisit of an equal payload), its request, and its metadata, of which
 the latter two name the first in WARC-Concurrent-To. Spark's text writer puts the records into files, with the
-empty lines that end a record as its separator, so files appear by Spark's commit protocol in any store. The
-reader takes whole files of bounded size and follows each record's Content-Length, whatever its payload holds.
+empty lines that end a record as its separator, so gzipped files appear by Spark's commit protocol in any store.
+The reader takes whole files of a bounded number of records and follows each record's Content-Length, whatever its
+payload holds.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -21,8 +23,8 @@ from mossveil.llm.common import slices
 CRLF = "\r\n"
 #: Digits of Spark's conv() in base 32 and the base-32 alphabet of RFC 4648.
 CONV_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Files are read whole, so they are kept about this small.
-FILE_BYTES = 32 << 20
+#: Files are read whole, so they hold this many records (three a capture) at most.
+FILE_RECORDS = 6000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -80,7 +82,7 @@ def write_warc(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: str =
     fields = F.concat_ws(CRLF, F.concat(F.lit("pageId: "), F.col("page_id").cast("string")), F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string")), F.concat(F.lit("refersToPage: "), F.when(F.col("revisit"), F.col("first").cast("string"))))
     metadata = record("metadata", rid["metadata"], {**common, **link}, "application/warc-fields", F.concat(fields, F.lit(CRLF)))
     files = p.select(F.explode(F.array(capture, request, metadata)).alias("value"))
-    files.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", 30_000).text(folder)
+    files.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(folder)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -105,9 +107,9 @@ def read_records(spark: SparkSession, folder: str, payload: bool = True) -> Data
         schema = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
         for whole in batches:
             for batch in slices(whole):
-                for content in batch.column("content").to_pylist():
-                    rows, held = [], 0
-                    for headers, block in parse_warc(content):
+                for content in batch.column("content"):
+                    content, rows, held = content.as_py(), [], 0
+                    for headers, block in parse_warc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                         kind, body, digest, size, fields = headers["warc-type"], None, None, None, None
                         if kind == "metadata":
                             fields = [tuple(s.strip() for s in x.split(":", 1)) for x in bytes(block).decode("utf-8", "replace").split(CRLF) if ":" in x]
