@@ -8,6 +8,7 @@ takes O(n log n), however long. Decoding looks every id up in the vocabulary and
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -18,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mossveil.llm.common import lists, map_arrow, rows_of
@@ -28,7 +28,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Fixed value: the split that a byte-level pre-tokenizer uses when its file names none.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered in one worker; beyond, the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -148,13 +148,20 @@ def with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), column], [*keep, name])
 
 
-def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids`` (array of int), replacing a column of that name; all other columns pass through. Row-local."""
-    schema = T.StructType([f for f in df.schema if f.name != ids]).add(ids, T.ArrayType(T.IntegerType()))
+def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", digest: str | None = None) -> DataFrame:
+    """Add ``ids`` (array of int), replacing a column of that name; all other columns pass through. Row-local.
+
+    Null and empty texts have no ids. ``digest`` names a further column for the lowercase hex SHA-256 of the ids as
+    little-endian unsigned 32-bit integers.
+    """
+    schema = T.StructType([f for f in df.schema if f.name not in (ids, digest)]).add(ids, T.ArrayType(T.IntegerType()))
+    schema = schema.add(digest, T.StringType()) if digest else schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = bpe(path)
-        return with_column(batch, ids, lists([codec.encode(t) for t in batch.column(text).to_pylist()], pa.int32()))
+        encoded = [codec.encode(t) for t in batch.column(text).to_pylist()]
+        batch = with_column(batch, ids, lists(encoded, pa.int32()))
+        return with_column(batch, digest, pa.array([hashlib.sha256(e.astype("<u4").tobytes()).hexdigest() for e in encoded], pa.string())) if digest else batch
 
     return map_arrow(df, run, schema)
 
@@ -167,11 +174,3 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
         return with_column(batch, out, bpe(path).decode(lists(rows_of(batch.column(ids)), pa.int32())))
 
     return map_arrow(df, run, schema)
-
-
-@F.arrow_udf(T.StringType())
-def sha256_of_ids(ids: pa.Array) -> pa.Array:
-    """Lowercase hex SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
-    return pa.array([hashlib.sha256(np.ascontiguousarray(r, "<u4").tobytes()).hexdigest() for r in rows_of(ids)])

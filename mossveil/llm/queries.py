@@ -21,8 +21,8 @@ def folder(spark: SparkSession, what: str) -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = bpe.bpe_decode(bpe.bpe_encode(docs, WORDS).drop("text"), WORDS)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.sha256_of_ids("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    back = bpe.bpe_decode(bpe.bpe_encode(docs, WORDS, digest="ids_sha256").drop("text"), WORDS)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
