@@ -64,7 +64,7 @@ def rrn(text: Column) -> Column:
     century = lambda m: F.when(digit(d(m), 6).isin(1, 2, 5, 6), "19").otherwise("20")
     real = F.filter(found, lambda m: real_date(F.concat(century(m), F.substring(d(m), 1, 2)), F.substring(d(m), 3, 2), F.substring(d(m), 5, 2)))
     right = lambda m: (F.lit(11) - weighted(d(m), RRN_WEIGHTS) % 11) % 10 == digit(d(m), 12)
-    return guarded(text, numbers(text, 7), F.transform(real, lambda m: span("rrn", "RRNDetector", text, m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))))
+    return guarded(text, numbers(text, 7), F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))))
 
 
 def passport(text: Column) -> Column:
@@ -72,12 +72,12 @@ def passport(text: Column) -> Column:
     found = find(text, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])")
     low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
     cued = lambda m: F.contains(F.substring(text, low(m) + 1, m["start"] - low(m)), F.lit(PASSPORT_CUE))
-    return guarded(text, text.rlike(r"(?U)[MSROD]\d{3}"), F.transform(found, lambda m: span("passport", "PassportDetector", text, m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
+    return guarded(text, text.rlike(r"(?U)[MSROD]\d{3}"), F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
 
 
 def driver_license(text: Column) -> Column:
     found = find(text, r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])")
-    return guarded(text, numbers(text, 8), F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", text, m["start"], m["end"], 0.85)))
+    return guarded(text, numbers(text, 8), F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)))
 
 
 def phone(text: Column) -> Column:
@@ -87,14 +87,14 @@ def phone(text: Column) -> Column:
     fixed = find(text, NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest)
 
     def spans(found: Column, separated: float, bare: float) -> Column:
-        return F.transform(found, lambda m: span("phone", "PhoneDetector", text, m["start"], m["end"], F.when(m["match"].rlike("[-. ]"), separated).otherwise(bare)))
+        return F.transform(found, lambda m: span("phone", "PhoneDetector", m["match"], m["start"], m["end"], F.when(m["match"].rlike("[-. ]"), separated).otherwise(bare)))
 
     return guarded(text, numbers(text, 8), F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)))
 
 
 def email(text: Column) -> Column:
     found = find(text, r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,63}")
-    return guarded(text, F.contains(text, F.lit("@")), F.transform(found, lambda m: span("email", "EmailDetector", text, m["start"], m["end"], 1.0)))
+    return guarded(text, F.contains(text, F.lit("@")), F.transform(found, lambda m: span("email", "EmailDetector", m["match"], m["start"], m["end"], 1.0)))
 
 
 #: Parts of an address behind its anchor, in order; the last three may follow a comma.
@@ -121,7 +121,7 @@ def address(text: Column) -> Column:
             parts = [F.when(group(m, k) != "", w).otherwise(0.0) for k, w in enumerate(ADDRESS_WEIGHTS.values())]
             return F.round(F.least(sum(parts, F.lit(base)), F.lit(cap)), 2)
 
-        return F.transform(found, lambda m: span("address", "AddressDetector", text, m["start"], m["end"], score(m)))
+        return F.transform(found, lambda m: span("address", "AddressDetector", m["match"], m["start"], m["end"], score(m)))
 
     alone = F.filter(city, lambda m: (group(m, 2) != "") & ~F.exists(province, lambda p: (m["start"] < p["end"]) & (m["end"] > p["start"])))
     both = F.concat(spans(province, 0.5, 1.0), spans(alone, 0.4, 0.9))
@@ -134,7 +134,7 @@ def card(text: Column) -> Column:
     found = find(text, NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER)
     d = lambda m: ascii_digits(m["match"])
     right = F.filter(found, lambda m: F.length(d(m)).between(13, 19) & F.call_function("luhn_check", d(m)))
-    return guarded(text, numbers(text, 13), F.transform(right, lambda m: span("card", "CreditCardDetector", text, m["start"], m["end"], 0.95)))
+    return guarded(text, numbers(text, 13), F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)))
 
 
 def account(text: Column) -> Column:
@@ -143,7 +143,7 @@ def account(text: Column) -> Column:
     low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
     cued = lambda m: F.substring(text, low(m) + 1, m["end"] + 15 - low(m)).rlike("|".join(ACCOUNT_CUES))
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & cued(m))
-    return guarded(text, text.rlike("|".join(ACCOUNT_CUES)), F.transform(kept, lambda m: span("account", "AccountDetector", text, m["start"], m["end"], 0.6)))
+    return guarded(text, text.rlike("|".join(ACCOUNT_CUES)), F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
 
 
 def business_registration(text: Column) -> Column:
@@ -151,35 +151,37 @@ def business_registration(text: Column) -> Column:
     d = lambda m: ascii_digits(m["match"])
     total = lambda m: weighted(d(m), BUSINESS_WEIGHTS) + F.floor(digit(d(m), 8) * 5 / 10)
     right = F.filter(found, lambda m: (F.lit(10) - total(m) % 10) % 10 == digit(d(m), 9))
-    return guarded(text, text.rlike(r"(?U)\d-\d"), F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", text, m["start"], m["end"], 1.0)))
+    return guarded(text, text.rlike(r"(?U)\d-\d"), F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)))
 
 
+#: Takes nothing, and keeps what follows, as long as the longest label word.
+AHEAD = r"(?=(?<ahead>[\s\S]{0,6}))"
 TITLE_ONLY = [t for t in TITLES if t not in HONORIFICS]
 
 
 def name(text: Column, min_confidence: float = 0.0) -> Column:
     """Names by surname and cues: 0.75 with cues on both sides, 0.5 with one."""
     pattern = (
-        rf"(?<lead>(?:(?<prefix>{longest_first(ROLES + sorted(TITLE_ONLY))})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL})"
+        rf"(?<lead>(?:(?<prefix>{longest_first(ROLES + sorted(TITLE_ONLY))})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL}){AHEAD}"
         rf"(?<name>(?:{longest_first(SURNAMES)}){HANGUL}(?:(?![{HONORIFIC_TAILS}]){HANGUL})?)"
         rf"(?:{WS}?(?<suffix>{longest_first(HONORIFICS + TITLES)}))?"
     )
-    found = find(text, pattern, ("lead", "prefix", "name", "suffix"))
+    found = find(text, pattern, ("lead", "prefix", "name", "suffix", "ahead"))
     at = lambda m: m["start"] + F.length(group(m, 0))
     prefix, called, suffix = (lambda m: group(m, 1)), (lambda m: group(m, 2)), (lambda m: group(m, 3))
-    label = lambda m: F.substring(text, at(m) + 1, 6).rlike(f"^(?:{'|'.join(LABEL_WORDS)})")
+    label = lambda m: group(m, 4).rlike(f"^(?:{'|'.join(LABEL_WORDS)})")
     only_title = lambda m: (suffix(m).isin(TITLE_ONLY) & (prefix(m) == "")) | (prefix(m).isin(TITLE_ONLY) & (suffix(m) == ""))
     department = lambda m: called(m).rlike(f"^(?:{'|'.join(DEPARTMENTS)})[{NAME_PARTICLES}]$")
     good = F.filter(found, lambda m: ~label(m) & ((prefix(m) != "") | (suffix(m) != "")) & ~(only_title(m) & ((F.length(called(m)) < 3) | department(m))))
     score = lambda m: F.when((prefix(m) != "") & (suffix(m) != ""), 0.75).otherwise(0.5)
-    spans = F.transform(F.filter(good, lambda m: score(m) >= min_confidence), lambda m: span("name", "NameDetector", text, at(m), at(m) + F.length(called(m)), score(m)))
+    spans = F.transform(F.filter(good, lambda m: score(m) >= min_confidence), lambda m: span("name", "NameDetector", called(m), at(m), at(m) + F.length(called(m)), score(m)))
     return guarded(text, text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))), spans)
 
 
 def name_candidate(text: Column) -> Column:
     """Whether a text may hold a name at all: any cue, or a surname and a syllable that begin no label word."""
-    found = find(text, f"(?:{longest_first(SURNAMES)}){HANGUL}")
-    loose = F.exists(found, lambda m: ~F.substring(text, m["start"] + 1, 6).rlike(f"^(?:{'|'.join(LABEL_WORDS)})"))
+    found = find(text, f"{AHEAD}(?:{longest_first(SURNAMES)}){HANGUL}", ("ahead",))
+    loose = F.exists(found, lambda m: ~group(m, 0).rlike(f"^(?:{'|'.join(LABEL_WORDS)})"))
     return F.coalesce(text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))) | loose, F.lit(False))
 
 
@@ -190,7 +192,7 @@ def birth_date(text: Column) -> Column:
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))
     at = lambda m: m["start"] + F.length(group(m, 0))
-    return guarded(text, text.rlike("생년월일|출생일|생일|출생년월일"), F.transform(real, lambda m: span("birth_date", "BirthDateDetector", text, at(m), m["end"], 0.9)))
+    return guarded(text, text.rlike("생년월일|출생일|생일|출생년월일"), F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)))
 
 
 #: The default set; the order breaks ties when spans overlap.

@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mossveil.functions.spans import SPANS
+from mossveil.functions.spans import SPANS, append, empty_list, items
 
 #: Labels of the kinds.
 LABELS = {
@@ -35,12 +35,13 @@ def resolve(text: Column, spans: Column) -> Column:
     it; kind and confidence are those of the surer. A span within the last leaves its detector. Touching spans stay
     apart.
     """
-    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), (-s["confidence"]).alias("unsure"), i.alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["confidence"].alias("confidence"), s["detector"].alias("detector")))
-    kept = "array<struct<kind:string,start:int,end:int,confidence:double,detector:string>>"
+    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), (-s["confidence"]).alias("unsure"), i.alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["confidence"].alias("confidence"), s["detector"].alias("detector"), s["text"].alias("text")))
+    kept = "struct<kind:string,start:int,end:int,confidence:double,detector:string,text:string>"
+    start = F.struct(F.lit(None).cast(kept).alias("last"), empty_list(kept).alias("done"))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        plain = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["detector"].alias("detector"))
+    def step(state: Column, s: Column) -> Column:
+        last = state["last"]
+        plain = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["detector"].alias("detector"), s["text"].alias("text")).cast(kept)
         surer = s["confidence"] > last["confidence"]
         joined = F.struct(
             F.when(surer, s["kind"]).otherwise(last["kind"]).alias("kind"),
@@ -48,12 +49,14 @@ def resolve(text: Column, spans: Column) -> Column:
             F.greatest(s["end"], last["end"]).alias("end"),
             F.greatest(s["confidence"], last["confidence"]).alias("confidence"),
             F.when(surer & (s["end"] > last["end"]), s["detector"]).otherwise(last["detector"]).alias("detector"),
-        )
+            F.when(s["end"] <= last["end"], last["text"]).alias("text"),  # a longer one is cut out anew
+        ).cast(kept)
         apart = last.isNull() | (s["start"] >= last["end"])
-        return F.when(apart, F.concat(done, F.array(plain))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).cast(kept)
+        done = F.when(apart & last.isNotNull(), append(state["done"], last, kept)).otherwise(state["done"])
+        return F.struct(F.when(apart, plain).otherwise(joined).alias("last"), done.alias("done"))
 
-    merged = F.aggregate(F.sort_array(keyed), F.array().cast(kept), step)
-    return F.transform(merged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), s["confidence"].alias("confidence"), s["detector"].alias("detector"))).cast(SPANS)
+    merged = F.aggregate(F.sort_array(keyed), start, step, lambda s: F.when(s["last"].isNull(), items(s["done"])).otherwise(F.concat(items(s["done"]), F.array(s["last"]))))
+    return F.transform(merged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["text"], F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("text"), s["confidence"].alias("confidence"), s["detector"].alias("detector"))).cast(SPANS)
 
 
 def first_only(spans: Column) -> Column:

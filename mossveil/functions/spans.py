@@ -30,30 +30,65 @@ def find(text: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
     safe = F.translate(text, MARK + FIELD, STAND_INS)
     fields = "".join(f"{FIELD}${{{g}}}" for g in groups)
     pieces = F.split(F.regexp_replace(safe, F.lit(f"(?U){pattern}"), F.lit(f"{MARK}$0{fields}{MARK}")), MARK, -1)
-    none = F.array().cast("array<struct<start:int,end:int,match:string,groups:array<string>>>")
-    start = F.struct(F.lit(False).alias("odd"), F.lit(0).alias("at"), none.alias("found"))
+    return let(F.transform(pieces, lambda p: F.split(p, FIELD, -1)), lambda parts: _places(parts, max(len(groups), 1)))
 
-    def step(state: Column, piece: Column) -> Column:
-        parts = F.split(piece, FIELD, -1)
-        n = F.length(F.get(parts, F.lit(0)))
-        match = F.struct(state["at"].alias("start"), (state["at"] + n).alias("end"), F.get(parts, F.lit(0)).alias("match"), F.slice(parts, 2, F.lit(len(groups) or 1)).alias("groups"))
-        return F.struct((~state["odd"]).alias("odd"), (state["at"] + n).alias("at"), F.when(state["odd"], F.concat(state["found"], F.array(match))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(pieces, start, step, lambda s: s["found"])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _places(parts: Column, groups: int) -> Column:
+    """Matches out of pieces, of which every second is one. Places are prefix sums of lengths, taken in two steps so
+    that they cost little more than linear time; a fold would copy all it has built at every step."""
+    step = 100
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    lengths = F.transform(parts, lambda p: F.length(F.get(p, F.lit(0))))
+
+    def matches(ls: Column, before: Column) -> Column:
+        chunk = lambda i: F.floor(i / step).cast("int")
+        at = lambda i: F.get(before, chunk(i)) + total(F.slice(ls, chunk(i) * step + 1, i % step))
+        one = lambda i: let(at(i), lambda a: F.struct(a.alias("start"), (a + F.get(ls, i)).alias("end"), F.get(F.get(parts, i), F.lit(0)).alias("match"), F.slice(F.get(parts, i), 2, groups).alias("groups")))
+        every = F.when(F.size(ls) > 1, F.sequence(F.lit(1), F.size(ls) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(every, one)
+
+    chunks = lambda ls: F.transform(F.sequence(F.lit(0), F.floor(F.size(ls) / step).cast("int")), lambda c: total(F.slice(ls, c * step + 1, F.lit(step))))
+    prefix = lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+    return let(lengths, lambda ls: let(let(chunks(ls), prefix), lambda before: matches(ls, before)))
+
+
+#: Lists that a fold builds are kept in chunks of so many, so that appending never copies all of a long one.
+CHUNK = 200
+
+
+def empty_list(kind: str) -> Column:
+    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("tail"))
+
+
+def append(built: Column, item: Column, kind: str) -> Column:
+    one = F.array(item).cast(f"array<{kind}>")
+    whole = F.size(built["tail"]) >= CHUNK
+    full = F.when(whole, F.concat(built["full"], F.array(built["tail"]))).otherwise(built["full"])
+    return F.struct(full.alias("full"), F.when(whole, one).otherwise(F.concat(built["tail"], one)).alias("tail"))
+
+
+def items(built: Column) -> Column:
+    return F.flatten(F.concat(built["full"], F.array(built["tail"])))
 
 
 def group(match: Column, k: int) -> Column:
     return F.get(match["groups"], F.lit(k))
 
 
-def span(kind: str, detector: str, text: Column, start: Column, end: Column, confidence: Column | float) -> Column:
+def span(kind: str, detector: str, found: Column, start: Column, end: Column, confidence: Column | float) -> Column:
     confidence = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence.cast("double")
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("text"), confidence.alias("confidence"), F.lit(detector).alias("detector"))
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), found.alias("text"), confidence.alias("confidence"), F.lit(detector).alias("detector"))
 
 
 def ascii_digits(value: Column) -> Column:
-    """Only the digits of a value, in ASCII."""
-    return F.translate(F.regexp_replace(value, r"(?U)\D", ""), "".join(DIGITS), ASCII_DIGITS)
+    """Only the digits of a value, in ASCII; the long table of other digits is consulted only where there are any."""
+    digits = F.regexp_replace(value, r"(?U)\D", "")
+    return F.when(F.length(digits) == F.octet_length(digits), digits).otherwise(F.translate(digits, "".join(DIGITS), ASCII_DIGITS))
 
 
 def digit(value: Column, place: int) -> Column:
