@@ -50,7 +50,8 @@ def host_verdicts(ruled: DataFrame, host: str = "source", max_rate: float = 0.5)
 
     The prior's mean is the corpus rate, and its strength follows from how much more the hosts' rates differ than
     chance would make them (method of moments, between 1 and 1e6 documents). Two aggregates; four numbers of the
-    second reach the driver.
+    second reach the driver. A host fails beyond ``max_rate``, or half way from the corpus rate to 1 if that is more:
+    where most documents fail everywhere, no host stands out, and its good documents stay.
     """
     hosts = ruled.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("_k"))
     hosts = materialise(hosts)
@@ -58,7 +59,8 @@ def host_verdicts(ruled: DataFrame, host: str = "source", max_rate: float = 0.5)
     k, n, square, h = hosts.agg(F.sum("_k"), F.sum("host_docs"), F.sum(F.col("_k") * F.col("_k") / F.col("host_docs")), F.count("*")).first()
     alpha, beta = beta_prior(k or 0, n or 0, square or 0.0, h)
     rate = (F.col("_k") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))
-    return hosts.select("host", "host_docs", rate.alias("host_rate"), (rate > max_rate).alias("host_failed"))
+    limit = max(max_rate, (1 + alpha / (alpha + beta)) / 2)
+    return hosts.select("host", "host_docs", rate.alias("host_rate"), (rate > limit).alias("host_failed"))
 
 
 def beta_prior(k: float, n: float, square: float, hosts: int) -> tuple[float, float]:
@@ -106,7 +108,7 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k F
 a AS (SELECT least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(k * k / n) / sum(n) AS square, count(*) / sum(n) AS share FROM h),
 s AS (SELECT mean, square - mean * mean - mean * (1 - mean) * share AS between_ FROM a),
 q AS (SELECT mean, CASE WHEN between_ > 0 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1), 1e6) ELSE 1e6 END AS strength FROM s),
-v AS (SELECT source, (k + mean * strength) / (n + strength) > 0.5 AS bad FROM h, q)
+v AS (SELECT source, (k + mean * strength) / (n + strength) > greatest(0.5, (1 + mean) / 2) AS bad FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """

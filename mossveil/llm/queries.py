@@ -95,5 +95,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_quality": quality.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op10_chat": chat.ORACLE,
 }

@@ -143,3 +143,13 @@ def assemble(records: DataFrame) -> DataFrame:
     keyed = records.select(F.when(is_capture, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"), F.struct(*cols).alias("r"), "kind", "record_id").where("capture_id IS NOT NULL")
     pick = lambda kinds: F.min_by(F.when(F.col("kind").isin(*kinds), F.col("r")), F.when(F.col("kind").isin(*kinds), F.col("record_id")))
     return keyed.groupBy("capture_id").agg(pick(["response", "revisit"]).alias("capture"), pick(["request"]).alias("request"), pick(["metadata"]).alias("metadata")).where("capture IS NOT NULL")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda k: list_reduce(list_transform(range(1, 6), lambda j: strpos('0123456789abcdef', substr(x, (5 * k + j)::INT, 1)) - 1), lambda a, b: a * 16 + b)) AS q FROM d),
+e AS (SELECT page_id, payload_bytes, array_to_string(list_transform(q, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest FROM v),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM e)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
