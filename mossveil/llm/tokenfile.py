@@ -25,7 +25,8 @@ from mossveil.llm.tokens import tokens
 #: Longest code in bits, ids to a block (documents are not split, so a longer one fills a block), ids to an offset.
 MAX_BITS, BLOCK_IDS, STRETCH = 18, 1 << 17, 256
 
-RAW = "part int, seq int, before long, doc_ids array<long>, doc_tokens array<long>, ids binary"
+#: The last row of a partition has no documents but the counts of the partition's ids.
+RAW = "part int, seq int, before long, doc_ids array<long>, doc_tokens array<long>, ids binary, used array<int>, times array<long>"
 CODED = "part int, seq int, before long, doc_ids array<long>, doc_tokens array<long>, n_ids long, offsets array<long>, bits binary"
 
 
@@ -118,15 +119,24 @@ def id_blocks(df: DataFrame, path: str, end_id: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tail = TaskContext.get().partitionId(), [] if end_id is None else [end_id]
         tail, seq, before, docs, parts, held = np.array(tail, np.int32), 0, 0, [], [], 0
+        counts = np.zeros(0, np.int64)
 
-        def block() -> pa.RecordBatch:
+        def row(ids: np.ndarray, used: np.ndarray | None = None) -> pa.RecordBatch:
             sizes = np.array([len(p) for p in parts], np.int64)
-            ids = np.concatenate(parts).astype("<i4").tobytes()
+            times = None if used is None else counts[used]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), lists([sizes], pa.int64()), pa.array([ids], pa.binary())],
-                ["part", "seq", "before", "doc_ids", "doc_tokens", "ids"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), lists([sizes], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([used], pa.list_(pa.int32())), pa.array([times], pa.list_(pa.int64()))],
+                ["part", "seq", "before", "doc_ids", "doc_tokens", "ids", "used", "times"],
             )
 
+        def block() -> pa.RecordBatch:
+            nonlocal counts
+            ids = np.concatenate(parts)
+            more = np.bincount(ids, minlength=len(counts))
+            more[: len(counts)] += counts
+            counts = more
+            return row(ids)
+
         for whole in batches:
             for batch in slices(whole):
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens(path).encode(batch.column("text").to_pylist())):
@@ -138,6 +148,8 @@ def id_blocks(df: DataFrame, path: str, end_id: int | None) -> DataFrame:
                         seq, before, docs, parts, held = seq + 1, before + held, [], [], 0
         if docs:
             yield block()
+            before, docs, parts = before + held, [], []
+        yield row(np.empty(0, np.int32), np.flatnonzero(counts))
 
     by = F.col("doc_id").asc_nulls_first()
     return df.select(F.col("doc_id").cast("long"), "text").repartitionByRange(by).sortWithinPartitions(by).mapInArrow(run, RAW)
@@ -151,17 +163,13 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int | None = Non
     """
     raw = saved(id_blocks(df, path, end_id), "ids")
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.bincount(np.concatenate([np.frombuffer(b, "<i4") for b in batch.column(0).to_pylist()]))
-        used = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], ["id", "n"])
-
     # One row for each id of the vocabulary at most, and one for each range partition.
-    found = map_arrow(raw.select("ids"), count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    sizes = raw.groupBy("part").agg(F.max(F.col("before") + F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()
-    counts = np.zeros(max([r["id"] for r in found], default=0) + 1, np.int64)
+    ends = raw.where("used IS NOT NULL")
+    found = ends.select(F.explode(F.arrays_zip("used", "times")).alias("c")).groupBy("c.used").agg(F.sum("c.times").alias("n")).collect()
+    sizes = ends.select("part", F.col("before").alias("n")).collect()
+    counts = np.zeros(max([r["used"] for r in found], default=0) + 1, np.int64)
     for r in found:
-        counts[r["id"]] = r["n"]
+        counts[r["used"]] = r["n"]
     parts = dict(sorted((r["part"], r["n"]) for r in sizes))
     shift = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist()))
     lengths = code_lengths(counts)
@@ -177,7 +185,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int | None = Non
         )
 
     spark = df.sparkSession
-    map_arrow(raw, encode, CODED).write.option("compression", "none").parquet(f"{folder}/blocks")
+    map_arrow(raw.where("used IS NULL").drop("used", "times"), encode, CODED).write.option("compression", "none").parquet(f"{folder}/blocks")
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "id int, length int").coalesce(1).write.parquet(f"{folder}/codes")
 
