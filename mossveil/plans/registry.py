@@ -278,7 +278,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 @register("leak_rollup", corpus.gold("""SELECT coalesce(kind, '__overall__') AS kind, count(*) AS spans, count(*) FILTER (WHERE k % 5 = 0) AS leaks, count(*) FILTER (WHERE k % 5 = 0) AS full_leaks,
-0::BIGINT AS partial_leaks, CASE WHEN count(*) FILTER (WHERE k % 5 = 0) > 0 THEN 1.0 ELSE 0.0 END AS mean_exposed, count(*) FILTER (WHERE k % 5 = 0) / count(*) AS leak_rate
+0::BIGINT AS partial_leaks, CASE WHEN count(*) FILTER (WHERE k % 5 = 0) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mean_exposed, count(*) FILTER (WHERE k % 5 = 0) / count(*) AS leak_rate
 FROM c WHERE confidence IS NOT NULL GROUP BY ROLLUP (kind)"""))
 def leak_rollup(spark, sf_dir):
     made = only_own(sentences(spark, sf_dir, "confidence IS NOT NULL"))

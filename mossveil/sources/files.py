@@ -29,8 +29,8 @@ def guard_path(path: str, root: str) -> str:
 def read_texts(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """``path, status, text`` of each file: one that cannot be read gets a status instead of failing the job.
 
-    Masked copies, other extensions, empty, too large and binary files (a zero byte in the first 8192) are skipped
-    with a reason; texts are UTF-8 without its mark, else taken for the Korean Windows code page.
+    Masked copies, other extensions, too large and binary files (a zero byte in the first 8192) are skipped with a
+    reason, and so are empty ones where the reader shows them (Spark's passes over them, so they have no row); texts are UTF-8 without its mark, else taken for the Korean Windows code page.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     name = F.element_at(F.split("path", "/"), -1)
