@@ -43,12 +43,16 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` over slices of bounded bytes, so that very long texts never meet in one Python list."""
+    """``mapInArrow`` over slices of bounded bytes, so that very long texts never meet in one Python list.
+
+    What Arrow has freed goes back to the system after each slice: workers outlive their stage.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = fn(part)
+                pa.default_memory_pool().release_unused()
                 if out is None:
                     continue
                 yield from out if isinstance(out, list) else [out]
