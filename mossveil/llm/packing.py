@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mossveil.llm.common import lists, map_arrow, materialise, numbered
-from mossveil.llm.tokens import tokens
+from mossveil.llm.tokens import REMEMBERED, tokens
 
 
 def binary_pieces(n: int, size: int) -> list[int]:
@@ -22,18 +22,19 @@ def binary_pieces(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << b for b in reversed(range(size.bit_length() - 1)) if n % size >> b & 1]
 
 
-def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None = 1, with_ids: bool = True) -> DataFrame:
+def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None = 1, with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of ``df`` (``doc_id``, ``text``): ``doc_id, start, length, ids_crc32, doc_tokens`` and ``ids`` if asked.
 
     Row-local. Null and empty texts consist of the end id alone (no piece if there is none); repeated rows are
-    documents of their own; other columns play no part. ``size`` is a power of two.
+    documents of their own; other columns play no part. ``size`` is a power of two. ``remembered``
+    stretches of text at most keep their ids in a worker's memory, which changes no result.
     """
     if size & (size - 1) or size < 1:
         raise ValueError("size must be a power of two")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         docs, starts, sizes, crcs, totals, pieces = [], [], [], [], [], []
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens(path).encode(batch.column("text").to_pylist())):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens(path, remembered).encode(batch.column("text").to_pylist())):
             ids = ids if end_id is None else np.append(ids, np.int32(end_id))
             at = 0
             for n in binary_pieces(len(ids), size):

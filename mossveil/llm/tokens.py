@@ -23,17 +23,18 @@ OTHERS = "!-&(-@\\[-`{-~\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7"
 PLAIN = re.compile(f"[ \n{LETTERS}{OTHERS}]*")
 #: Parts of a chunk, with the blank or line ends before them.
 PART = re.compile(f"[ \n]*[{LETTERS}]+|[ \n]*[{OTHERS}]+|[ \n]+")
-#: Stretches remembered in one worker process; beyond, the memory starts anew.
-REMEMBERED = 400_000
+#: Stretches remembered in one worker process; beyond, the memory starts anew. More costs memory, fewer CPU time.
+REMEMBERED = 600_000
 #: Signs beyond Latin-1, so in no part; one that has an id of its own stands between parts encoded together.
 MARKS = "—…”•€αя"
 
 
 class Tokens:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -99,7 +100,7 @@ class Tokens:
             index[ends[:-1]] = len(chunks) + np.arange(len(texts))
             chunks = [" " + c for c in chunks] + [chunks[i] for i in firsts]
         for memory in (self.chunks, self.parts):
-            if len(memory) > REMEMBERED:
+            if len(memory) > self.remembered:
                 memory.clear()
         known = self.chunks
         self.learn(list({c for c in chunks if c not in known}))
@@ -117,6 +118,6 @@ class Tokens:
 
 
 @functools.lru_cache(maxsize=4)
-def tokens(path: str) -> Tokens:
+def tokens(path: str, remembered: int = REMEMBERED) -> Tokens:
     """One per worker process and file."""
-    return Tokens(path)
+    return Tokens(path, remembered)
