@@ -85,3 +85,38 @@ def test_within_one_edit():
     for _ in range(500):
         a, b = ([rng.choice("ab") for _ in range(rng.randint(0, 5))] for _ in range(2))
         assert lines.within_one_edit(a, b) == (edits(a, b) < 2)
+
+
+def brute_every(rows):
+    """Every line with a word; code points of scripts without blanks are words; the earlier of a near pair may have NEAR - 1."""
+    earlier, out = [], []
+    for doc, text in sorted(rows):
+        kept, split, mine = [], text.split("\n"), []
+        for line in split:
+            w = re.findall(r"[฀-໿぀-ヿ一-鿿]|[^\x20\x09-\x0D฀-໿぀-ヿ一-鿿]+", line)
+            drop = w and any(w == o or len(w) >= lines.NEAR and len(o) >= lines.NEAR - 1 and edits(w, o) < 2 for o in earlier + mine)
+            mine.append(w)
+            if not drop:
+                kept.append(line)
+        earlier += mine
+        out.append((doc, "\n".join(kept), len(split), len(split) - len(kept)))
+    return sorted(out)
+
+
+def test_every_line_equals_brute_force(spark):
+    seven = "a b c d e f g"
+    rows = near_lines(3) + [(100, f"Read more\n{seven}\n東京都の天気は今日も晴れです\nhttp://a.b"), (101, f"Read more\n{seven} h\n東京都の天気は明日も晴れです\nhttp://a.b\n\nkept"), (102, "東京都の天気は今日も晴れです\na b c d e x g\n東京\n 東京\n")]
+    got = {r.doc_id: tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).select("doc_id", "text", "n_lines", "n_removed").collect()}
+    assert [got[d][1] for d in (101, 102)] == ["\nkept", "a b c d e x g\n東京\n"]
+    assert sorted(got.values()) == brute_every(rows)
+
+
+def test_query_and_stage_take_every_line(spark, tmp_path):
+    import corpus_pipeline
+    from mossveil.llm import queries
+
+    rows = [(1, "Read more\nfirst"), (2, "Read more\nsecond"), (3, "第二次世界大戦"), (4, "第二次世界大戦")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in queries.QUERIES["op3_lines"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == {1: "Read more\nfirst", 2: "second", 3: "第二次世界大戦"}
