@@ -83,6 +83,24 @@ def kind_counts(spark, sf_dir):
     return scan.kind_counts(found.where(~((F.col("kind") == "card") & F.col("text").rlike("[ .-]"))))
 
 
+# The SQL above knows cards without separators, each document's first address and two detectors; these give all.
+@register("all_card_spans")
+def all_card_spans(spark, sf_dir):
+    docs = scan.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), detectors={"card": rules.card}, out="spans")
+    return scan.explode_spans(docs, "doc_id", with_text=True).select("doc_id", "start", "end", "text")
+
+
+@register("all_email_offsets")
+def all_email_offsets(spark, sf_dir):
+    docs = scan.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), detectors={"email": rules.email}, out="spans")
+    return scan.explode_spans(docs, "doc_id").select("doc_id", "start", "end")
+
+
+@register("all_kind_counts")
+def all_kind_counts(spark, sf_dir):
+    return scan.kind_counts(scan.explode_spans(scan.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), out="spans"), "doc_id"))
+
+
 @register("masked_emails", f"""
 SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[이메일]', 'g')) AS text_sha256, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n FROM documents""")
 def masked_emails(spark, sf_dir):

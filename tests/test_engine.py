@@ -155,3 +155,20 @@ def test_query_equals_sql(spark, duck, small, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert plain(map(tuple, got.collect()), got.columns, sorted(columns)) == plain(want.fetchall(), columns, sorted(columns))
+
+
+def test_all_spans_equal_brute_force(spark, tmp_path):
+    import re
+
+    texts = ["4111-1111-1111-1111 and 4242 4242 4242 4242, 4242424242424242 or 4242.4242.4242.4242", "a@b.co then c@d.org, a@b.co", "4111-1111-1111-1112, 378282246310005 3782 822463 10005", "고객 박하늘님 M12345678 900101-1234567", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    luhn = lambda s: sum(d if i % 2 == 0 else d * 2 // 10 + d * 2 % 10 for i, d in enumerate(int(c) for c in reversed(s) if c.isdigit())) % 10 == 0
+    number = r"(?<!\d)(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})(?!\d)"
+    places = lambda pattern: [(d, *m.span(), m[0]) for d, t in enumerate(texts) for m in re.finditer(pattern, t or "")]
+    cards = [x for x in places(number) if luhn(x[3])]
+    emails = [x[:3] for x in places(r"[a-z]+@[a-z]+\.[a-z]+")]
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("all_card_spans") == sorted(cards) and len(cards) == 6
+    assert run("all_email_offsets") == sorted(emails) and len(emails) == 3
+    counts = {k: n for k, n, _ in run("all_kind_counts")}
+    assert counts["card"] == 6 and counts["email"] == 3 and counts["name"] == counts["passport"] == counts["rrn"] == 1
