@@ -23,47 +23,59 @@ def deal(members: DataFrame, keys: list[str], ident: str, size: int = 256) -> Da
     return dealt.withColumn("_work", F.transform(other, lambda o: F.struct(F.least("_block", o).alias("left"), F.greatest("_block", o).alias("right")))).drop("_blocks")
 
 
-def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to the rows of each group. Groups must be of bounded size; small ones share a task's batches.
+def by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.ndarray], list[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply ``fn`` to batches of whole groups, and to the bounds of the groups in them (one more than groups).
 
-    Rows are shuffled by the keys and sorted within partitions, and the stream of Arrow batches is cut where a key
-    changes, which costs far less than a call of Python per group from Spark.
+    Groups must be of bounded size. Rows are shuffled by the keys and sorted within partitions, and the stream of
+    Arrow batches is cut where a key changes, which costs far less than a call of Python per group from Spark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []
         last = None
 
+        def changes(batch: pa.RecordBatch) -> np.ndarray:
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                c = batch.column(k).to_numpy(zero_copy_only=False)
+                new[1:] |= c[1:] != c[:-1]
+            return new
+
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts:
                 whole = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-                out = fn(whole)
-                if out is not None and out.num_rows:
-                    yield out
+                bounds = np.concatenate([[0], np.flatnonzero(changes(whole)), [whole.num_rows]])
+                yield from (out for out in fn(whole, bounds) if out.num_rows)
 
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            new = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                new[1:] |= c[1:] != c[:-1]
-            first = tuple(c[0] for c in columns) if batch.num_rows else last
-            if last is not None and batch.num_rows:
-                new[0] = first != last
-            cuts = np.flatnonzero(new)
-            at = 0
-            for cut in cuts:
-                if cut > at:
-                    rest.append(batch.slice(at, cut - at))
-                yield from done(rest)
-                rest, at = [], cut
-            if batch.num_rows > at:
-                rest.append(batch.slice(at))
-                last = tuple(c[-1] for c in columns)
-        yield from done(rest)
+            if not batch.num_rows:
+                continue
+            first, new = tuple(batch.column(k)[0].as_py() for k in keys), changes(batch)
+            new[0] = last is not None and first != last
+            last = tuple(batch.column(k)[-1].as_py() for k in keys)
+            cut = int(np.flatnonzero(new)[-1]) if new.any() else None
+            if cut is None:
+                held.append(batch)
+                continue
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield from done(held)
+            held = [batch.slice(cut)]
+        yield from done(held)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``by_groups`` for one group at a time."""
+
+    def each(batch: pa.RecordBatch, bounds: np.ndarray) -> list[pa.RecordBatch]:
+        made = (fn(batch.slice(a, b - a)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        return [out for out in made if out is not None]
+
+    return by_groups(df, keys, each, schema)
+
+
 def local_roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix of links: the smallest id that each member reaches."""
     roots = ids.copy()
