@@ -2,9 +2,10 @@
 
 1. Every text gives the set of its word n-grams; texts of equal sets are one class, stood for by the smallest id.
 2. Band and row counts are chosen for the target recall at the threshold; classes meet by their band hashes.
-3. Candidates are verified in blocks (``blocks.py``). Classes that band hashes connect make a component. Where
-   comparing the whole component costs no more than comparing its buckets, it is the group to be compared, so each
-   set is sent once however many bands agree; else its buckets are, and a pair counts in its first shared band.
+3. Candidates, which are the pairs that share a band and no others, are verified in blocks (``blocks.py``). Classes
+   that band hashes connect make a component. Where comparing the whole component costs no more than comparing its
+   buckets, it is the group to be compared, so each set is sent once however many bands agree; else its buckets are,
+   and a pair counts in its first shared band. Which of the two it is changes the work, never the pairs.
 4. Verified links are summed to counts and spanning links, whose connected components are the near-duplicate groups.
 """
 
@@ -23,9 +24,14 @@ from mossveil.llm.components import components
 from mossveil.llm.shingles import BASE, U64, mix, ngram_hashes, word_hashes
 
 
-def choose_bands(threshold: float, recall: float, rows: int = 5) -> int:
-    """Bands of so many rows that a pair at the threshold shares one with at least the target recall."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+def choose_bands(threshold: float, recall: float, stray: float = 0.2) -> tuple[int, int]:
+    """Bands and their rows: the fewest rows with which a pair of half the threshold shares a band at most ``stray``
+    often, and the bands that give a pair at the threshold the target recall."""
+    for rows in range(1, 33):
+        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        if 1 - (1 - (threshold / 2) ** rows) ** bands <= stray:
+            break
+    return bands, rows
 
 
 def text_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -55,17 +61,18 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int, seed: int = 1) ->
     return [out[i] if sizes[i] else out[i, :0] for i in range(len(sets))], keys[0].view(np.int64), keys[1].view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, rows: int = 5, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, block: int = 256) -> DataFrame:
     """``doc_id, n_links, group_id, kept`` for every row of ``docs`` (``doc_id``, ``text``); other columns play no part.
 
     Two rows are linked if the Jaccard similarity of their n-gram sets is at least ``threshold``; ``n_links`` counts
     the other rows linked to a row, copies included, ``group_id`` is the smallest ``doc_id`` that links reach, and
     ``kept`` says that it is the row's own. Words are ``[^\\x20\\x09-\\x0D]+``, case kept; a text of fewer than n
     words has one n-gram of all of them. Texts without words (null, empty, blank) and rows with a null ``doc_id``
-    link with nothing (a null id has a null group and is kept). A ``doc_id`` that comes twice with one text counts
-    as two rows; every row of a kept id is kept.
+    link with nothing (a null id has a null group and is kept). A ``doc_id`` that comes twice counts as two rows, also
+    with one text; rows of one id share their group, and every row of a kept id is kept. An empty table gives no
+    rows; the set of a very long text has to fit a task, and sets are compared two blocks at a time.
     """
-    bands = choose_bands(threshold, recall, rows)
+    bands, rows = choose_bands(threshold, recall)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = text_sets(batch.column("text"), n)
@@ -112,10 +119,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
         copies = batch.column("copies").to_numpy()[at]
         meet = sides(batch.column("block").to_numpy()[at], batch.column("left")[0].as_py(), batch.column("right")[0].as_py())
         band = batch.column("band")[0].as_py()
-        if band > 0:
-            signed = np.stack(rows_of(batch.column("bands")))[at]
-            for b in range(band):  # such pairs are counted there
-                meet &= signed[:, b][:, None] != signed[:, b][None, :]
+        signed = np.stack(rows_of(batch.column("bands")))[at]
+        if band < 0:
+            shared = np.zeros(meet.shape, bool)
+            for b in range(bands):
+                shared |= signed[:, b][:, None] == signed[:, b][None, :]
+            meet &= shared
+        for b in range(band):  # such pairs are counted there
+            meet &= signed[:, b][:, None] != signed[:, b][None, :]
         size = np.array([len(s) for s in sets])
         common = intersections(sets)
         links = meet & (common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9)

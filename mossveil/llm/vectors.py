@@ -2,9 +2,9 @@
 
 Vectors are scaled to length 1, padded and rotated at random; the signs of the rotated coordinates are the code,
 and the correction factor stored with it (the inner product of the vector and its code) makes the estimate of the
-inner product with any other vector unbiased, with an error bound that falls with the code's length. Runs of code
-bits are also the hash tables in which vectors meet. Of the pairs that meet, those whose upper confidence bound
-reaches the threshold are computed exactly in double precision; only these can become links.
+inner product with any other vector unbiased, with an error bound that falls with the code's length. The signs of a
+second, longer rotation are cut into runs, the hash tables in which vectors meet. Of the pairs that meet, those whose
+upper confidence bound reaches the threshold are computed exactly in double precision; only these can become links.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossveil.llm.blocks import by_group, deal, local_roots, sides
-from mossveil.llm.common import lists, map_arrow, materialise, rows_of, saved
+from mossveil.llm.blocks import by_groups, deal, local_roots, sides
+from mossveil.llm.common import lists, map_arrow, materialise, numbered, rows_of, saved
 from mossveil.llm.components import components
 
 #: Bound of the estimate in standard errors of the code; beyond it a pair at the threshold is missed 1 time in 10^4.
@@ -33,9 +33,17 @@ def rotation(dim: int, bits: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def tables(count: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits and number of the hash tables: buckets of some 32 unrelated vectors, tables for the target recall."""
-    bits = min(max(round(math.log2(max(count, 1) / 32)), 4), 24)
+def code_width(dim: int) -> int:
+    """Bits of the code: at least 128 and twice the dimension, in whole bytes."""
+    return max(128, -(-2 * dim // 8) * 8)
+
+
+def tables(count: int, threshold: float, recall: float, bucket: int = 128) -> tuple[int, int]:
+    """Bits and number of the hash tables: buckets of some ``bucket`` unrelated vectors, tables for the target recall.
+
+    A bucket costs little more than sending its vectors, so wide buckets pay: they need fewer tables.
+    """
+    bits = min(max(round(math.log2(max(count, 1) / bucket)), 4), 24)
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
@@ -51,71 +59,85 @@ def units(rows: list[np.ndarray]) -> list[np.ndarray | None]:
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.995, block: int = 512) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``df`` (``vec_id``, ``embedding``).
+    """``vec_id, n_links, component_id, kept`` for every row of ``df`` (``vec_id``, ``embedding``); other columns play no part.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, as do rows with a
     null ``vec_id`` and vectors of different dimensions among each other. Equal vectors are one class, of which
     only the smallest id is compared. ``n_links`` counts the other rows linked directly, ``component_id`` is the
-    smallest id that links reach. The number of vectors (one count) sets the tables' bits, nothing else.
+    smallest id that links reach. A ``vec_id`` that comes twice is two rows: linked with each other if their vectors
+    are near or equal, else each with links and a component of its own. An empty table gives no rows. The number of
+    vectors (one count) sets the tables' bits, nothing else.
     """
     base = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bits, number = tables(base.count(), threshold, recall)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         vectors = units([np.asarray(r, np.float64) for r in rows_of(batch.column("embedding"))])
-        length = [max(256, 1 << math.ceil(math.log2(max(bits * number, 2 * len(v))))) if v is not None else 0 for v in vectors]
-        keys, hashes = [], []
-        for v, width in zip(vectors, length):
+        keys, hashes, codes, factors = [], [], [], []
+        for v in vectors:
             if v is None:
-                keys.append(None), hashes.append(np.empty(0, np.int64))
+                keys.append(None), hashes.append(np.empty(0, np.int64)), codes.append(None), factors.append(None)
                 continue
-            code = rotation(len(v), width) @ v >= 0
-            table = code[: bits * number].reshape(number, bits) @ (1 << np.arange(bits))
+            rotated = rotation(len(v), code_width(len(v))) @ v
+            signs = rotation(len(v), max(bits * number, len(v)), 7) @ v >= 0
+            table = signs[: bits * number].reshape(number, bits) @ (1 << np.arange(bits))
             keys.append(hashlib.md5(v.tobytes()).hexdigest())
-            hashes.append(table.astype(np.int64) + (len(v) << 32))
-        none = pa.array([k is None for k in keys])
-        return pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.string()), lists([np.empty(0) if v is None else v for v in vectors], pa.float64()), lists(hashes, pa.int64())], ["vec_id", "key", "unit", "buckets"]) if len(none) else batch
+            hashes.append(table)
+            codes.append(np.packbits(rotated >= 0).tobytes()), factors.append(float(np.abs(rotated).sum() / math.sqrt(len(rotated))))
+        vectors = lists([np.empty(0) if v is None else v for v in vectors], pa.float64())
+        return pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.string()), vectors, pa.array(codes, pa.binary()), pa.array(factors, pa.float64()), lists(hashes, pa.int32())], ["vec_id", "key", "unit", "code", "factor", "buckets"])
 
-    coded = saved(map_arrow(base, encode, "vec_id long, key string, unit array<double>, buckets array<long>"), "vectors")
+    coded = saved(map_arrow(base, encode, "vec_id long, key string, unit array<double>, code binary, factor double, buckets array<int>"), "vectors")
     linkable = coded.where("key IS NOT NULL AND vec_id IS NOT NULL")
+    # Nodes are classes, numbered in order of their smallest ids.
     classes = materialise(linkable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    firsts = linkable.join(classes.select("key", F.col("rep").alias("vec_id"), "copies"), ["key", "vec_id"])
-    members = firsts.select(F.col("vec_id").alias("rep"), F.posexplode("buckets").alias("table", "bucket")).distinct()
+    classes = materialise(numbered(classes, ["rep", "key"], "node"))
+    firsts = linkable.join(classes.select("key", F.col("rep").alias("vec_id"), "node", "copies"), ["key", "vec_id"])
+    firsts = saved(firsts.select("node", "copies", "unit", "code", "factor", "buckets"), "classes")
+    # Vectors of different dimensions never share a bucket.
+    members = firsts.select("node", F.size("unit").cast("long").alias("dim"), F.posexplode("buckets").alias("table", "run"))
+    members = members.select("node", "table", (F.col("dim") * (1 << 32) + F.col("run")).alias("bucket")).distinct()
     busy = members.groupBy("table", "bucket").count().where("count > 1").drop("count")
-    dealt = deal(members.join(busy, ["table", "bucket"], "left_semi"), ["table", "bucket"], "rep", block)
-    work = dealt.select("rep", "table", "bucket", F.col("_block").alias("block"), F.explode("_work").alias("w")).select("rep", "table", "bucket", "block", "w.left", "w.right")
-    pieces = work.join(firsts.select(F.col("vec_id").alias("rep"), "copies", "unit", "buckets"), "rep")
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        reps, at = np.unique(batch.column("rep").to_numpy(), return_index=True)
-        if len(reps) < 2:
-            return None
-        x = np.stack(rows_of(batch.column("unit")))[at]
-        buckets = np.stack(rows_of(batch.column("buckets")))[at]
-        meet = np.triu(sides(batch.column("block").to_numpy()[at], batch.column("left")[0].as_py(), batch.column("right")[0].as_py()))
-        for t in range(batch.column("table")[0].as_py()):  # such pairs are counted there
-            meet &= buckets[:, t][:, None] != buckets[:, t][None, :]
-        width = max(256, 1 << math.ceil(math.log2(max(bits * number, 2 * x.shape[1]))))
-        rotated = x @ rotation(x.shape[1], width).T
-        code = np.where(rotated >= 0, 1.0, -1.0) / math.sqrt(width)
-        factor = (code * rotated).sum(1)
-        estimate = code @ rotated.T / factor[:, None]
-        error = ERRORS * np.sqrt((1 - factor**2) / factor**2 / (width - 1))
-        i, j = np.nonzero(meet & (estimate + error[:, None] >= threshold))
-        exact = np.einsum("ij,ij->i", x[i], x[j])
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        if not len(i):
-            return None
-        links = np.zeros((len(reps), len(reps)), bool)
-        links[i, j] = links[j, i] = True
-        linked = links.any(1)
-        copies = batch.column("copies").to_numpy()[at]
-        return pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array((links * copies[None, :]).sum(1)[linked], pa.int64()), pa.array(local_roots(links, reps)[linked])], ["rep", "links", "root"])
-
-    found = materialise(by_group(pieces, ["table", "bucket", "left", "right"], verify, "rep long, links long, root long"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found, "rep", "root").select(F.col("node").alias("rep"), "root")
-    verdicts = classes.join(counts, "rep", "left").join(roots, "rep", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    dealt = deal(members.join(busy, ["table", "bucket"], "left_semi"), ["table", "bucket"], "node", block)
+    work = dealt.select("node", "table", "bucket", F.col("_block").alias("block"), F.explode("_work").alias("w")).select("node", "table", "bucket", "block", "w.left", "w.right")
+    # The runs before the table's own say which pairs have met already.
+    pieces = work.join(firsts, "node").withColumn("buckets", F.slice("buckets", F.lit(1), F.col("table")))
+
+    def verify(batch: pa.RecordBatch, bounds: np.ndarray) -> list[pa.RecordBatch]:
+        node, copies, block_of, left, right, table = (batch.column(c).to_numpy() for c in ("node", "copies", "block", "left", "right", "table"))
+        factors, codes = batch.column("factor").to_numpy(), batch.column("code").to_pylist()
+        units, runs = rows_of(batch.column("unit")), rows_of(batch.column("buckets"))
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            nodes, at = np.unique(node[a:b], return_index=True)  # repeated rows of one id count once
+            if len(nodes) < 2:
+                continue
+            at += a
+            x = np.stack([units[i] for i in at])
+            width, factor = code_width(x.shape[1]), factors[at]
+            rotated = x @ rotation(x.shape[1], width).T
+            signs = np.unpackbits(np.frombuffer(b"".join([codes[i] for i in at]), np.uint8).reshape(len(at), -1), axis=1)
+            estimate = (2.0 * signs - 1) @ rotated.T / (math.sqrt(width) * factor[:, None])
+            error = ERRORS * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / (width - 1))
+            i, j = np.nonzero(np.triu(sides(block_of[at], left[a], right[a])) & (estimate + error[:, None] >= threshold))
+            exact = np.einsum("ij,ij->i", x[i], x[j])
+            near = exact >= threshold
+            if table[a]:  # pairs that share a run of an earlier table are counted there
+                before = np.stack([runs[k] for k in at])
+                near[near] = ~(before[i[near]] == before[j[near]]).any(1)
+            i, j = i[near], j[near]
+            if not len(i):
+                continue
+            links = np.zeros((len(nodes), len(nodes)), bool)
+            links[i, j] = links[j, i] = True
+            linked = links.any(1)
+            out.append(pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array((links * copies[at][None, :]).sum(1)[linked], pa.int64()), pa.array(local_roots(links, nodes)[linked])], ["node", "links", "root"]))
+        return out
+
+    found = materialise(by_groups(pieces, ["table", "bucket", "left", "right"], verify, "node long, links long, root long"))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found, "node", "root").join(classes.select(F.col("node").alias("root"), F.col("rep").alias("low")), "root").select("node", "low")
+    verdicts = classes.join(counts, "node", "left").join(roots, "node", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
     joined = coded.select("vec_id", "key").join(verdicts, "key", "left")
     linked = F.col("key").isNotNull() & F.col("vec_id").isNotNull()
     out = joined.select("vec_id", F.when(linked, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(linked, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))

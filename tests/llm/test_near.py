@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from mossveil.llm import ngrams, vectors
 from mossveil.llm.components import components
@@ -68,8 +69,36 @@ def test_ngram_join_odd_rows(spark):
 
 
 def test_bands_reach_the_target_recall():
-    bands = ngrams.choose_bands(0.8, 0.999)
-    assert 1 - (1 - 0.8**5) ** bands >= 0.999
+    for threshold in (0.5, 0.7, 0.8, 0.95):
+        for recall in (0.9, 0.999):
+            bands, rows = ngrams.choose_bands(threshold, recall)
+            assert 1 - (1 - threshold**rows) ** bands >= recall
+            assert 1 - (1 - (threshold / 2) ** rows) ** bands <= 0.2
+
+
+def test_the_pairs_compared_are_those_that_share_a_band_however_the_work_is_dealt(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(40):
+        base = rng.choices(words, k=100)
+        for k in range(4):
+            rows.append((10 * g + k, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # At a target recall of one half, many links share no band; the operator's are exactly those that do.
+    bands, width = ngrams.choose_bands(0.8, 0.5)
+    sets = ngrams.text_sets(pa.array([t for _, t in rows]), 5)
+    signed = np.stack(ngrams.signatures(sets, bands, width)[0])
+    links, all_links = {d: 0 for d, _ in rows}, 0
+    for i in range(len(rows)):
+        for j in range(len(rows)):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            near = i != j and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
+            all_links += near
+            links[rows[i][0]] += bool(near and (signed[i] == signed[j]).any())
+    got = {r.doc_id: r.n_links for r in ngrams.near_duplicates(df, recall=0.5, block=2).collect()}
+    assert got == links and 0 < sum(links.values()) < all_links
+    assert got == {r.doc_id: r.n_links for r in ngrams.near_duplicates(df, recall=0.5).collect()}
 
 
 def brute_vectors(rows, threshold=0.9):
@@ -104,6 +133,26 @@ def test_vectors_recall_near_the_threshold_and_precision(spark):
     assert sum(got.values()) >= 0.97 * sum(n for n, _ in want.values())
 
 
+def test_vectors_recall_holds_at_several_counts(spark):
+    rng = np.random.default_rng(6)
+    for count in (500, 4000):
+        x = rng.standard_normal((count, 16))
+        y = x + 0.45 * rng.standard_normal((count, 16)) * np.linalg.norm(x, axis=1, keepdims=True) / 4
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+        want = brute_vectors(rows)
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        total = sum(n for n, _ in want.values())
+        print(f"{count} pairs: recall {sum(got.values()) / total} of {total} links, tables {vectors.tables(2 * count, 0.9, 0.995)}")
+        assert total > count / 2 and all(got[i] <= want[i][0] for i in got) and sum(got.values()) >= 0.98 * total
+
+
+def test_an_id_with_two_vectors_is_two_rows(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.1, 1.0]
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, c), (4, c), (4, c)]
+    got = sorted(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False)])
+
+
 def test_vectors_blocks_copies_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal(8)
