@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join over words.
 
-A line is dropped if an earlier line (by ``doc_id``, then line number) equals it or is within one word edit
-(insertion, deletion or substitution of a word). Two lines are within one edit if deleting at most one word from
+A line is dropped if an earlier line (by ``doc_id``, then line number) equals it, or is within one word edit
+(insertion, deletion or substitution of a word) that leaves at least ``similarity`` of the longer line. Two lines are within one edit if deleting at most one word from
 each leaves the same words; so every line gives the hashes of its variants with one word deleted, and of itself,
 and lines meet where variants are equal.
 
@@ -14,6 +14,7 @@ of any size gives no more pairs than it has lines. Word edits of all pairs found
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from mossveil.llm.common import map_arrow, materialise, numbered, saved
 from mossveil.llm.shingles import BASE, INVERSE, U64, mix, word_hashes
 
-#: Unless every line is asked for, lines of fewer than EXACT words stay; below NEAR words only equal ones go.
-EXACT, NEAR = 5, 8
 #: Scripts written without blanks, whose code points are words: Thai, Lao, Burmese, Khmer, kana and Han.
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 #: A second base, for 128-bit keys of lines.
@@ -53,10 +52,15 @@ def spread(text: str) -> str:
     return text if text.isascii() else UNSPACED.sub(r" \1 ", text)
 
 
-def words_of_lines(texts: list[str | None], every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+def least_words(similarity: float) -> int:
+    """Words of the shortest line of which one may change: 5 at 0.8."""
+    return math.ceil(1 / (1 - similarity) - 1e-9)
+
+
+def words_of_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
     """Word hashes of all lines, their start per line, lines before each text, and the lines."""
     split = [(t or "").split("\n") for t in texts]
-    words, before = word_hashes(pa.array([spread(line) if every else line for ls in split for line in ls], pa.string()))
+    words, before = word_hashes(pa.array([spread(line) for ls in split for line in ls], pa.string()))
     return words, before, np.cumsum([0, *map(len, split)]), split
 
 
@@ -115,18 +119,19 @@ def split_words(line: str) -> list[str]:
 BLANKS = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
-def line_verdicts(docs: DataFrame, every: bool = False) -> DataFrame:
+def line_verdicts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``doc_id, line_no, key`` of every line to be dropped; see ``dedup_lines``."""
+    least = least_words(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, before, at, _ = words_of_lines(batch.column("text").to_pylist(), every)
+        words, before, at, _ = words_of_lines(batch.column("text").to_pylist())
         n, k1, k2 = line_keys(words, before)
-        keep = np.flatnonzero(n >= (1 if every else EXACT))
+        keep = np.flatnonzero(n)
         docs_of = np.repeat(batch.column("doc_id").to_numpy(), np.diff(at))
         no = np.arange(len(n)) - np.repeat(at[:-1], np.diff(at))
-        near = pa.array(n[keep] < (NEAR - 1 if every else NEAR))
-        halves = [pa.array(h[keep], mask=near.to_numpy(zero_copy_only=False)) for h in half_keys(words, before)]
+        short = n[keep] < least - 1  # not even the longer line of a pair could have so few and one more
+        halves = [pa.array(h[keep], mask=short) for h in half_keys(words, before)]
         return pa.RecordBatch.from_arrays([pa.array(docs_of[keep]), pa.array(no[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(k1[keep]), pa.array(k2[keep]), *halves], ["doc_id", "line_no", "n", "k1", "k2", "h0", "h1", "h2", "h3"])
 
     signed = saved(map_arrow(texts, sign, "doc_id long, line_no int, n int, k1 long, k2 long, h0 long, h1 long, h2 long, h3 long"), "lines")
@@ -144,13 +149,13 @@ def line_verdicts(docs: DataFrame, every: bool = False) -> DataFrame:
     wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1", "hits", "line_id")).alias("_wanted"))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, before, at, split = words_of_lines(batch.column("text").to_pylist(), every)
+        words, before, at, split = words_of_lines(batch.column("text").to_pylist())
         k1 = line_keys(words, before)[1]
         ids, lines, found = [], [], []
         for i, wanted in enumerate(batch.column("_wanted").to_pylist()):
             for w in wanted:
                 if w["line_no"] < len(split[i]) and k1[at[i] + w["line_no"]] == w["k1"]:
-                    ids.append(w["line_id"]), lines.append(spread(split[i][w["line_no"]]) if every else split[i][w["line_no"]]), found.append(w["hits"])
+                    ids.append(w["line_id"]), lines.append(spread(split[i][w["line_no"]])), found.append(w["hits"])
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), pa.array(found, pa.int32())], ["line_id", "line", "hits"])
 
     near = saved(map_arrow(texts.join(wanted, "doc_id").select("text", "_wanted"), fetch, "line_id long, line string, hits int"), "near")
@@ -175,7 +180,7 @@ def line_verdicts(docs: DataFrame, every: bool = False) -> DataFrame:
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = zip(*([[w for w in split_words(line) if w] for line in batch.column(c).to_pylist()] for c in ("line", "other")))
-        ok = [len(a) >= NEAR and within_one_edit(a, b) for a, b in both]  # the other may have a word less
+        ok = [max(len(a), len(b)) >= least and within_one_edit(a, b) for a, b in both]
         return pa.RecordBatch.from_arrays([batch.column("line_id").filter(pa.array(ok, pa.bool_()))], ["line_id"])
 
     texts_of = near.select("line_id", "line")
@@ -187,18 +192,19 @@ def line_verdicts(docs: DataFrame, every: bool = False) -> DataFrame:
     return gone.select("doc_id", "line_no", F.col("k1").alias("key"))
 
 
-def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` with duplicate lines cut out of ``text``, and ``n_lines, n_removed`` added.
 
-    Lines end at ``\\n``; words are ``[^\\x20\\x09-\\x0D]+``, and lines are compared by their words. A line of at
-    least EXACT words is dropped if an earlier one has the same words, and one of at least NEAR words also if an
-    earlier one of at least NEAR words is within one word edit; other lines stay. With ``every``, a line of any words
-    is dropped if an earlier one has the same, the earlier one of a near pair may have NEAR - 1 words, and each code
-    point of a script without blanks (UNSPACED) is a word. Null texts stay null with no lines; rows with a null
-    ``doc_id`` stay as they are. Rows that repeat a document's id and text are at the same place, so neither is a
-    copy of the other. All other columns pass through, also those named like the working columns here.
+    Lines end at ``\\n``; words are ``[^\\x20\\x09-\\x0D]+``, and each code point of a script without blanks (UNSPACED)
+    is a word; lines are compared by their words. A line is dropped if an earlier one has the same words, or is within
+    one word edit, which may be at most a share of 1 - ``similarity`` of the longer of the two: at 0.8 that one has
+    five words or more, and at 0 any two lines within one edit meet, whatever their length. Lines without words stay.
+    Null texts stay null with no lines; rows with a null ``doc_id`` stay as they are. Rows that repeat a document's id
+    and text are at the same place, so neither is a copy of the other. An empty table gives no rows; very long texts
+    are taken line by line. All other columns pass through, also those named like the working columns here; columns
+    named ``n_lines`` or ``n_removed`` are replaced.
     """
-    gone = materialise(line_verdicts(docs, every)).distinct()
+    gone = materialise(line_verdicts(docs, similarity)).distinct()
     cut = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("_gone"))
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
     work = work.join(cut.withColumnRenamed("doc_id", "_id"), "_id", "left").select("_row", "text", "_gone")
@@ -208,7 +214,7 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
         total = [0 if t is None else t.count("\n") + 1 for t in texts]
         some = [i for i, g in enumerate(batch.column("_gone").is_valid().to_pylist()) if g and texts[i] is not None]
         gone = batch.column("_gone")
-        words, before, at, split = words_of_lines([texts[i] for i in some], every)
+        words, before, at, split = words_of_lines([texts[i] for i in some])
         k1 = line_keys(words, before)[1]
         for j, i in enumerate(some):
             drop = {g["line_no"] for g in gone[i].as_py() if g["line_no"] < len(split[j]) and k1[at[j] + g["line_no"]] == g["key"]}
@@ -222,7 +228,13 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     return done.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in rest], "n_lines", "n_removed")
 
 
-def keep_first_lines(docs: DataFrame, every: bool = False) -> DataFrame:
-    """``docs`` without duplicate lines; documents of which nothing but white space is left by that go."""
-    done = dedup_lines(docs, every)
-    return done.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
+def keep_first_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without duplicate lines; documents of which nothing but white space is left by that go.
+
+    Columns, null texts, null ids, repeated rows and empty tables are as with ``dedup_lines``; here a caller's
+    ``n_lines`` and ``n_removed`` stay too.
+    """
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    done = dedup_lines(docs.select("doc_id", "text", others.alias("_others")), similarity)
+    done = done.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_others.`{c}`") for c in docs.columns])

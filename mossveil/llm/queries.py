@@ -30,7 +30,7 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

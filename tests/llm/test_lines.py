@@ -7,7 +7,8 @@ from mossveil.llm import lines
 
 
 def words(line):
-    return re.findall(r"[^\x20\x09-\x0D]+", line)
+    """Words; code points of scripts without blanks are words."""
+    return re.findall(r"[฀-໿぀-ヿ一-鿿]|[^\x20\x09-\x0D฀-໿぀-ヿ一-鿿]+", line)
 
 
 def edits(a, b):
@@ -19,14 +20,15 @@ def edits(a, b):
     return row[-1]
 
 
-def brute(rows):
+def brute(rows, similarity=0.8):
     earlier, out = [], []
     for doc, text in sorted(rows):
         kept, split = [], text.split("\n")
         mine = []
         for line in split:
             w = words(line)
-            drop = len(w) >= lines.EXACT and any(w == o or len(w) >= lines.NEAR and len(o) >= lines.NEAR and abs(len(w) - len(o)) < 2 and edits(w, o) < 2 for o in earlier + mine)
+            allowed = lambda o: 1 <= (1 - similarity) * max(len(w), len(o)) + 1e-9
+            drop = w and any(w == o or o and abs(len(w) - len(o)) < 2 and allowed(o) and edits(w, o) < 2 for o in earlier + mine)
             mine.append(w)
             if not drop:
                 kept.append(line)
@@ -37,7 +39,7 @@ def brute(rows):
 
 def near_lines(seed, docs=40):
     rng = random.Random(seed)
-    pool = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 5, 7, 8, 9, 12, 20]))] for _ in range(25)]
+    pool = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 12, 20]))] for _ in range(25)]
     rows = []
     for d in range(docs):
         out = []
@@ -55,10 +57,10 @@ def near_lines(seed, docs=40):
 
 
 def test_equals_brute_force(spark):
-    for seed in (1, 2):
+    for seed, similarity in ((1, 0.8), (2, 0.0), (3, 0.9)):
         rows = near_lines(seed)
-        got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-        assert got == brute(rows)
+        got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), similarity).collect())
+        assert got == brute(rows, similarity)
 
 
 def test_equals_brute_force_on_a_table(spark, small):
@@ -74,7 +76,7 @@ def test_odd_rows_and_columns(spark):
     done = lines.dedup_lines(df)
     assert done.columns == ["doc_id", "text", "line_no", "n_lines", "n_removed"]
     got = sorted(((r.doc_id or 0, r.text, r.line_no, r.n_lines, r.n_removed) for r in done.collect()), key=repr)
-    assert got == sorted([(1, line, "a", 1, 0), (2, None, "b", 0, 0), (3, "", "c", 1, 0), (0, line, "d", 1, 0), (4, "", "e", 1, 1), (4, "", "e", 1, 1), (5, "\n\n", "f", 4, 1), (6, rows[7][1], "g", 2, 0)], key=repr)
+    assert got == sorted([(1, line, "a", 1, 0), (2, None, "b", 0, 0), (3, "", "c", 1, 0), (0, line, "d", 1, 0), (4, "", "e", 1, 1), (4, "", "e", 1, 1), (5, "\n\n", "f", 4, 1), (6, "only three words", "g", 2, 1)], key=repr)
     assert sorted((r.doc_id or 0) for r in lines.keep_first_lines(df).collect()) == [0, 1, 2, 3, 6]
     assert lines.keep_first_lines(df).columns == df.columns
     assert lines.dedup_lines(df.limit(0)).collect() == []
@@ -87,28 +89,12 @@ def test_within_one_edit():
         assert lines.within_one_edit(a, b) == (edits(a, b) < 2)
 
 
-def brute_every(rows):
-    """Every line with a word; code points of scripts without blanks are words; the earlier of a near pair may have NEAR - 1."""
-    earlier, out = [], []
-    for doc, text in sorted(rows):
-        kept, split, mine = [], text.split("\n"), []
-        for line in split:
-            w = re.findall(r"[฀-໿぀-ヿ一-鿿]|[^\x20\x09-\x0D฀-໿぀-ヿ一-鿿]+", line)
-            drop = w and any(w == o or len(w) >= lines.NEAR and len(o) >= lines.NEAR - 1 and edits(w, o) < 2 for o in earlier + mine)
-            mine.append(w)
-            if not drop:
-                kept.append(line)
-        earlier += mine
-        out.append((doc, "\n".join(kept), len(split), len(split) - len(kept)))
-    return sorted(out)
-
-
 def test_every_line_equals_brute_force(spark):
     seven = "a b c d e f g"
-    rows = near_lines(3) + [(100, f"Read more\n{seven}\n東京都の天気は今日も晴れです\nhttp://a.b"), (101, f"Read more\n{seven} h\n東京都の天気は明日も晴れです\nhttp://a.b\n\nkept"), (102, "東京都の天気は今日も晴れです\na b c d e x g\n東京\n 東京\n")]
-    got = {r.doc_id: tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True).select("doc_id", "text", "n_lines", "n_removed").collect()}
-    assert [got[d][1] for d in (101, 102)] == ["\nkept", "a b c d e x g\n東京\n"]
-    assert sorted(got.values()) == brute_every(rows)
+    rows = near_lines(4) + [(100, f"Read more\n{seven}\n東京都の天気は今日も晴れです\nhttp://a.b"), (101, f"Read more\n{seven} h\n東京都の天気は明日も晴れです\nhttp://a.b\n\nkept"), (102, "東京都の天気は今日も晴れです\na b c d e x g\n東京\n 東京\n")]
+    got = {r.doc_id: tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_removed").collect()}
+    assert [got[d][1] for d in (101, 102)] == ["\nkept", "東京\n"]
+    assert sorted(got.values()) == brute(rows)
 
 
 def test_query_and_stage_take_every_line(spark, tmp_path):
