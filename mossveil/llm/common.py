@@ -42,17 +42,20 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: T.StructType | str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: T.StructType | str, limit: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes, so that very long texts never meet in one Python list.
 
-    What Arrow has freed goes back to the system after each slice: workers outlive their stage.
+    What Arrow has freed goes back to the system after some slices: workers outlive their stage.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in batches:
-            for part in slices(batch):
-                out = fn(part)
-                pa.default_memory_pool().release_unused()
+            for part in slices(batch, limit):
+                out, done = fn(part), done + part.nbytes
+                if done >= 8 << 20 or limit >= 8 << 20:
+                    pa.default_memory_pool().release_unused()
+                    done = 0
                 if out is None:
                     continue
                 yield from out if isinstance(out, list) else [out]

@@ -19,14 +19,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossveil.llm.common import map_arrow, materialise, numbered, saved
-from mossveil.llm.shingles import BASE, INVERSE, U64, mix, word_hashes
+from mossveil.llm.shingles import BASE, INVERSE, U64, mix, repeated, text_bytes, word_hashes
 
 #: Scripts written without blanks, whose code points are words: Thai, Lao, Burmese, Khmer, kana and Han.
 UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+#: Texts are hashed by so many bytes at a time, whose arrays the processor's cache holds.
+BYTES = 1 << 19
 #: A second base, for 128-bit keys of lines.
 OTHER = U64(0xD1B54A32D192ED03)
 
@@ -57,11 +60,24 @@ def least_words(similarity: float) -> int:
     return math.ceil(1 / (1 - similarity) - 1e-9)
 
 
-def words_of_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-    """Word hashes of all lines, their start per line, lines before each text, and the lines."""
-    split = [(t or "").split("\n") for t in texts]
-    words, before = word_hashes(pa.array([spread(line) for ls in split for line in ls], pa.string()))
-    return words, before, np.cumsum([0, *map(len, split)]), split
+#: Bytes that begin the UTF-8 of a code point which UNSPACED may match.
+LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
+
+
+def words_of_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, words before each line (one more than lines), and lines before each text."""
+    texts = pc.fill_null(texts, "")
+    data, offsets = text_bytes(texts)
+    if LEADS[data].any():
+        texts = pa.array([spread(t) for t in texts.to_pylist()], pa.string())
+        data, offsets = text_bytes(texts)
+    words, _, starts = word_hashes(texts, places=True)
+    breaks = np.flatnonzero(data == 10)
+    at = np.searchsorted(breaks, offsets) + np.arange(len(texts) + 1)
+    begins = np.empty(at[-1], np.int64)
+    begins[at[:-1]] = offsets[:-1]
+    begins[np.arange(len(breaks)) + np.searchsorted(offsets, breaks, "right")] = breaks + 1
+    return words, np.append(np.searchsorted(starts, begins), len(words)), at
 
 
 def line_keys(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,45 +136,46 @@ BLANKS = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
 def line_verdicts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, line_no, key`` of every line to be dropped; see ``dedup_lines``."""
+    """``doc_id, text_id, line_no`` of every line to be dropped; see ``dedup_lines``."""
     least = least_words(similarity)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # A document is its id and the hash of its text.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, before, at, _ = words_of_lines(batch.column("text").to_pylist())
+        words, before, at = words_of_lines(batch.column("text"))
         n, k1, k2 = line_keys(words, before)
         keep = np.flatnonzero(n)
-        docs_of = np.repeat(batch.column("doc_id").to_numpy(), np.diff(at))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
         no = np.arange(len(n)) - np.repeat(at[:-1], np.diff(at))
         short = n[keep] < least - 1  # not even the longer line of a pair could have so few and one more
         halves = [pa.array(h[keep], mask=short) for h in half_keys(words, before)]
-        return pa.RecordBatch.from_arrays([pa.array(docs_of[keep]), pa.array(no[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(k1[keep]), pa.array(k2[keep]), *halves], ["doc_id", "line_no", "n", "k1", "k2", "h0", "h1", "h2", "h3"])
+        owner = owner[keep]
+        again = repeated(owner, k1[keep], k2[keep], n[keep])
+        doc_id, text_id = (pa.array(batch.column(c).to_numpy()[owner]) for c in ("doc_id", "text_id"))
+        return pa.RecordBatch.from_arrays([doc_id, text_id, pa.array(no[keep], pa.int32()), pa.array(n[keep], pa.int32()), pa.array(k1[keep]), pa.array(k2[keep]), *halves, pa.array(again)], ["doc_id", "text_id", "line_no", "n", "k1", "k2", "h0", "h1", "h2", "h3", "again"])
 
-    signed = saved(map_arrow(texts, sign, "doc_id long, line_no int, n int, k1 long, k2 long, h0 long, h1 long, h2 long, h3 long"), "lines")
+    signed = saved(map_arrow(texts, sign, "doc_id long, text_id long, line_no int, n int, k1 long, k2 long, h0 long, h1 long, h2 long, h3 long, again boolean", BYTES), "lines")
     key = ["n", "k1", "k2"]
-    # The earliest place of each line: first the earliest document, then the line in it, in plain numbers.
-    first_doc = signed.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    places = signed.join(first_doc, [*key, "doc_id"]).groupBy(*key, "doc_id").agg(F.min("line_no").alias("line_no"), *[F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")])
+    # The earliest place of each line; of its places in one document only the first is asked.
+    places = signed.where("NOT again").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min_by("text_id", "doc_id").alias("text_id"), F.min_by("line_no", "doc_id").alias("line_no"), *[F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")])
     places = materialise(places)
 
-    halves = places.where("h0 IS NOT NULL").select("doc_id", "line_no", "k1", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("side", "half"))
+    halves = places.where("h0 IS NOT NULL").select("doc_id", "text_id", "line_no", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("side", "half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
-    hits = halves.join(shared, "half", "left_semi").groupBy("doc_id", "line_no", "k1").agg(F.expr("bit_or(shiftleft(1, side))").alias("hits"))
-    hits = numbered(materialise(hits), ["doc_id", "line_no", "k1"], "line_id")
+    hits = halves.join(shared, "half", "left_semi").groupBy("doc_id", "text_id", "line_no").agg(F.expr("bit_or(shiftleft(1, side))").alias("hits"))
+    hits = numbered(materialise(hits), ["doc_id", "line_no", "text_id"], "line_id")
 
-    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1", "hits", "line_id")).alias("_wanted"))
+    wanted = hits.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("line_no", "hits", "line_id")).alias("_wanted"))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, before, at, split = words_of_lines(batch.column("text").to_pylist())
-        k1 = line_keys(words, before)[1]
         ids, lines, found = [], [], []
-        for i, wanted in enumerate(batch.column("_wanted").to_pylist()):
+        for text, wanted in zip(batch.column("text"), batch.column("_wanted").to_pylist()):
+            split = text.as_py().split("\n")
             for w in wanted:
-                if w["line_no"] < len(split[i]) and k1[at[i] + w["line_no"]] == w["k1"]:
-                    ids.append(w["line_id"]), lines.append(spread(split[i][w["line_no"]])), found.append(w["hits"])
+                ids.append(w["line_id"]), lines.append(spread(split[w["line_no"]])), found.append(w["hits"])
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), pa.array(found, pa.int32())], ["line_id", "line", "hits"])
 
-    near = saved(map_arrow(texts.join(wanted, "doc_id").select("text", "_wanted"), fetch, "line_id long, line string, hits int"), "near")
+    near = saved(map_arrow(texts.join(wanted, ["doc_id", "text_id"]).select("text", "_wanted"), fetch, "line_id long, line string, hits int").dropDuplicates(["line_id"]), "near")
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, before = word_hashes(batch.column("line"))
@@ -186,10 +203,11 @@ def line_verdicts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     texts_of = near.select("line_id", "line")
     both = pairs.join(texts_of, "line_id").join(texts_of.select(F.col("line_id").alias("partner"), F.col("line").alias("other")), "partner")
     edited = map_arrow(both.select("line_id", "line", "other"), verify, "line_id long").distinct()
-    late = hits.join(edited, "line_id", "left_semi").select("doc_id", "line_no", "k1", F.lit(True).alias("late"))
-    firsts = places.select(*key, F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_no")).join(late.select(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_no"), "k1", "late"), ["first_doc", "first_no", "k1"], "left")
-    gone = signed.select("doc_id", "line_no", *key).join(firsts, key).where("late OR doc_id <> first_doc OR line_no <> first_no")
-    return gone.select("doc_id", "line_no", F.col("k1").alias("key"))
+    late = hits.join(edited, "line_id", "left_semi").select("doc_id", "text_id", "line_no", F.lit(True).alias("late"))
+    firsts = places.select(*key, "doc_id", "text_id", "line_no").join(late, ["doc_id", "text_id", "line_no"], "left")
+    first = F.struct("doc_id", "text_id", "line_no")
+    gone = signed.select(*key, first.alias("place")).join(firsts.select(*key, first.alias("first"), "late"), key).where("late OR place <> first")
+    return gone.select("place.*")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -200,26 +218,23 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     one word edit, which may be at most a share of 1 - ``similarity`` of the longer of the two: at 0.8 that one has
     five words or more, and at 0 any two lines within one edit meet, whatever their length. Lines without words stay.
     Null texts stay null with no lines; rows with a null ``doc_id`` stay as they are. Rows that repeat a document's id
-    and text are at the same place, so neither is a copy of the other. An empty table gives no rows; very long texts
+    and text are at the same place, so neither is a copy of the other; of rows that share an id but not the text, which place of a line is its first is open. An empty table gives no rows; very long texts
     are taken line by line. All other columns pass through, also those named like the working columns here; columns
     named ``n_lines`` or ``n_removed`` are replaced.
     """
     gone = materialise(line_verdicts(docs, similarity)).distinct()
-    cut = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "key")).alias("_gone"))
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
-    work = work.join(cut.withColumnRenamed("doc_id", "_id"), "_id", "left").select("_row", "text", "_gone")
+    cut = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).agg(F.collect_list("line_no").alias("_gone"))
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text_id"), "text")
+    work = work.join(cut, ["_id", "_text_id"], "left").select("_row", "text", "_gone")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int64)
         total = [0 if t is None else t.count("\n") + 1 for t in texts]
-        some = [i for i, g in enumerate(batch.column("_gone").is_valid().to_pylist()) if g and texts[i] is not None]
-        gone = batch.column("_gone")
-        words, before, at, split = words_of_lines([texts[i] for i in some])
-        k1 = line_keys(words, before)[1]
-        for j, i in enumerate(some):
-            drop = {g["line_no"] for g in gone[i].as_py() if g["line_no"] < len(split[j]) and k1[at[j] + g["line_no"]] == g["key"]}
-            texts[i] = "\n".join(line for k, line in enumerate(split[j]) if k not in drop)
-            removed[i] = len(drop)
+        for i, gone in enumerate(batch.column("_gone")):
+            if gone.is_valid and texts[i] is not None:
+                drop, split = set(gone.as_py()), texts[i].split("\n")
+                texts[i] = "\n".join(line for k, line in enumerate(split) if k not in drop)
+                removed[i] = len(drop)
         return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed)], ["_row", "text", "n_lines", "n_removed"])
 
     row = work.schema["_row"].dataType.simpleString()

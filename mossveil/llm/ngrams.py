@@ -80,7 +80,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(k1), pa.array(k2), lists(signed, pa.int64())], ["doc_id", "size", "k1", "k2", "bands"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(map_arrow(texts, sign, "doc_id long, size int, k1 long, k2 long, bands array<long>"), "signatures")
+    signed = saved(map_arrow(texts, sign, "doc_id long, size int, k1 long, k2 long, bands array<long>", 1 << 20), "signatures")
     linkable = signed.where("size > 0 AND doc_id IS NOT NULL")
     key = ["size", "k1", "k2"]
     classes = materialise(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))

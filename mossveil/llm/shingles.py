@@ -22,12 +22,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, start and end of each word (``[^\\x20\\x09-\\x0D]+``) in them, and words before each text."""
+def repeated(*keys: np.ndarray) -> np.ndarray:
+    """Whether an earlier row has the same keys."""
+    order = np.lexsort(keys[::-1])  # stable: equal rows stay in order
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    return again
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, nulls being empty, and the bytes before each text (one more than texts)."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, start and end of each word (``[^\\x20\\x09-\\x0D]+``) in them, and words before each text."""
+    data, offsets = text_bytes(texts)
     inside = (data != 32) & ((data < 9) | (data > 13))
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -39,11 +52,14 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the number of words before each text (one more than texts)."""
+def word_hashes(texts: pa.Array, places: bool = False) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of each word, and the number of words before each text (one more than texts).
+
+    With ``places`` also the byte of all texts at which each word starts.
+    """
     data, starts, ends, before = word_spans(texts)
     if not len(starts):
-        return np.empty(0, U64), before
+        return (np.empty(0, U64), before, starts)[: 2 + places]
     with np.errstate(over="ignore"):
         powers = np.full(len(data), BASE)
         powers[0] = 1
@@ -53,7 +69,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         back = np.cumprod(back, dtype=U64)
         sums = np.zeros(len(data) + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * powers, dtype=U64, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64)), before
+        return (mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64)), before, starts)[: 2 + places]
 
 
 def ngram_hashes(words: np.ndarray, before: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
