@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mossveil.llm.common import materialise, numbered, saved
+
 #: The template: HEAD role SEP text END for each turn. Escaped texts hold no "#" and no "<".
 HEAD, SEP, END = "### ", ": ", "</turn>\n"
-#: Turns whose prefix sums are taken together; sums of the blocks follow in a second step.
+#: Turns, by their places in order, whose prefix sums are taken together; sums of the blocks follow in a second step.
 BLOCK = 256
 
 
@@ -35,46 +37,56 @@ def unescape_role(role: Column) -> Column:
 
 
 def turn_tokens(text: Column) -> Column:
-    """Words of the text, and two for the marks of its turn."""
-    return F.size(F.filter(F.split(text, "[ \t\n\x0b\x0c\r]+"), lambda w: w != "")).cast("long") + 2
+    """An estimate: words of the text, or a quarter of its bytes if that is more (texts without blanks are not one
+    token), and two for the marks of its turn."""
+    words = F.size(F.filter(F.split(text, "[ \t\n\x0b\x0c\r]+"), lambda w: w != "")).cast("long")
+    return F.greatest(words, F.ceil(F.octet_length(text) / 4)) + 2
 
 
-def chat_windows(df: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
+def chat_windows(df: DataFrame, budget: int = 2048, history: int = 256, tokens: str | None = None) -> DataFrame:
     """``conv_id, window, n_repeated, text, loss`` (array of start and end, code points from 0), ``n_tokens``.
 
-    ``df`` has ``conv_id, turn, role, text``; other columns play no part. Turns are in order of ``turn`` (nulls
-    first), then role and text; repeated rows are turns of their own. Null roles and texts are empty; a null
-    ``conv_id`` is a conversation. A window holds at most ``budget`` tokens unless a single turn, or the system
-    turn, is longer than its share. Very long conversations are summed by blocks of turns, never in one task.
+    ``df`` has ``conv_id, turn, role, text``, and a column of token counts if ``tokens`` names one (null: none), else
+    they are estimated; other columns play no part. Turns are in order of ``turn`` (nulls first), then role and MD5
+    of the text; repeated rows are turns of their own. Null roles and texts are empty; a null ``conv_id`` is a
+    conversation; an empty table gives no rows. A window holds at most ``budget`` tokens unless a single turn, or the
+    system turn, is longer than its share; a very long turn is a window by itself, never cut. Windows are planned on
+    ids and counts alone, by blocks of turns and never in one task, and texts are joined once to the finished plan.
     """
-    turns = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = turns.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    count = turn_tokens(F.coalesce("text", F.lit(""))) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))
+    texts = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), count.alias("tokens"))
+    texts = saved(texts.withColumn("tie", F.md5("text")).withColumn("row_id", F.monotonically_increasing_id()), "turns")
     same = lambda a, b, *on: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on]
+    turns = numbered(texts.drop("text"), ["conv_id", "turn", "role", "tie", "row_id"], "place")
+    turns = turns.select("conv_id", "row_id", "tokens", (F.col("role") == "system").alias("system"), "place", F.floor(F.col("place") / BLOCK).alias("block"))
     blocks = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("conv_id", "block", before.alias("before"))
-    within = W.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("conv_id", "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     turns = turns.withColumn("within", F.sum("tokens").over(within) - F.col("tokens"))
-    turns = turns.alias("t").join(blocks.alias("b"), same("t", "b", "conv_id", "block")).select("t.conv_id", "role", "text", "tokens", (F.col("within") + F.col("before")).alias("start"))
+    turns = turns.alias("t").join(blocks.alias("b"), same("t", "b", "conv_id", "block")).select("t.conv_id", "row_id", "tokens", "system", (F.col("within") + F.col("before")).alias("start"))
+    turns = materialise(turns)
 
-    system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min("start").alias("s_start"), F.min_by(F.struct("text", "tokens"), "start").alias("s"))
-    turns = turns.alias("t").join(system.alias("s"), same("t", "s", "conv_id"), "left").select("t.*", "s_start", F.coalesce("s.s.tokens", F.lit(0)).alias("s_tokens"))
+    system = turns.where("system").groupBy("conv_id").agg(F.min("start").alias("s_start"), F.min_by("tokens", "start").alias("s_tokens"), F.min_by("row_id", "start").alias("s_row"))
+    turns = turns.alias("t").join(system.alias("s"), same("t", "s", "conv_id"), "left").select("t.*", "s_start", "s_row", F.coalesce("s_tokens", F.lit(0)).alias("s_tokens"))
     # A turn belongs where it ends; as it is at most as long as a stride, a window has less than two strides.
     stride = F.greatest((budget - history - F.col("s_tokens")) / 2, F.lit(budget / 8)).cast("long")
-    turns = turns.withColumn("window", F.floor((F.col("start") + F.col("tokens") - 1) / stride))
+    turns = materialise(turns.withColumn("window", F.floor((F.col("start") + F.col("tokens") - 1) / stride)).drop("s_tokens"))
 
-    windows = turns.groupBy("conv_id", "window").agg(F.min("start").alias("first"))
+    # The system turn leads every window after its own; s_window is set in its own row alone.
+    own = F.max(F.when(F.col("row_id") == F.col("s_row"), F.col("window")))
+    windows = turns.groupBy("conv_id", "window").agg(F.min("start").alias("first"), F.min("s_row").alias("s_row"), own.alias("s_window"))
     along = W.partitionBy("conv_id").orderBy("window")
     windows = windows.withColumn("next", F.lead("window").over(along)).withColumn("next_first", F.lead("first").over(along))
+    windows = windows.withColumn("led", F.max("s_window").over(along.rowsBetween(W.unboundedPreceding, -1)).isNotNull())
+    windows = materialise(windows.drop("s_window"))
     placed = turns.alias("t").join(windows.alias("w"), same("t", "w", "conv_id", "window"))
     again = F.col("next").isNotNull() & (F.col("next_first") - F.col("start") <= history) & ~F.col("start").eqNullSafe(F.col("s_start"))
     where = F.array_compact(F.array(F.struct(F.col("t.window").alias("window"), F.lit(False).alias("again")), F.when(again, F.struct(F.col("next").alias("window"), F.lit(True).alias("again")))))
-    placed = placed.select("t.conv_id", "role", "text", "tokens", "start", F.explode(where).alias("at")).select("conv_id", "at.window", "at.again", "start", "role", "text", "tokens")
-    own = turns.where("start = s_start").select("conv_id", F.col("window").alias("s_window"))
-    lead = system.alias("s").join(own.alias("o"), same("s", "o", "conv_id")).select("s.conv_id", "s.s", "o.s_window")
-    lead = windows.alias("w").join(lead.alias("s"), same("w", "s", "conv_id")).where("window > s_window").select("w.conv_id", "window", F.lit(True).alias("again"), F.lit(-1).cast("long").alias("start"), F.lit("system").alias("role"), "s.s.text", "s.s.tokens")
-
-    rows = placed.unionByName(lead).select("conv_id", "window", F.struct("start", "again", "role", F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit(SEP)).alias("head"), escape(F.col("text")).alias("body"), "tokens").alias("turn"))
+    placed = placed.select("t.conv_id", "row_id", "start", F.explode(where).alias("at")).select("conv_id", "at.window", "at.again", "start", "row_id")
+    lead = windows.where("led").select("conv_id", "window", F.lit(True).alias("again"), F.lit(-1).cast("long").alias("start"), F.col("s_row").alias("row_id"))
+    rows = placed.unionByName(lead).join(texts.select("row_id", "role", "text", "tokens"), "row_id")
+    rows = rows.select("conv_id", "window", F.struct("start", "again", "role", F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit(SEP)).alias("head"), escape(F.col("text")).alias("body"), "tokens").alias("turn"))
     grouped = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     length = F.expr(f"transform(turns, x -> length(x.head) + length(x.body) + {len(END)})")
     ends = grouped.withColumn("_n", length).withColumn("_at", F.expr("transform(sequence(1, size(_n)), i -> aggregate(slice(_n, 1, i - 1), 0, (a, x) -> a + x))"))
@@ -108,8 +120,8 @@ def read_back(windows: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
-t1 AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 AS tokens FROM t0),
-t2 AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - tokens AS start,
+t1 AS (SELECT *, greatest(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), (strlen(text) + 3) // 4) + 2 AS tokens FROM t0),
+t2 AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING) - tokens AS start,
               4 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + 2 + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + 8 AS chars FROM t1),
 sys AS (SELECT conv_id, min(start) AS s_start, arg_min(tokens, start) AS s_tokens, arg_min(chars, start) AS s_chars FROM t2 WHERE role = 'system' GROUP BY 1),
 t3 AS (SELECT t2.*, s_start, floor((start + tokens - 1) / floor(greatest((2048 - 256 - coalesce(s_tokens, 0)) / 2, 256))) AS win

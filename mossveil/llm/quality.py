@@ -2,15 +2,16 @@
 
 Each document gets the figures of the base rules from its whole text. Failures are then counted by host; a host's
 failure rate is shrunk towards the corpus by a beta prior whose mean and strength are fitted to all hosts, so that
-a host of few documents is not condemned by one of them; documents of a host beyond ``max_rate`` go as well.
+a host of few documents is not condemned by one of them. Documents of a host go as well if even the lower bound of
+its rate stands clear of the corpus: if the odds of failing are ``lift`` times those of the prior's mean there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossveil.llm.common import materialise
+from mossveil.llm.common import materialise, saved
 
 #: White space between words: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,18 +19,35 @@ SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+#: Failing hosts are broadcast if there are no more than these, some 10 MB.
+BROADCAST_HOSTS = 100_000
+
+
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The caller's columns in one struct, where they clash with no working column."""
+    return F.struct(*[column(c) for c in df.columns if c not in without])
+
+
+def from_row(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("_row")[c].alias(c) for c in df.columns if c not in without]
+
+
 def with_base_rules(df: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Add the figures of BASE and ``base_failed``; other columns pass through (those of these names are replaced).
 
     Null and empty texts have no words, so they fail. Repeated 3-word windows are found by their 64-bit hashes,
-    sorted within the row; no shuffle takes place.
+    sorted within the row, so a very long text takes n log n; no shuffle takes place. Repeated rows are judged one
+    by one, and an empty table gives no rows.
     """
-    keep = [c for c in df.columns if c not in (*BASE, "base_failed")]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = df.select(*[F.col(f"`{c}`") for c in keep], t.alias("_t")).withColumn("_w", F.filter(F.split("_t", "[ \t\n\x0b\x0c\r]+"), lambda w: w != ""))
+    new = (*BASE, "base_failed")
+    words = df.select(as_row(df, new).alias("_row"), F.coalesce(column(text), F.lit("")).alias("_t")).withColumn("_w", F.filter(F.split("_t", "[ \t\n\x0b\x0c\r]+"), lambda w: w != ""))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     counted = words.select(
-        *[F.col(f"`{c}`") for c in keep],
+        "_row",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -41,26 +59,29 @@ def with_base_rules(df: DataFrame, text: str = "text", min_words: int = 50, max_
     figures = F.struct("n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
     # Generated rather than projected: a filter on the figures must not be pushed into the expressions above, which
     # would then be evaluated anew for every element of their arrays.
-    out = found.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(figures)).alias("_r")).select(*[F.col(f"`{c}`") for c in keep], "_r.*")
-    return out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+    out = found.select("_row", F.explode(F.array(figures)).alias("_r"))
+    failed = (F.col("_r.n_words") < min_words) | (100 * F.col("_r.n_repeat_words") > max_repeat_percent * F.col("_r.n_words"))
+    return out.select(*from_row(df, new), "_r.*", failed.alias("base_failed"))
 
 
-def host_verdicts(ruled: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(ruled: DataFrame, host: str = "source", lift: float = 3.0, errors: float = 3.0) -> DataFrame:
     """``host, host_docs, host_rate, host_failed`` from ``base_failed`` of all documents; a null host is one host.
 
     The prior's mean is the corpus rate, and its strength follows from how much more the hosts' rates differ than
     chance would make them (method of moments, between 1 and 1e6 documents). Two aggregates; four numbers of the
-    second reach the driver. A host fails beyond ``max_rate``, or half way from the corpus rate to 1 if that is more:
-    where most documents fail everywhere, no host stands out, and its good documents stay.
+    second reach the driver. A host fails if its posterior rate less ``errors`` standard deviations has at least
+    ``lift`` times the prior's odds: a rate of 0.27 where a tenth of all documents fail, of 0.75 where half do. Hosts
+    that differ by no more than chance all have the corpus rate, and none fails.
     """
-    hosts = ruled.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("_k"))
+    hosts = ruled.groupBy(column(host).alias("host")).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("_k"))
     hosts = materialise(hosts)
     # Weighted moments of the hosts' rates: sums of k, n, k^2 / n and the number of hosts.
     k, n, square, h = hosts.agg(F.sum("_k"), F.sum("host_docs"), F.sum(F.col("_k") * F.col("_k") / F.col("host_docs")), F.count("*")).first()
     alpha, beta = beta_prior(k or 0, n or 0, square or 0.0, h)
-    rate = (F.col("_k") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))
-    limit = max(max_rate, (1 + alpha / (alpha + beta)) / 2)
-    return hosts.select("host", "host_docs", rate.alias("host_rate"), (rate > limit).alias("host_failed"))
+    weight = F.col("host_docs") + F.lit(alpha + beta)
+    rate = (F.col("_k") + F.lit(alpha)) / weight
+    lower = rate - errors * F.sqrt(rate * (1 - rate) / (weight + 1))
+    return hosts.select("host", "host_docs", rate.alias("host_rate"), (lower * F.lit(beta) >= lift * F.lit(alpha) * (1 - lower)).alias("host_failed"))
 
 
 def beta_prior(k: float, n: float, square: float, hosts: int) -> tuple[float, float]:
@@ -72,23 +93,33 @@ def beta_prior(k: float, n: float, square: float, hosts: int) -> tuple[float, fl
     return mean * strength, (1 - mean) * strength
 
 
-def judge(ruled: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """Add ``host_rate`` and ``kept``. ``ruled`` should be materialised, as it is read for the hosts and again here.
+def judge(ruled: DataFrame, host: str = "source", **options) -> DataFrame:
+    """Add ``host_rate`` and ``kept``; other columns pass through (those of these names are replaced).
 
-    The hosts are joined back as Spark sees fit: broadcast if they prove small, else by a shuffle whose hot hosts
-    the adaptive skew join splits.
+    ``ruled`` should be materialised, as it is read for the hosts and again here. The hosts are joined back as Spark
+    sees fit: broadcast if they prove small, else by a shuffle whose hot hosts the adaptive skew join splits.
     """
-    hosts = host_verdicts(ruled, host, max_rate).select(F.col("host").alias("_host"), "host_rate", "host_failed")
-    joined = ruled.drop("host_rate", "host_failed", "kept").join(hosts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("_host", "host_failed")
+    new = ("host_rate", "kept")
+    hosts = host_verdicts(ruled, host, **options).select("host", "host_rate", "host_failed")
+    rows = ruled.select(as_row(ruled, new).alias("_row"), column(host).alias("_host"), F.col("base_failed").alias("_failed"))
+    joined = rows.join(hosts, F.col("_host").eqNullSafe(F.col("host")), "left")
+    return joined.select(*from_row(ruled, new), "host_rate", (~F.col("_failed") & ~F.col("host_failed")).alias("kept"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows and columns of ``docs`` that pass. The rules run twice over the texts, which saves shuffling them."""
-    slim = with_base_rules(docs.select(F.col(text), F.col(host)), text).select(host, "base_failed")
-    hosts = host_verdicts(slim, host, max_rate).where("host_failed").select(F.col("host").alias("_host"))
-    good = with_base_rules(docs.withColumn("_text", F.col(text)), "_text").where(~F.col("base_failed")).select(*docs.columns)
-    return good.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left_anti")
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
+    """The rows and columns of ``docs`` that pass, all as they were, whatever their names.
+
+    The rules run once: rows are written with their verdicts, of which the hosts' are counted. Rows are joined with
+    the failing hosts only, broadcast up to BROADCAST_HOSTS of them; beyond, the skew join splits hot hosts. Null
+    texts go, null hosts are one host, repeated rows stay or go together, and an empty table gives no rows.
+    """
+    rows = docs.select(as_row(docs).alias("_row"), column(text).alias("text"), column(host).alias("host"))
+    ruled = saved(with_base_rules(rows).select("_row", "host", "base_failed"), "ruled")
+    bad = materialise(host_verdicts(ruled, "host", **options).where("host_failed").select(F.col("host").alias("_host")))
+    good, many = ruled.where("NOT base_failed"), bad.count()
+    if many:
+        good = good.join(F.broadcast(bad) if many <= BROADCAST_HOSTS else bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti")
+    return good.select(*from_row(docs))
 
 
 ORACLE = r"""
@@ -108,7 +139,9 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k F
 a AS (SELECT least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(k * k / n) / sum(n) AS square, count(*) / sum(n) AS share FROM h),
 s AS (SELECT mean, square - mean * mean - mean * (1 - mean) * share AS between_ FROM a),
 q AS (SELECT mean, CASE WHEN between_ > 0 THEN least(greatest(mean * (1 - mean) / between_ - 1, 1), 1e6) ELSE 1e6 END AS strength FROM s),
-v AS (SELECT source, (k + mean * strength) / (n + strength) > greatest(0.5, (1 + mean) / 2) AS bad FROM h, q)
+u AS (SELECT source, mean, n + strength AS w, (k + mean * strength) / (n + strength) AS rate FROM h, q),
+l AS (SELECT source, mean, rate - 3 * sqrt(rate * (1 - rate) / (w + 1)) AS low FROM u),
+v AS (SELECT source, low / (1 - low) >= 3 * (mean / (1 - mean)) AS bad FROM l)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """

@@ -3,8 +3,8 @@
 A capture is three records: a response (or a revisit of an equal payload), its request, and its metadata, of which
 the latter two name the first in WARC-Concurrent-To. Spark's text writer puts the records into files, with the
 empty lines that end a record as its separator, so gzipped files appear by Spark's commit protocol in any store.
-The reader takes whole files of a bounded number of records and follows each record's Content-Length, whatever its
-payload holds.
+The reader takes whole files and follows each record's Content-Length, whatever its payload holds; so the writer
+deals pages to as many files as keep one at FILE_BYTES in the mean. A file is one gzip member, not one a record.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm.common import slices
+from mossveil.llm.common import saved, slices
 
 CRLF = "\r\n"
 #: Digits of Spark's conv() in base 32 and the base-32 alphabet of RFC 4648.
 CONV_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Files are read whole, so they hold this many records (three a capture) at most.
-FILE_RECORDS = 6000
+#: Files are read whole, so they hold so many bytes in the mean, and so many records (three a capture) at most.
+FILE_BYTES, FILE_RECORDS = 16 << 20, 30_000
+#: Bytes of the headers of a page's three records, for that sum.
+HEADERS = 1500
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -52,18 +54,29 @@ def write_warc(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: str =
     """Write ``pages`` (``page_id, url, html``) to ``folder``; other columns play no part.
 
     The payload is the html in UTF-8 (null: empty). Of equal payloads of at least ``dedup_bytes`` bytes that of the
-    smallest ``page_id`` (nulls last) is a response and the others are revisits without payload; rows that repeat
-    the smallest ``page_id`` are responses too. Payloads meet by their digests: first pages are found by a grouped
-    minimum, and joined back with the adaptive skew join splitting a digest that very many pages share.
+    smallest ``page_id`` (nulls last) is a response and the others are revisits without payload, which name the
+    response's URI; rows that repeat the smallest ``page_id`` are responses too. Payloads meet by their digests in
+    rows without html: first pages are found by a grouped minimum, and joined back by a join of its own shuffles, so
+    that the adaptive skew join can split a digest that very many pages share. The html is shuffled once, by page.
+    An empty table writes no record; a single page has to fit a row.
     """
+    spark = pages.sparkSession
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    first = p.groupBy("digest").agg(F.min("page_id").alias("first"))
-    p = p.join(first, "digest").withColumn("revisit", (F.col("bytes") >= dedup_bytes) & F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()))
+    p = p.withColumn("row_key", F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest"))
+    slim = saved(p.select("row_key", "page_id", "digest", "bytes", "url"), "digests")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("pages"))
+    first = saved(first.where("pages > 1").drop("pages"), "firsts")
+    later = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
+    revisits = slim.where(F.col("bytes") >= dedup_bytes).join(first, "digest").where(later).select("row_key", "first", "first_url", F.lit(True).alias("revisit")).distinct()
+    total = slim.agg(F.sum("bytes"), F.count("*")).first()
+    files = max(1, -(-((total[0] or 0) + HEADERS * total[1]) // FILE_BYTES), min(spark.sparkContext.defaultParallelism, total[1]))
+    p = p.repartition(files, "row_key").join(revisits, "row_key", "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
     # Drawn once a row and used by its three records, which are written in the same task.
     p = p.withColumn("salt", F.uuid())
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     clean = F.translate("url", "\r\n\t ", "")
+    refers = F.when(F.col("revisit"), F.translate("first_url", "\r\n\t ", ""))
     common = {"WARC-Date": F.lit(date), "WARC-Target-URI": clean}
     rid = {k: uuid_of(F.lit(k), page, F.col("salt")) for k in ("capture", "request", "metadata")}
     link = {"WARC-Concurrent-To": F.concat(F.lit("<urn:uuid:"), rid["capture"], F.lit(">"))}
@@ -72,7 +85,7 @@ def write_warc(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: str =
     capture = record(
         F.when(F.col("revisit"), "revisit").otherwise("response"),
         rid["capture"],
-        {**common, "WARC-Payload-Digest": digest, "WARC-Profile": F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")},
+        {**common, "WARC-Payload-Digest": digest, "WARC-Refers-To-Target-URI": refers, "WARC-Refers-To-Date": F.when(F.col("revisit"), date), "WARC-Profile": F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")},
         "application/http; msgtype=response",
         F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("html"))),
     )

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -25,15 +26,41 @@ def test_query_equals_sql(spark, small, name):
 
 def test_quality_odd_rows(spark):
     good = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, good, "a", 1), (2, None, "a", 2), (3, "", None, 3), (4, "x y z " * 30, "b", 4), (5, good, None, 5), (5, good, None, 5), (6, "\x0b", "b", 6)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
+    rows = [(1, good, "a", -5, "t1", 0), (2, None, "a", 2, "t2", 0), (3, "", None, 3, "t3", 0), (4, "x y z " * 30, "b", 4, "t4", 0), (5, good, None, 5, "t5", 0), (5, good, None, 5, "t5", 0), (6, "\x0b", "b", 6, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, _t string, base_failed int").selectExpr("*", "1 as _row", "text as _text", "2 as kept", "source as host", "3 as `a.b`")
     got = {(r.doc_id): (r.n_words, r.n_repeat_words, r.base_failed) for r in quality.with_base_rules(df).collect()}
     assert got == {1: (60, 0, False), 2: (0, 0, True), 3: (0, 0, True), 4: (90, 90, True), 5: (60, 0, False), 6: (0, 0, True)}
-    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == [1, 5, 5]
-    assert quality.keep_good(df).columns == df.columns
+    same = [tuple(r) for r in df.collect() if r.doc_id in (1, 5)]
+    assert sorted(map(tuple, quality.keep_good(df).collect())) == sorted(same)
+    assert quality.keep_good(df).dtypes == df.dtypes
+    judged = quality.judge(quality.with_base_rules(df).cache())
+    assert {(r.doc_id, r.kept, r._t, r["a.b"], r._row, r.host) for r in judged.collect()} == {(d, d in (1, 5), t, 3, 1, s) for d, _, s, _, t, _ in rows}
     assert quality.keep_good(df.limit(0)).collect() == []
 
 
+def test_host_verdicts_remove_rows_of_a_planted_table(spark, tmp_path):
+    """By construction: two of 22 hosts fail much more often than the rest, one small host has bad luck, one is hot."""
+    rng = random.Random(1)
+    rows = []
+    for host in range(22):
+        rate, n = {3: (0.5, 300), 4: (0.7, 60), 5: (1.0, 2), 0: (0.1, 2000)}.get(host, (rng.uniform(0.05, 0.15), 150))
+        for k in range(n):
+            size = 20 if k < rate * n else 60
+            rows.append((len(rows), " ".join(f"w{rng.randrange(10**6)}" for _ in range(size)), f"h{host}" if host != 4 else None))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute("SELECT doc_id, length(text) - length(replace(text, ' ', '')) + 1 >= 50 AND source <> 'h3' AND source IS NOT NULL FROM documents").fetchall()
+    want = {d: bool(k) for d, k in want}
+    removed = sum(len(t.split()) >= 50 and not want[d] for d, t, _ in rows)
+    assert removed > 150
+    got = {r.doc_id: r.kept for r in queries.QUERIES["op4_quality"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {d: k for d, *_, k in con.execute(queries.ORACLES["op4_quality"]).fetchall()} == want
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {d for d, k in want.items() if k}
+
+
 def test_a_host_that_fails_takes_its_documents_along(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, good if i % 10 == 0 else "short", "bad") for i in range(100)] + [(100 + i, good, f"s{i % 20}") for i in range(400)] + [(999, "short", "once")]
@@ -53,16 +80,16 @@ def conversation(spark):
 
 def test_chat_reads_back_what_went_in(spark):
     rows, df = conversation(spark)
-    windows = chat.chat_windows(df, budget=1500, history=450)
+    windows = chat.chat_windows(df, budget=1800, history=550)
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     for c in (1, 2, 3, None):
-        mine = sorted(((t if t is not None else -1, r or "", x or "") for k, t, r, x in rows if k == c))
+        mine = sorted(((t if t is not None else -1, r or "", x or "") for k, t, r, x in rows if k == c), key=lambda m: (m[0], m[1], hashlib.md5(m[2].encode()).hexdigest()))
         whole = "".join(f"{r}\n{x}\n" for _, r, x in mine)
         loss = "".join(x for _, r, x in mine if r == "assistant")
         r = got[c]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(mine), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     first = sorted((w for w in windows.collect() if w.conv_id == 1), key=lambda w: w.window)
-    assert len(first) > 3 and all(w.n_tokens <= 1500 for w in first)
+    assert len(first) > 3 and all(w.n_tokens <= 1800 for w in first)
     assert all(w.text.startswith("### system: be \\h \\lkind>") for w in first)
     assert [w.n_repeated for w in first][0] == 0 and all(w.n_repeated == 2 for w in first[1:])
     assert chat.read_back(chat.chat_windows(df.limit(0))).collect() == []
@@ -120,3 +147,14 @@ def test_stages_take_an_empty_table(spark, small):
         assert out.count() == 0
     assert ngrams.near_duplicates(docs).count() == passages.repeated_passages(docs).count() == 0
     assert docs.select(F.count("*")).first()[0] == 0
+
+
+def test_chat_windows_count_texts_without_blanks_and_given_tokens(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", "漢" * 900, 100) for k in range(12)] + [(2, None, "user", f"turn {k}", 100) for k in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
+    estimated = {c: sum(r.conv_id == c for r in chat.chat_windows(df, budget=2048).select("conv_id").collect()) for c in (1, 2)}
+    assert estimated[1] == 12  # 675 tokens each by bytes: two of them and their history would not fit
+    given = chat.chat_windows(df, budget=2048, tokens="n").select("conv_id", "n_tokens", "n_repeated").collect()
+    assert all(r.n_tokens <= 2048 for r in given)
+    assert sum(r.n_tokens - 100 * r.n_repeated for r in given if r.conv_id == 2) == 70_000
+    assert sum(r.conv_id == 1 for r in given) < 4
