@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 def deal(members: DataFrame, keys: list[str], ident: str, size: int = 256) -> DataFrame:
     """Add ``_work`` (array of struct of left and right block) and ``_block`` to distinct (keys, ident) rows."""
     counts = members.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
+    # Joined by an expression, the counts get a shuffle of their own, and a hot group can be split.
+    counts = counts.select(*[F.col(k).bitwiseXOR(F.lit(0)).alias(k) for k in keys], "_blocks")
     dealt = members.join(counts, keys).withColumn("_block", F.pmod(F.xxhash64(ident, F.lit(7)), F.col("_blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("_blocks") - 1)
     return dealt.withColumn("_work", F.transform(other, lambda o: F.struct(F.least("_block", o).alias("left"), F.greatest("_block", o).alias("right")))).drop("_blocks")

@@ -18,16 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set (tests)."""
+    """The folder that the cluster shares; one of this machine only where none is set and Spark runs on it alone."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="mossveil-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder there."""
+    return f"{shared_dir(spark)}/mossveil-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediates that this application has written; results that were not saved cannot be read after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of a (small) intermediate with a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -37,7 +50,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write a (large) intermediate once as compressed Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

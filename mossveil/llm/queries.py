@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossveil.llm import bpe, chat, lines, ngrams, packing, passages, quality, tokenfile, vectors, warc
-from mossveil.llm.common import materialise, shared_dir, table
+from mossveil.llm.common import materialise, scratch_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def read_records(spark: SparkSession, folder: str, payload: bool = True) -> Data
                         elif kind == "revisit":
                             digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
                         rows.append({"kind": kind, "record_id": headers.get("warc-record-id"), "concurrent_to": headers.get("warc-concurrent-to"), "uri": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "digest": digest, "payload_bytes": size, "payload": body, "fields": fields})
-                        held += len(block) if payload else 200
+                        held += 2000 + (len(block) if payload else 0)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0

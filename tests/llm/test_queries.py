@@ -158,3 +158,16 @@ def test_chat_windows_count_texts_without_blanks_and_given_tokens(spark):
     assert all(r.n_tokens <= 2048 for r in given)
     assert sum(r.n_tokens - 100 * r.n_repeated for r in given if r.conv_id == 2) == 70_000
     assert sum(r.conv_id == 1 for r in given) < 4
+
+
+def test_scratch_is_one_folder_that_can_be_cleared(spark):
+    from pathlib import Path
+
+    from mossveil.llm import common
+
+    kept = common.saved(spark.range(5), "five")
+    assert kept.count() == 5
+    folder = Path(common.scratch_dir(spark).removeprefix("file:"))
+    assert any(folder.glob("five-*"))
+    common.clear_scratch(spark)
+    assert not folder.exists()
