@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossveil.llm.common import materialise, saved
+from mossveil.llm.common import materialise
 
 #: White space between words: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -109,12 +109,13 @@ def judge(ruled: DataFrame, host: str = "source", **options) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
     """The rows and columns of ``docs`` that pass, all as they were, whatever their names.
 
-    The rules run once: rows are written with their verdicts, of which the hosts' are counted. Rows are joined with
+    The rules run once: rows that pass are checkpointed with their verdicts, of which the hosts' are counted. Rows are joined with
     the failing hosts only, broadcast up to BROADCAST_HOSTS of them; beyond, the skew join splits hot hosts. Null
     texts go, null hosts are one host, repeated rows stay or go together, and an empty table gives no rows.
     """
     rows = docs.select(as_row(docs).alias("_row"), column(text).alias("text"), column(host).alias("host"))
-    ruled = saved(with_base_rules(rows).select("_row", "host", "base_failed"), "ruled")
+    failed = F.col("base_failed")
+    ruled = materialise(with_base_rules(rows).select(F.when(~failed, F.col("_row")).alias("_row"), "host", "base_failed"))
     bad = materialise(host_verdicts(ruled, "host", **options).where("host_failed").select(F.col("host").alias("_host")))
     good, many = ruled.where("NOT base_failed"), bad.count()
     if many:
