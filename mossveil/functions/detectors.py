@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mossveil.functions.spans import ASCII_DIGITS, DIGITS, SPANS, ascii_digits, digit, find, group, real_date, span, weighted
+from mossveil.functions.spans import ASCII_DIGITS, DIGITS, SPANS, ascii_digits, digit, find, group, let, real_date, span, weighted
 
 # ---- fixed values ----------------------------------------------------------------------------------------------
 PROVINCES = (
@@ -52,6 +52,11 @@ def guarded(text: Column, condition: Column, spans: Column) -> Column:
     return F.when(condition, spans.cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
+def hangul(text: Column) -> Column:
+    """A cheap test for what every Korean cue consists of; it comes before the dearer tests for the cues."""
+    return text.rlike(HANGUL)
+
+
 def numbers(text: Column, least: int) -> Column:
     """A cheap test that a text has that many digits at all."""
     return text.rlike(r"(?U)\d(?:\D{0,8}\d){" + str(least - 1) + "}")
@@ -123,8 +128,13 @@ def address(text: Column) -> Column:
 
         return F.transform(found, lambda m: span("address", "AddressDetector", m["match"], m["start"], m["end"], score(m)))
 
-    alone = F.filter(city, lambda m: (group(m, 2) != "") & ~F.exists(province, lambda p: (m["start"] < p["end"]) & (m["end"] > p["start"])))
-    both = F.concat(spans(province, 0.5, 1.0), spans(alone, 0.4, 0.9))
+    # Both are found once; the province spans are asked about by every city.
+    def merged(found: Column) -> Column:
+        of_province, of_city = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        alone = F.filter(of_city, lambda m: (group(m, 2) != "") & ~F.exists(of_province, lambda p: (m["start"] < p["end"]) & (m["end"] > p["start"])))
+        return F.concat(spans(of_province, 0.5, 1.0), spans(alone, 0.4, 0.9))
+
+    both = let(F.array(province, city), merged)
     ordered = F.array_sort(both, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
     return guarded(text, text.rlike("[시군도]"), ordered)
 
@@ -143,7 +153,7 @@ def account(text: Column) -> Column:
     low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
     cued = lambda m: F.substring(text, low(m) + 1, m["end"] + 15 - low(m)).rlike("|".join(ACCOUNT_CUES))
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & cued(m))
-    return guarded(text, text.rlike("|".join(ACCOUNT_CUES)), F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
+    return guarded(text, hangul(text) & text.rlike("|".join(ACCOUNT_CUES)), F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
 
 
 def business_registration(text: Column) -> Column:
@@ -175,7 +185,7 @@ def name(text: Column, min_confidence: float = 0.0) -> Column:
     good = F.filter(found, lambda m: ~label(m) & ((prefix(m) != "") | (suffix(m) != "")) & ~(only_title(m) & ((F.length(called(m)) < 3) | department(m))))
     score = lambda m: F.when((prefix(m) != "") & (suffix(m) != ""), 0.75).otherwise(0.5)
     spans = F.transform(F.filter(good, lambda m: score(m) >= min_confidence), lambda m: span("name", "NameDetector", called(m), at(m), at(m) + F.length(called(m)), score(m)))
-    return guarded(text, text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))), spans)
+    return guarded(text, hangul(text) & text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))), spans)
 
 
 def name_candidate(text: Column) -> Column:
@@ -192,7 +202,7 @@ def birth_date(text: Column) -> Column:
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))
     at = lambda m: m["start"] + F.length(group(m, 0))
-    return guarded(text, text.rlike("생년월일|출생일|생일|출생년월일"), F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)))
+    return guarded(text, hangul(text) & text.rlike(longest_first(BIRTH_ANCHORS)), F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)))
 
 
 #: The default set; the order breaks ties when spans overlap.

@@ -7,6 +7,7 @@ import secrets
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mossveil.functions.detectors import RRN_WEIGHTS
 from mossveil.functions.spans import SPANS, append, empty_list, items
 
 #: Labels of the kinds.
@@ -127,7 +128,7 @@ def pseudonym(text: Column, spans: Column, row_key: Column, salt: str | None = N
         letters = F.array_join(F.transform(F.sequence(F.lit(1), draw(40, 5) + 5), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(F.xxhash64(F.lit(salt), row_key, s["kind"], s["text"], i), F.lit(26)).cast("int") + 1, F.lit(1))), "")
         body = F.concat(F.lpad((draw(1, 60) + 40).cast("string"), 2, "0"), F.lpad((draw(2, 12) + 1).cast("string"), 2, "0"), F.lpad((draw(3, 28) + 1).cast("string"), 2, "0"), (draw(4, 2) + 1).cast("string"), digits(5, 5))
         total = F.lit(0)
-        for i, w in enumerate([2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]):
+        for i, w in enumerate(RRN_WEIGHTS):
             total = total + F.substring(body, i + 1, 1).cast("int") * w
         wrong = ((F.lit(11) - total % 11) % 10 + 1 + draw(6, 9)) % 10
         card = F.concat(F.lit("4"), digits(7, 7), digits(8, 7))

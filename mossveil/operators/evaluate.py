@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mossveil.functions.detectors import Detector
+from mossveil.operators import scan
+
+#: The thresholds of a sweep.
 THRESHOLDS = (0.0, 0.5, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)
 
 
@@ -70,3 +77,44 @@ def leak_rollup(leaked: DataFrame) -> DataFrame:
     leak = F.col("exposed") > 0
     rolled = leaked.rollup("kind").agg(F.count("*").alias("spans"), F.count_if(leak).alias("leaks"), F.count_if(F.col("exposed") >= 1).alias("full_leaks"), F.count_if(leak & (F.col("exposed") < 1)).alias("partial_leaks"), F.coalesce(F.avg(F.when(leak, F.col("exposed"))), F.lit(0.0)).alias("mean_exposed"), F.grouping("kind").alias("_all"))
     return rolled.select(F.when(F.col("_all") == 1, "__overall__").otherwise(F.col("kind")).alias("kind"), "spans", "leaks", "full_leaks", "partial_leaks", "mean_exposed", ratio(F.col("leaks"), F.col("spans")).alias("leak_rate"))
+
+
+def leak_totals(docs: DataFrame, text: str = "text", rewritten: str = "anonymized", gold: str = "labels", **options) -> DataFrame:
+    """One row: documents, gold spans, leaks, and the share of documents whose length is kept (0.0 without any)."""
+    same = (F.length(text) == F.length(rewritten)).cast("int")
+    whole = docs.agg(F.count("*").alias("docs"), F.coalesce(F.avg(same), F.lit(0.0)).alias("length_preserved_rate"))
+    spans = leaks(docs, gold, text, rewritten, **options).agg(F.count("*").alias("spans"), F.count_if(F.col("exposed") > 0).alias("leaks"))
+    return whole.join(F.broadcast(spans)).select("docs", "spans", "leaks", "length_preserved_rate")  # one row each
+
+
+def compare(gold: DataFrame, docs: DataFrame, detectors: Mapping[str, Detector], kind: str, key: str = "doc_id") -> DataFrame:
+    """Scores of several detectors of one kind over the same documents, one row each; a detector that is not
+    available is simply not given."""
+    each = []
+    for name, detector in detectors.items():
+        found = scan.explode_spans(scan.scan(docs, detectors={kind: detector}), key)
+        each.append(scores(matched(gold, found).agg(*counts()).select(F.lit(name).alias("detector"), "tp", "fp", "fn")))
+    return reduce(DataFrame.unionByName, each)
+
+
+def in_report_order(scored: DataFrame, key: str = "kind") -> DataFrame:
+    """By name, the overall row last."""
+    return scored.orderBy(F.col(key) == "__overall__", key)
+
+
+def markdown_report(scored: DataFrame, key: str = "kind", title: str = "Evaluation") -> str:
+    """The table of some dozen groups as text; an aggregate of fixed size is all that reaches the driver."""
+    lines = [f"# {title}", "", f"| {key} | precision | recall | f1 | tp | fp | fn |", "|---|---|---|---|---|---|---|"]
+    for r in in_report_order(scored, key).collect():
+        lines.append(f"| {r[key]} | {r.precision:.3f} | {r.recall:.3f} | {r.f1:.3f} | {r.tp} | {r.fp} | {r.fn} |")
+    return "\n".join(lines) + "\n"
+
+
+def task_counts(tasks: DataFrame, status: str = "status") -> DataFrame:
+    """One row: finished tasks (done or failed) and whether any is waiting."""
+    return tasks.agg(F.count_if(F.col(status).isin("done", "failed")).alias("finished"), F.coalesce(F.bool_or(F.col(status) == "waiting"), F.lit(False)).alias("has_waiting"))
+
+
+def distinct_in_order(values: Column) -> Column:
+    """Distinct items of an array in order of their first place."""
+    return F.array_distinct(values)

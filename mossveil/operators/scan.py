@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,13 +32,19 @@ def detect(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Dete
 
 def scan(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "spans") -> DataFrame:
     """Add the resolved, disjoint spans of a text."""
-    return fixed(detect(df, text, detectors, "_raw"), out, res.resolve(F.col(text), F.col("_raw"))).drop("_raw")
+    raw = "_raw"
+    while raw in df.columns:
+        raw += "_"
+    return fixed(detect(df, text, detectors, raw), out, res.resolve(F.col(text), F.col(raw))).drop(raw)
 
 
-def anonymize(df: DataFrame, text: str = "text", strategy: str = "mask", spans: str = "spans", out: str = "anonymized", row_key: str | None = None, **options) -> DataFrame:
-    """Add the rewritten text by ``mask`` (char, keep_head), ``label`` (labels, numbered) or ``pseudonym`` (salt)."""
+def anonymize(df: DataFrame, text: str = "text", strategy: str | Callable[[Column], Column] = "mask", spans: str = "spans", out: str = "anonymized", row_key: str | None = None, **options) -> DataFrame:
+    """Add the rewritten text by ``mask`` (char, keep_head), ``label`` (labels, numbered) or ``pseudonym`` (salt), or
+    by a function of one's own from a span to what stands in its place."""
     t, s = F.col(text), F.col(spans)
-    if strategy == "mask":
+    if callable(strategy):
+        value = res.rewrite(t, s, strategy)
+    elif strategy == "mask":
         value = res.mask(t, s, **options)
     elif strategy == "label":
         value = res.label(t, s, **options)
@@ -60,7 +66,7 @@ def report_json(df: DataFrame, spans: str = "spans", out: str = "report", with_t
     return df.withColumn(out, F.to_json(F.transform(spans, lambda s: F.struct(*[s[f].alias(f) for f in fields]))))
 
 
-def above(spans: str, threshold: float) -> "F.Column":
+def above(spans: str, threshold: float) -> Column:
     """Spans of at least that confidence; applied after resolution."""
     return F.filter(spans, lambda s: s["confidence"] >= threshold)
 
@@ -103,3 +109,31 @@ def validate_input(df: DataFrame, text: str = "text", longest: int = 100_000, ou
     """Status of a request: 200, 400 for an empty or missing text, 413 for one that is too long."""
     n = F.length(text)
     return df.withColumn(out, F.when(F.coalesce(n, F.lit(0)) < 1, 400).when(n > longest, 413).otherwise(200))
+
+
+def display(df: DataFrame, text: str = "text", raw: str = "raw_spans", strategy: str = "mask", out: str = "anonymized", **options) -> DataFrame:
+    """Rewrite by the display rule: of raw spans, those that begin within an earlier one are left out, not merged."""
+    return anonymize(fixed(df, "_shown", res.first_only(F.col(raw))), text, strategy, "_shown", out, **options).drop("_shown")
+
+
+def at_strength(df: DataFrame, strength: int, spans: str = "spans", out: str = "shown") -> DataFrame:
+    """Add the spans that a masking strength of 0 to 100 shows (confidence in percent of at least 100 less it), and
+    ``n_hidden``, the number of the others."""
+    return df.withColumn(out, F.filter(spans, lambda s: s["confidence"] * 100 >= 100 - strength)).withColumn("n_hidden", F.size(spans) - F.size(out))
+
+
+def flag_unsure(df: DataFrame, spans: str = "spans", out: str = "unsure") -> DataFrame:
+    """Add an array that says of each span whether its confidence is below 1."""
+    return df.withColumn(out, F.transform(spans, lambda s: s["confidence"] < 1))
+
+
+def counts_of(spans: DataFrame, kind: str) -> DataFrame:
+    """The counts of one kind, in one row of zeros if there is none."""
+    return spans.where(F.col("kind") == kind).agg(F.count("*").alias("n"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("min_confidence")).select(F.lit(kind).alias("kind"), "n", "min_confidence")
+
+
+def in_order(counts: DataFrame) -> DataFrame:
+    """Counts by kind (a dozen rows) with their ``place`` in the fixed order of kinds; unknown kinds follow by name."""
+    at = F.array_position(F.array(*[F.lit(k) for k in res.LABELS]), F.col("kind"))
+    place = F.row_number().over(W.orderBy(F.when(at > 0, at).otherwise(len(res.LABELS) + 1), "kind"))
+    return counts.select(place.alias("place"), "kind", "n", "min_confidence")

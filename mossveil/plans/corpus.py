@@ -6,8 +6,12 @@ follows from the lengths of what stands before it and of itself, independent of
 
 from __future__ import annotations
 
-#: For each kind: what stands before, the value, what stands after, the confidence (null: not to be found).
-#: ``k`` is the key, ``d4(x)``, ``d2(x)`` and so on are padded decimal digits.
+from mossveil.functions.detectors import BUSINESS_WEIGHTS, RRN_WEIGHTS
+
+#: For each kind of sentence: what stands before, the value, what stands after, and the confidence of its own detector
+#: (null: not found). ``k`` is the key. By the ending of the kind, ``_none`` holds no personal data and nothing to be
+#: found, ``_trap`` none but something that is found all the same, ``_missed`` some that no rule finds, and
+#: ``_partial`` some of which only the first ``part`` characters are found.
 
 
 def pad(expr: str, n: int) -> str:
@@ -23,9 +27,9 @@ def dot(value: str, weights: list[int]) -> str:
 
 
 RRN12 = f"{pad('k', 2)} || {pad('1 + k % 12', 2)} || {pad('1 + k % 28', 2)} || CAST(1 + k % 8 AS VARCHAR(1)) || {pad('k * 7919', 5)}"
-RRN_CHECK = f"CAST((11 - {dot('b', [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])} % 11) % 10 AS INT)"
+RRN_CHECK = f"CAST((11 - {dot('b', RRN_WEIGHTS)} % 11) % 10 AS INT)"
 BRN9 = f"{pad('100 + k * 37', 3)} || {pad('10 + k * 13', 2)} || {pad('k * 577', 4)}"
-BRN_CHECK = f"CAST((10 - ({dot('b', [1, 3, 7, 1, 3, 7, 1, 3, 5])} + CAST(floor(CAST(substr(b, 9, 1) AS INT) * 5 / 10) AS INT)) % 10) % 10 AS INT)"
+BRN_CHECK = f"CAST((10 - ({dot('b', BUSINESS_WEIGHTS)} + CAST(floor(CAST(substr(b, 9, 1) AS INT) * 5 / 10) AS INT)) % 10) % 10 AS INT)"
 CARD15 = f"'4' || {pad('k * 104729', 7)} || {pad('k * 1299709', 7)}"
 
 
@@ -37,8 +41,15 @@ def luhn_check(value: str) -> str:
     return f"CAST((10 - ({' + '.join(terms)}) % 10) % 10 AS INT)"
 
 
-def rows(kind: str, before: str, value: str, after: str, confidence: str, body: str = "''", where: str = "true") -> str:
-    return f"SELECT k, '{kind}' AS kind, {before} AS before, {value} AS value, {after} AS after, {confidence} AS confidence FROM (SELECT k, {body} AS b FROM keys) WHERE {where}"
+def luhn_13(value: str) -> str:
+    """Whether a string of 13 digits is a card number by its check digit."""
+    digits = [f"CAST(substr({value}, {i + 1}, 1) AS INT)" for i in range(13)]
+    terms = [f"CASE WHEN {d} * 2 > 9 THEN {d} * 2 - 9 ELSE {d} * 2 END" if i % 2 else d for i, d in enumerate(digits)]
+    return f"({' + '.join(terms)}) % 10 = 0"
+
+
+def rows(kind: str, before: str, value: str, after: str, confidence: str, body: str = "''", where: str = "true", part: str = "length(value)") -> str:
+    return f"SELECT *, CAST({part} AS INT) AS part FROM (SELECT k, '{kind}' AS kind, {before} AS before, {value} AS value, {after} AS after, CAST({confidence} AS DOUBLE) AS confidence FROM (SELECT k, {body} AS b FROM keys) WHERE {where})"
 
 
 SENTENCES = [
@@ -61,13 +72,27 @@ SENTENCES = [
     rows("address", "'배송지는 '", f"{pick('k', ['서울특별시', '경기도', '제주특별자치도'])} || {pick('k', ['', ' 강남구', ' 성남시 분당구'])} || CASE WHEN k % 3 = 0 THEN '' ELSE {pick('k', [' 역삼동', ' 판교로'])} || ' ' || CAST(1 + k % 900 AS VARCHAR(4)) END", "' 입니다'", "CASE k % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.0 END"),
     rows("address_none", "'어제 '", f"{pick('k', ['서울특별시청', '부산광역시장', '경기도민'])}", "' 발표'", "CAST(NULL AS DOUBLE)"),
     rows("name", "'고객 '", f"{pick('k', ['김', '박', '남궁', '최'])} || {pick('k', ['철', '서', '민'])} || {pick('k', ['수', '연', '호', '진', '영'])}", "'님 방문'", "0.75"),
-    rows("name_none", "'오늘 '", f"{pick('k', ['김치찌개를', '이유를', '정말'])}", "' 먹었다'", "CAST(NULL AS DOUBLE)"),
+    rows("name_none", "'오늘 '", f"{pick('k', ['김밥을', '이유를', '정말로'])}", "' 먹었다'", "CAST(NULL AS DOUBLE)"),
+    rows("passport_trap", "'부품코드 '", f"{pick('k', ['M', 'S', 'D'])} || {pad('k * 7919', 8)}", "' 재고'", "0.6"),
+    rows("driver_license_trap", "'문서 '", f"{pick('k', ['11', '15', '26'])} || '-' || {pad('k', 2)} || '-' || {pad('k * 31', 6)} || '-' || {pad('k * 7', 2)}", "' 보관'", "0.85"),
+    rows("driver_license_none", "'문서 '", f"{pick('k', ['27', '29', '10'])} || '-' || {pad('k', 2)} || '-' || {pad('k * 31', 6)} || '-' || {pad('k * 7', 2)}", "' 보관'", "NULL"),
+    rows("name_missed", "'어제 '", f"{pick('k', ['김', '박', '최'])} || {pick('k', ['철', '서', '민'])} || {pick('k', ['수', '연', '호', '진', '영'])}", "' 만났다'", "NULL"),
+    rows("address_partial", "'배송지는 '", "'경기도 성남시 분당구 ' || " + pick("k", ["꽃집 위층", "새 건물 옆"]), "' 입니다'", "0.7", part="11"),
 ]
 
 KEYS = "SELECT c_custkey AS k FROM customer"
-CORPUS = f"WITH keys AS ({KEYS}) " + " UNION ALL ".join(f"({s})" for s in SENTENCES)
+NUMBERED = " UNION ALL ".join(f"(SELECT {i} AS n, * FROM ({sql}))" for i, sql in enumerate(SENTENCES))
+#: A registration number without separators and with a wrong check digit is a card number where its digits pass that
+#: test; the card detector is surer, so the number is found as a card.
+AS_CARD = f"CASE WHEN kind = 'rrn' AND confidence < 0.9 AND length(value) = 13 THEN {luhn_13('value')} ELSE false END"
+CORPUS = f"""WITH keys AS ({KEYS}), made AS ({NUMBERED}),
+named AS (SELECT *, regexp_replace(kind, '_(none|trap|missed|partial)$', '') AS base, {AS_CARD} AS as_card FROM made)
+SELECT n, k, k * 100 + n AS doc_id, kind, base, before, value, after, confidence, part,
+ NOT (kind LIKE '%_none' OR kind LIKE '%_trap') AS truth,
+ CASE WHEN as_card THEN 'card' WHEN confidence IS NOT NULL THEN base END AS found,
+ CASE WHEN as_card THEN 0.95 ELSE confidence END AS found_confidence FROM named"""
 
 
 def gold(select: str, kinds: str = "true") -> str:
-    """SQL over the corpus: ``c`` has k, kind, before, value, after, confidence."""
+    """SQL over the corpus: ``c`` has the columns of CORPUS."""
     return f"WITH c AS (SELECT * FROM ({CORPUS}) WHERE {kinds}) {select}"

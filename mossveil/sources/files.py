@@ -40,7 +40,7 @@ def read_texts(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, exten
         .when(~extension.isin(*extensions), "unsupported")
         .when(F.col("length") == 0, "empty")
         .when(F.col("length") > max_bytes, "too large")
-        .when(F.locate("00", F.hex(F.substring("content", 1, 8192))) % 2 == 1, "binary")
+        .when(F.contains(F.substring("content", 1, 8192), F.lit(b"\0")), "binary")
         .otherwise("ok")
     )
     utf8 = F.call_function("is_valid_utf8", F.col("content").cast("string"))
@@ -74,7 +74,51 @@ def masked_path(path: Column) -> Column:
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Labelled documents in JSON lines; blank lines are skipped and a missing difficulty is ``unknown``."""
     rows = spark.read.schema(LABELLED).json(path)
-    return rows.withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown"))).withColumn("doc_id", F.coalesce("doc_id", F.monotonically_increasing_id()))
+    # Missing ids are negative, so that they equal none of a data set's own.
+    return rows.withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown"))).withColumn("doc_id", F.coalesce("doc_id", -1 - F.monotonically_increasing_id()))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines in UTF-8, not escaped; folders are made, and existing output is never overwritten."""
+    df.write.mode("errorifexists").json(path)
+
+
+def read_strict(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``path, text`` of UTF-8 files; one that is too large or not UTF-8 fails the job before anything is written
+    for it, and there is no other code page to fall back on."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    raw = F.col("content").cast("string")
+    text = F.when(F.col("length") > max_bytes, F.raise_error(F.concat(F.lit("too large: "), "path"))).when(~F.call_function("is_valid_utf8", raw), F.raise_error(F.concat(F.lit("not UTF-8: "), "path"))).otherwise(raw)
+    return files.select("path", text.cast("string").alias("text"))
+
+
+def write_masked_copies(df: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Write ``anonymized`` beside each local ``path`` as its masked copy; ``path, copy, status`` of each.
+
+    Without ``overwrite`` a copy is created exclusively: one that is there, a link too, is left alone and reported.
+    Rows are handled one by one, so one failure does not stop the rest; a task that is run again reports ``exists``.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, copy, text in zip(*(batch.column(c).to_pylist() for c in ("path", "copy", "anonymized"))):
+                local = copy.removeprefix("file:").replace("//", "/")
+                status = "no text" if text is None else "written"
+                if text is not None:
+                    try:
+                        flags = os.O_WRONLY | os.O_CREAT | getattr(os, "O_NOFOLLOW", 0) | (os.O_TRUNC if overwrite else os.O_EXCL)
+                        with os.fdopen(os.open(local, flags, 0o644), "w", encoding="utf-8", newline="") as f:
+                            f.write(text)
+                    except FileExistsError:
+                        status = "exists"
+                    except OSError as e:
+                        status = f"failed: {e.strerror}"
+                out.append(status)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("copy"), pa.array(out, pa.string())], ["path", "copy", "status"])
+
+    rows = df.select("path", masked_path(F.col("path")).alias("copy"), "anonymized")
+    return rows.mapInArrow(run, "path string, copy string, status string")
 
 
 def write_masked(df: DataFrame, path: str) -> None:

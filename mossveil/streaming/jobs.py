@@ -30,10 +30,10 @@ def rate_limit_stream(requests: DataFrame, limit: int = 60, window: float = 60.0
             state.remove()
             return
         seen = deque(state.get[0] if state.exists else [])
-        for batch in batches:
-            batch = batch.sort_values("at")
-            answers = [admit(seen, at, limit, window) for at in batch["at"]]
-            yield batch.assign(allowed=[a for a, _ in answers], retry_after=[w for _, w in answers])[["client", "at", "allowed", "retry_after"]]
+        # A client's requests of one micro-batch, all in order; those without a time come first and are denied.
+        batch = pd.concat(list(batches)).sort_values("at", na_position="first", kind="stable")
+        answers = [(False, 0) if pd.isna(at) else admit(seen, at, limit, window) for at in batch["at"]]
+        yield batch.assign(allowed=[a for a, _ in answers], retry_after=[w for _, w in answers])[["client", "at", "allowed", "retry_after"]]
         state.update((list(seen),))
         state.setTimeoutDuration(int(window * 1000) + 1)
 
