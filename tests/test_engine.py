@@ -227,10 +227,11 @@ def test_stream_limits_as_batch(spark, tmp_path):
     requests = spark.createDataFrame(rows, "client string, at double")
     requests.repartition(3).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(requests.schema).json(str(tmp_path / "in"))
-    query = jobs.rate_limit_stream(stream, 2, 10.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).start()
-    try:  # state with time-outs keeps a stream running, so it does not end by itself
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    got = sorted(map(repr, map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())))
+    # State with time-outs keeps a stream running, so it does not end by itself.
+    query = jobs.rate_limit_stream(stream, 2, 10.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).start()
+    deadline, got = time.time() + 60, []
+    while len(got) < len(rows) and time.time() < deadline and query.isActive:
+        time.sleep(1)
+        got = sorted(map(repr, map(tuple, spark.table("limited").collect())))
+    query.stop()
     assert got == sorted(map(repr, map(tuple, limits.rate_limit(requests, 2, 10.0).collect())))
