@@ -109,15 +109,15 @@ def judge(ruled: DataFrame, host: str = "source", **options) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
     """The rows and columns of ``docs`` that pass, all as they were, whatever their names.
 
-    The rules run once: rows that pass are checkpointed with their verdicts, of which the hosts' are counted. Rows are joined with
-    the failing hosts only, broadcast up to BROADCAST_HOSTS of them; beyond, the skew join splits hot hosts. Null
-    texts go, null hosts are one host, repeated rows stay or go together, and an empty table gives no rows.
+    The rules run twice, once for the counts of the hosts and once for the rows, which leaves no copy of the texts on
+    disk and shuffles none. Rows are joined with the failing hosts only, broadcast up to BROADCAST_HOSTS of them;
+    beyond, the skew join splits hot hosts. Null texts go, null hosts are one host, repeated rows stay or go together,
+    and an empty table gives no rows.
     """
     rows = docs.select(as_row(docs).alias("_row"), column(text).alias("text"), column(host).alias("host"))
-    failed = F.col("base_failed")
-    ruled = materialise(with_base_rules(rows).select(F.when(~failed, F.col("_row")).alias("_row"), "host", "base_failed"))
-    bad = materialise(host_verdicts(ruled, "host", **options).where("host_failed").select(F.col("host").alias("_host")))
-    good, many = ruled.where("NOT base_failed"), bad.count()
+    slim = with_base_rules(rows.drop("_row")).select("host", "base_failed")
+    bad = materialise(host_verdicts(slim, "host", **options).where("host_failed").select(F.col("host").alias("_host")))
+    good, many = with_base_rules(rows).where("NOT base_failed"), bad.count()
     if many:
         good = good.join(F.broadcast(bad) if many <= BROADCAST_HOSTS else bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti")
     return good.select(*from_row(docs))
