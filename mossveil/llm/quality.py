@@ -16,7 +16,7 @@ from mossveil.llm.common import materialise
 #: White space between words: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 #: Failing hosts are broadcast if there are no more than these, some 10 MB.
@@ -36,32 +36,36 @@ def from_row(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     return [F.col("_row")[c].alias(c) for c in df.columns if c not in without]
 
 
-def with_base_rules(df: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def with_base_rules(df: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, figures: tuple[str, ...] = BASE) -> DataFrame:
     """Add the figures of BASE and ``base_failed``; other columns pass through (those of these names are replaced).
 
-    Null and empty texts have no words, so they fail. Repeated 3-word windows are found by their 64-bit hashes,
-    sorted within the row, so a very long text takes n log n; no shuffle takes place. Repeated rows are judged one
-    by one, and an empty table gives no rows.
+    Null and empty texts have no words, so they fail. Repeated 3-word windows are found by their 64-bit hashes; they
+    are sorted within the row only where two are equal, so a very long text takes n log n; no shuffle takes place.
+    Repeated rows are judged one by one, and an empty table gives no rows. ``figures`` names those to add, of BASE;
+    the verdict is the same with any.
     """
-    new = (*BASE, "base_failed")
+    new = (*figures, "base_failed")
     words = df.select(as_row(df, new).alias("_row"), F.coalesce(column(text), F.lit("")).alias("_t")).withColumn("_w", F.filter(F.split("_t", "[ \t\n\x0b\x0c\r]+"), lambda w: w != ""))
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.ltrim(x, F.lit(BLANKS)) != "")
     counted = words.select(
         "_row",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("_l"),
-        F.expr("sort_array(transform(sequence(0, greatest(size(_w) - 3, 0)), i -> named_struct('h', xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), 'i', i)))").alias("_s"),
+        F.expr("transform(sequence(0, greatest(size(_w) - 3, 0)), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)))").alias("_h"),
     )
-    found = counted.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h OR x.h = get(_s, k + 1).h), x -> x.i))"))
+    # Most texts repeat no window; a set of hashes tells them at a fraction of the cost of sorting.
+    ordered = counted.withColumn("_s", F.expr("if(size(array_distinct(_h)) < size(_h), sort_array(transform(_h, (h, i) -> named_struct('h', h, 'i', i))), CAST(array() AS ARRAY<STRUCT<h: BIGINT, i: INT>>))"))
+    found = ordered.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h OR x.h = get(_s, k + 1).h), x -> x.i))"))
     covered = F.expr("aggregate(_p, named_struct('e', 0, 'n', 0), (a, p) -> named_struct('e', p + 3, 'n', a.n + p + 3 - greatest(p, a.e)), a -> CAST(a.n AS BIGINT))")
-    figures = F.struct("n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
+    all_figures = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols")} | {"n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"), "n_repeat_words": covered}
+    made = F.struct(*[all_figures[c].alias(c) for c in dict.fromkeys((*figures, "n_words", "n_repeat_words"))])
     # Generated rather than projected: a filter on the figures must not be pushed into the expressions above, which
     # would then be evaluated anew for every element of their arrays.
-    out = found.select("_row", F.explode(F.array(figures)).alias("_r"))
+    out = found.select("_row", F.explode(F.array(made)).alias("_r"))
     failed = (F.col("_r.n_words") < min_words) | (100 * F.col("_r.n_repeat_words") > max_repeat_percent * F.col("_r.n_words"))
-    return out.select(*from_row(df, new), "_r.*", failed.alias("base_failed"))
+    return out.select(*from_row(df, new), *[F.col(f"_r.{c}").alias(c) for c in figures], failed.alias("base_failed"))
 
 
 def host_verdicts(ruled: DataFrame, host: str = "source", lift: float = 3.0, errors: float = 3.0) -> DataFrame:
@@ -115,9 +119,9 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", **optio
     and an empty table gives no rows.
     """
     rows = docs.select(as_row(docs).alias("_row"), column(text).alias("text"), column(host).alias("host"))
-    slim = with_base_rules(rows.drop("_row")).select("host", "base_failed")
+    slim = with_base_rules(rows.drop("_row"), figures=()).select("host", "base_failed")
     bad = materialise(host_verdicts(slim, "host", **options).where("host_failed").select(F.col("host").alias("_host")))
-    good, many = with_base_rules(rows).where("NOT base_failed"), bad.count()
+    good, many = with_base_rules(rows, figures=()).where("NOT base_failed"), bad.count()
     if many:
         good = good.join(F.broadcast(bad) if many <= BROADCAST_HOSTS else bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti")
     return good.select(*from_row(docs))
