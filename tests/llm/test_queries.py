@@ -30,6 +30,9 @@ def test_quality_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, _t string, base_failed int").selectExpr("*", "1 as _row", "text as _text", "2 as kept", "source as host", "3 as `a.b`")
     got = {(r.doc_id): (r.n_words, r.n_repeat_words, r.base_failed) for r in quality.with_base_rules(df).collect()}
     assert got == {1: (60, 0, False), 2: (0, 0, True), 3: (0, 0, True), 4: (90, 90, True), 5: (60, 0, False), 6: (0, 0, True)}
+    fewer = quality.with_base_rules(df.drop("base_failed"), figures=("n_dup_lines",))
+    assert fewer.columns == [c for c in df.columns if c != "base_failed"] + ["n_dup_lines", "base_failed"]
+    assert {r.doc_id: r.base_failed for r in fewer.collect()} == {d: v[2] for d, v in got.items()}
     same = [tuple(r) for r in df.collect() if r.doc_id in (1, 5)]
     assert sorted(map(tuple, quality.keep_good(df).collect())) == sorted(same)
     assert quality.keep_good(df).dtypes == df.dtypes
