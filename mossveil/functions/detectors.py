@@ -30,6 +30,8 @@ HONORIFIC_TAILS = "님씨군양"
 ACCOUNT_CUES = "계좌 입금 이체 예금주 예금 출금 송금 은행 뱅크".split()
 BIRTH_ANCHORS = "출생년월일 생년월일 출생일 생일".split()
 PASSPORT_CUE = "여권"
+#: Also read as it stands by the SQL that checks the engine.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,63}"
 RRN_WEIGHTS = [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]
 BUSINESS_WEIGHTS = [1, 3, 7, 1, 3, 7, 1, 3, 5]
 # ----------------------------------------------------------------------------------------------------------------
@@ -98,7 +100,7 @@ def phone(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    found = find(text, r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,63}")
+    found = find(text, EMAIL)
     return guarded(text, F.contains(text, F.lit("@")), F.transform(found, lambda m: span("email", "EmailDetector", m["match"], m["start"], m["end"], 1.0)))
 
 

@@ -41,7 +41,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- documents -------------------------------------------------------------------------------------------------
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,63}"
+EMAIL = rules.EMAIL
 NUMBER = r"[0-9]{4}[ .-]{1,3}[0-9]{4}[ .-]{1,3}[0-9]{4}[ .-]{1,3}[0-9]{1,4}|[0-9]{4}[ .-]{1,3}[0-9]{6}[ .-]{1,3}[0-9]{5}|[0-9]+"
 
 
