@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossveil.llm import bpe, chat, lines, ngrams, packing, passages, quality, tokenfile, vectors, warc
+from mossveil.llm import bpe, chat, divergence, languages, lines, negatives, ngrams, packing, passages, quality, tokenfile, vectors, warc
 from mossveil.llm.common import materialise, scratch_dir, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns))
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", languages.held_out())
+    model = languages.learn(docs.where("NOT held_out"))
+    return languages.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_vectors": op2_vectors,
@@ -91,10 +107,14 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_chat": op10_chat,
+    "op11_languages": op11_languages,
+    "op12_divergence": op12_divergence,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality": quality.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_chat": chat.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
