@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossveil.llm.common import map_arrow, slices
+from mossveil.llm.common import map_arrow, quoted, slices
 
 #: Places of the hash table, and its cells (places times languages) at most; beyond 64 languages places are halved.
 PLACES, CELLS, LEAST_PLACES = 1 << 18, 1 << 24, 1 << 12
@@ -190,10 +190,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return done.select(*[F.col("text") if c == "text" else F.col(f"_row._{i + 1}").alias(c) for i, c in enumerate(rest)], *added)
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from learning: crc32 of its id as text, modulo 4, is 2. A null id is not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

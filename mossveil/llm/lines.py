@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossveil.llm.common import map_arrow, materialise, numbered, saved
+from mossveil.llm.common import map_arrow, materialise, numbered, quoted, saved
 from mossveil.llm.shingles import BASE, INVERSE, U64, mix, repeated, text_bytes, word_hashes
 
 #: Scripts written without blanks, whose code points are words: Thai, Lao, Burmese, Khmer, kana and Han.
@@ -56,8 +56,8 @@ def spread(text: str) -> str:
 
 
 def least_words(similarity: float) -> int:
-    """Words of the shortest line of which one may change: 5 at 0.8."""
-    return math.ceil(1 / (1 - similarity) - 1e-9)
+    """Words of the shortest line of which one may change: 5 at 0.8, and none has as many at 1."""
+    return math.ceil(1 / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30
 
 
 #: Bytes that begin the UTF-8 of a code point which UNSPACED may match.
@@ -216,7 +216,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Lines end at ``\\n``; words are ``[^\\x20\\x09-\\x0D]+``, and each code point of a script without blanks (UNSPACED)
     is a word; lines are compared by their words. A line is dropped if an earlier one has the same words, or is within
     one word edit, which may be at most a share of 1 - ``similarity`` of the longer of the two: at 0.8 that one has
-    five words or more, and at 0 any two lines within one edit meet, whatever their length. Lines without words stay.
+    five words or more, at 0 any two lines within one edit meet, whatever their length, and at 1 equal lines alone. Lines without words stay.
     Null texts stay null with no lines; rows with a null ``doc_id`` stay as they are. Rows that repeat a document's id
     and text are at the same place, so neither is a copy of the other; of rows that share an id but not the text, which place of a line is its first is open. An empty table gives no rows; very long texts
     are taken line by line. All other columns pass through, also those named like the working columns here; columns
@@ -224,7 +224,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     gone = materialise(line_verdicts(docs, similarity)).distinct()
     cut = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).agg(F.collect_list("line_no").alias("_gone"))
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text_id"), "text")
+    work = docs.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text_id"), "text")
     work = work.join(cut, ["_id", "_text_id"], "left").select("_row", "text", "_gone")
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -239,8 +239,8 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     row = work.schema["_row"].dataType.simpleString()
     done = map_arrow(work, apply, f"_row {row}, text string, n_lines long, n_removed long")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return done.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in rest], "n_lines", "n_removed")
+    rest = [(i, c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
+    return done.select(*[F.col("text") if c == "text" else F.col(f"_row.c{i}").alias(c) for i, c in rest], "n_lines", "n_removed")
 
 
 def keep_first_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -249,7 +249,7 @@ def keep_first_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     Columns, null texts, null ids, repeated rows and empty tables are as with ``dedup_lines``; here a caller's
     ``n_lines`` and ``n_removed`` stay too.
     """
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    others = F.struct(F.lit(0).alias("c"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
     done = dedup_lines(docs.select("doc_id", "text", others.alias("_others")), similarity)
     done = done.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_others.`{c}`") for c in docs.columns])
+    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_others.c{i}").alias(c) for i, c in enumerate(docs.columns)])
