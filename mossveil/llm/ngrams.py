@@ -26,7 +26,10 @@ from mossveil.llm.shingles import BASE, U64, mix, ngram_hashes, word_hashes
 
 def choose_bands(threshold: float, recall: float, stray: float = 0.2) -> tuple[int, int]:
     """Bands and their rows: the fewest rows with which a pair of half the threshold shares a band at most ``stray``
-    often, and the bands that give a pair at the threshold the target recall."""
+    often, and the bands that give a pair at the threshold the target recall. A recall of 1 has one band without rows,
+    which all sets share."""
+    if recall >= 1:
+        return 1, 0
     for rows in range(1, 33):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
         if 1 - (1 - (threshold / 2) ** rows) ** bands <= stray:

@@ -146,6 +146,17 @@ def test_vectors_recall_holds_at_several_counts(spark):
         assert total > count / 2 and all(got[i] <= want[i][0] for i in got) and sum(got.values()) >= 0.98 * total
 
 
+def test_a_recall_of_one_finds_every_link(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((150, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.13 * rng.standard_normal((150, 12)), x[:5]]))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1, block=64).collect()}
+    assert got == brute_vectors(rows)
+    words = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(words[: 60 - i % 12] + [f"x{i}"] * (i % 3))) for i in range(90)] + [(200, ""), (201, None)]
+    assert {tuple(r) for r in ngrams.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), recall=1, block=16).collect()} == brute_docs(texts)
+
+
 def test_an_id_with_two_vectors_is_two_rows(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.1, 1.0]
     rows = [(1, a), (1, b), (2, a), (3, b), (3, c), (4, c), (4, c)]
