@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mossveil.functions.spans import ASCII_DIGITS, DIGITS, SPANS, ascii_digits, digit, find, group, let, real_date, span, weighted
+from mossveil.functions.spans import ASCII_DIGITS, DIGITS, SPANS, ascii_digits, digit, find, find_near, group, let, near_digits, real_date, span, weighted
 
 # ---- fixed values ----------------------------------------------------------------------------------------------
 PROVINCES = (
@@ -45,6 +45,22 @@ SEP = r"[-.\s\x1c-\x1f]?"
 Detector = Callable[[Column], Column]
 
 
+def of_numbers(body: Callable[[Column, Column], Column]) -> Detector:
+    """A detector that looks only near digits, at windows that are given or made for it alone."""
+
+    def detector(text: Column, near: Column | None = None) -> Column:
+        return body(text, near) if near is not None else let(near_digits(text), lambda windows: body(text, windows))
+
+    detector.takes_windows = True
+    detector.__doc__ = body.__doc__
+    return detector
+
+
+def all_spans(spans: Column) -> Column:
+    """Spans of windows; none for null texts too."""
+    return F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))
+
+
 def longest_first(words: list[str]) -> str:
     return "|".join(sorted(dict.fromkeys(words), key=len, reverse=True))
 
@@ -59,44 +75,43 @@ def hangul(text: Column) -> Column:
     return text.rlike(HANGUL)
 
 
-def numbers(text: Column, least: int) -> Column:
-    """A cheap test that a text has that many digits at all."""
-    return text.rlike(r"(?U)\d(?:\D{0,8}\d){" + str(least - 1) + "}")
-
-
-def rrn(text: Column) -> Column:
+@of_numbers
+def rrn(text: Column, near: Column) -> Column:
     """Resident and foreigner registration numbers; 1.0 with a right check digit, else 0.85."""
-    found = find(text, NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER)
+    found = find_near(near, NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER)
     d = lambda m: ascii_digits(m["match"])
     century = lambda m: F.when(digit(d(m), 6).isin(1, 2, 5, 6), "19").otherwise("20")
     real = F.filter(found, lambda m: real_date(F.concat(century(m), F.substring(d(m), 1, 2)), F.substring(d(m), 3, 2), F.substring(d(m), 5, 2)))
     right = lambda m: (F.lit(11) - weighted(d(m), RRN_WEIGHTS) % 11) % 10 == digit(d(m), 12)
-    return guarded(text, numbers(text, 7), F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))))
+    return all_spans(F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))))
 
 
-def passport(text: Column) -> Column:
+@of_numbers
+def passport(text: Column, near: Column) -> Column:
     """Passport numbers; 0.9 with the cue in the 15 characters before, else 0.6."""
-    found = find(text, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])")
-    low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
-    cued = lambda m: F.contains(F.substring(text, low(m) + 1, m["start"] - low(m)), F.lit(PASSPORT_CUE))
-    return guarded(text, text.rlike(r"(?U)[MSROD]\d{3}"), F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
+    found = find_near(near, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])")
+    cued = lambda m: F.contains(m["lead"], F.lit(PASSPORT_CUE))
+    return all_spans(F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
 
 
-def driver_license(text: Column) -> Column:
-    found = find(text, r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])")
-    return guarded(text, numbers(text, 8), F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)))
+@of_numbers
+def driver_license(text: Column, near: Column) -> Column:
+    """Driving licence numbers of the known regions."""
+    found = find_near(near, r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])")
+    return all_spans(F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)))
 
 
-def phone(text: Column) -> Column:
+@of_numbers
+def phone(text: Column, near: Column) -> Column:
     """Mobile numbers first, then landline, internet and personal numbers."""
     rest = SEP + r"\d{3,4}" + SEP + r"\d{4}" + NO_DIGIT_AFTER
-    mobile = find(text, NO_DIGIT_BEFORE + r"(?:\+82" + SEP + r"0?|0)1[016789]" + rest)
-    fixed = find(text, NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest)
+    mobile = find_near(near, NO_DIGIT_BEFORE + r"(?:\+82" + SEP + r"0?|0)1[016789]" + rest)
+    fixed = find_near(near, NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest)
 
     def spans(found: Column, separated: float, bare: float) -> Column:
         return F.transform(found, lambda m: span("phone", "PhoneDetector", m["match"], m["start"], m["end"], F.when(m["match"].rlike("[-. ]"), separated).otherwise(bare)))
 
-    return guarded(text, numbers(text, 8), F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)))
+    return all_spans(F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)))
 
 
 def email(text: Column) -> Column:
@@ -141,29 +156,31 @@ def address(text: Column) -> Column:
     return guarded(text, text.rlike("[시군도]"), ordered)
 
 
-def card(text: Column) -> Column:
+@of_numbers
+def card(text: Column, near: Column) -> Column:
     """Card numbers of 13 to 19 digits with a right Luhn digit."""
-    found = find(text, NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER)
+    found = find_near(near, NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER)
     d = lambda m: ascii_digits(m["match"])
     right = F.filter(found, lambda m: F.length(d(m)).between(13, 19) & F.call_function("luhn_check", d(m)))
-    return guarded(text, numbers(text, 13), F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)))
+    return all_spans(F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)))
 
 
-def account(text: Column) -> Column:
+@of_numbers
+def account(text: Column, near: Column) -> Column:
     """Account numbers of 10 to 14 digits with a cue within 15 characters."""
-    found = find(text, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])")
-    low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
-    cued = lambda m: F.substring(text, low(m) + 1, m["end"] + 15 - low(m)).rlike("|".join(ACCOUNT_CUES))
-    kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & cued(m))
-    return guarded(text, hangul(text) & text.rlike("|".join(ACCOUNT_CUES)), F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
+    found = find_near(near, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])")
+    kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & m["context"].rlike("|".join(ACCOUNT_CUES)))
+    return all_spans(F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
 
 
-def business_registration(text: Column) -> Column:
-    found = find(text, NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER)
+@of_numbers
+def business_registration(text: Column, near: Column) -> Column:
+    """Business registration numbers with a right check digit."""
+    found = find_near(near, NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER)
     d = lambda m: ascii_digits(m["match"])
     total = lambda m: weighted(d(m), BUSINESS_WEIGHTS) + F.floor(digit(d(m), 8) * 5 / 10)
     right = F.filter(found, lambda m: (F.lit(10) - total(m) % 10) % 10 == digit(d(m), 9))
-    return guarded(text, text.rlike(r"(?U)\d-\d"), F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)))
+    return all_spans(F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)))
 
 
 #: Takes nothing, and keeps what follows, as long as the longest label word.
@@ -174,7 +191,7 @@ TITLE_ONLY = [t for t in TITLES if t not in HONORIFICS]
 def name(text: Column, min_confidence: float = 0.0) -> Column:
     """Names by surname and cues: 0.75 with cues on both sides, 0.5 with one."""
     pattern = (
-        rf"(?<lead>(?:(?<prefix>{longest_first(ROLES + sorted(TITLE_ONLY))})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL}){AHEAD}"
+        rf"(?<lead>(?:(?<prefix>{longest_first(ROLES + TITLE_ONLY)})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL}){AHEAD}"
         rf"(?<name>(?:{longest_first(SURNAMES)}){HANGUL}(?:(?![{HONORIFIC_TAILS}]){HANGUL})?)"
         rf"(?:{WS}?(?<suffix>{longest_first(HONORIFICS + TITLES)}))?"
     )
@@ -197,14 +214,15 @@ def name_candidate(text: Column) -> Column:
     return F.coalesce(text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))) | loose, F.lit(False))
 
 
-def birth_date(text: Column) -> Column:
+@of_numbers
+def birth_date(text: Column, near: Column) -> Column:
     """Real dates behind a birth label; the span is the date."""
     day = rf"\d{{4}}{WS}?년{WS}?\d{{1,2}}{WS}?월{WS}?\d{{1,2}}{WS}?일|\d{{4}}[-./]\d{{1,2}}[-./]\d{{1,2}}"
-    found = find(text, rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})", ("lead", "date"))
+    found = find_near(near, rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})", ("lead", "date"))
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))
     at = lambda m: m["start"] + F.length(group(m, 0))
-    return guarded(text, hangul(text) & text.rlike(longest_first(BIRTH_ANCHORS)), F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)))
+    return all_spans(F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)))
 
 
 #: The default set; the order breaks ties when spans overlap.

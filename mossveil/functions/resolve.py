@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mossveil.functions.detectors import RRN_WEIGHTS
-from mossveil.functions.spans import SPANS, append, empty_list, items
+from mossveil.functions.spans import SPANS, before, blocks, cut, let
 
 #: Labels of the kinds.
 LABELS = {
@@ -38,13 +38,11 @@ def resolve(text: Column, spans: Column) -> Column:
     """
     keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (s["start"] - s["end"]).alias("shorter"), (-s["confidence"]).alias("unsure"), i.alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["confidence"].alias("confidence"), s["detector"].alias("detector"), s["text"].alias("text")))
     kept = "struct<kind:string,start:int,end:int,confidence:double,detector:string,text:string>"
-    start = F.struct(F.lit(None).cast(kept).alias("last"), empty_list(kept).alias("done"))
+    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["detector"].alias("detector"), s["text"].alias("text")).cast(kept)
 
-    def step(state: Column, s: Column) -> Column:
-        last = state["last"]
-        plain = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["confidence"].alias("confidence"), s["detector"].alias("detector"), s["text"].alias("text")).cast(kept)
+    def join(last: Column, s: Column) -> Column:
         surer = s["confidence"] > last["confidence"]
-        joined = F.struct(
+        return F.struct(
             F.when(surer, s["kind"]).otherwise(last["kind"]).alias("kind"),
             last["start"].alias("start"),
             F.greatest(s["end"], last["end"]).alias("end"),
@@ -52,31 +50,47 @@ def resolve(text: Column, spans: Column) -> Column:
             F.when(surer & (s["end"] > last["end"]), s["detector"]).otherwise(last["detector"]).alias("detector"),
             F.when(s["end"] <= last["end"], last["text"]).alias("text"),  # a longer one is cut out anew
         ).cast(kept)
-        apart = last.isNull() | (s["start"] >= last["end"])
-        done = F.when(apart & last.isNotNull(), append(state["done"], last, kept)).otherwise(state["done"])
-        return F.struct(F.when(apart, plain).otherwise(joined).alias("last"), done.alias("done"))
 
-    merged = F.aggregate(F.sort_array(keyed), start, step, lambda s: F.when(s["last"].isNull(), items(s["done"])).otherwise(F.concat(items(s["done"]), F.array(s["last"]))))
-    return F.transform(merged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["text"], F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("text"), s["confidence"].alias("confidence"), s["detector"].alias("detector"))).cast(SPANS)
+    def islands(ordered: Column) -> Column:
+        """Runs of overlapping spans: one begins where no earlier span reaches."""
+        reached = before(F.transform(ordered, lambda s: s["end"]), F.lit(-1), lambda a, x: F.greatest(a, x))
+        every = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+        heads = let(reached, lambda ends: F.filter(every, lambda i: F.get(ordered, i)["start"] >= F.get(ends, i)))
+        return let(heads, lambda hs: F.transform(hs, lambda h, k: F.slice(ordered, h + 1, F.coalesce(F.get(hs, k + 1), F.size(ordered)) - h)))
+
+    one = lambda run: F.aggregate(F.slice(run, F.lit(2), F.greatest(F.size(run) - 1, F.lit(0))), plain(F.get(run, F.lit(0))), join)
+    merged = F.transform(let(F.sort_array(keyed), islands), one)
+    done = lambda pieces: F.transform(merged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["text"], cut(pieces, s["start"], s["end"] - s["start"])).alias("text"), s["confidence"].alias("confidence"), s["detector"].alias("detector")))
+    return F.when(F.size(spans) > 0, let(blocks(text), done).cast(SPANS)).otherwise(spans.cast(SPANS))
 
 
 def first_only(spans: Column) -> Column:
-    """The display rule: by start, longer first; spans that begin before the last one's end are left out."""
+    """The display rule: by start, longer first; spans that begin before the last one's end are left out.
+
+    The fold notes a sign for each span, 1 for those that stay; a list of spans would be copied at every step.
+    """
     keyed = F.sort_array(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("longer"), i.alias("place"), s.alias("span"))))
-    none = F.array().cast(SPANS)
-    return F.aggregate(keyed, none, lambda done, k: F.when((F.size(done) == 0) | (k["start"] >= F.try_element_at(done, F.lit(-1))["end"]), F.concat(done, F.array(k["span"]))).otherwise(done))
+    start = F.struct(F.lit(-1).alias("end"), F.lit("").alias("signs"))
+
+    def step(state: Column, k: Column) -> Column:
+        stays = k["start"] >= state["end"]
+        return F.struct(F.when(stays, -k["longer"]).otherwise(state["end"]).alias("end"), F.concat(state["signs"], F.when(stays, "1").otherwise("0")).alias("signs"))
+
+    shown = lambda ks: let(F.split(F.aggregate(ks, start, step, lambda s: s["signs"]), ""), lambda signs: F.transform(F.filter(F.transform(ks, lambda k, i: F.struct(k["span"].alias("span"), (F.get(signs, i) == "1").alias("stays"))), lambda x: x["stays"]), lambda x: x["span"]))
+    return F.when(F.size(spans) > 0, let(keyed, shown).cast(SPANS)).otherwise(spans.cast(SPANS))
 
 
 def segments(text: Column, spans: Column) -> Column:
     """The whole text in order: array of struct(is_span, text, kind, confidence), empty plain parts left out."""
-    part = lambda s, before: F.array(
-        F.struct(F.lit(False).alias("is_span"), F.substring(text, before + 1, s["start"] - before).alias("text"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence")),
-        F.struct(F.lit(True).alias("is_span"), s["text"].alias("text"), s["kind"].alias("kind"), s["confidence"].alias("confidence")),
-    )
-    parts = F.flatten(F.transform(spans, lambda s, i: part(s, previous_end(spans, i))))
+    plain = lambda part: F.struct(F.lit(False).alias("is_span"), part.alias("text"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence"))
+    found = lambda s: F.struct(F.lit(True).alias("is_span"), s["text"].alias("text"), s["kind"].alias("kind"), s["confidence"].alias("confidence"))
     end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
-    tail = F.array(F.struct(F.lit(False).alias("is_span"), F.substring(text, end + 1, F.length(text)).alias("text"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence")))
-    return F.filter(F.concat(parts, tail), lambda p: p["is_span"] | (p["text"] != ""))
+
+    def parts(pieces: Column) -> Column:
+        each = F.flatten(F.transform(spans, lambda s, i: F.array(plain(cut(pieces, previous_end(spans, i), s["start"] - previous_end(spans, i))), found(s))))
+        return F.concat(each, F.array(plain(cut(pieces, end, F.length(text) - end))))
+
+    return F.filter(let(blocks(text), parts), lambda p: p["is_span"] | (p["text"] != ""))
 
 
 def previous_end(spans: Column, i: Column) -> Column:
@@ -85,16 +99,25 @@ def previous_end(spans: Column, i: Column) -> Column:
 
 def rewrite(text: Column, spans: Column, value) -> Column:
     """The text with every span replaced by ``value(span)``; spans are disjoint and in order."""
-    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, previous_end(spans, i) + 1, s["start"] - previous_end(spans, i)), value(s)))
+    return rewrite_each(text, spans, lambda s, i: value(s))
+
+
+def rewrite_each(text: Column, spans: Column, value) -> Column:
+    """``rewrite`` by a function of a span and its number."""
     end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
-    return F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))
+
+    def whole(pieces: Column) -> Column:
+        parts = F.transform(spans, lambda s, i: F.concat(cut(pieces, previous_end(spans, i), s["start"] - previous_end(spans, i)), value(s, i)))
+        return F.concat(F.array_join(parts, ""), cut(pieces, end, F.length(text) - end))
+
+    return F.when(F.size(spans) > 0, let(blocks(text), whole)).otherwise(text)
 
 
 def mask(text: Column, spans: Column, char: str = "*", keep_head: int = 0) -> Column:
     """Replace by as many signs; the first ``keep_head`` characters stay, but never more than half of the span."""
     size = lambda s: s["end"] - s["start"]
     head = lambda s: F.least(F.lit(keep_head), F.floor(size(s) / 2).cast("int"))
-    return rewrite(text, spans, lambda s: F.concat(F.substring(text, s["start"] + 1, head(s)), F.repeat(F.lit(char), size(s) - head(s))))
+    return rewrite(text, spans, lambda s: F.concat(F.substring(s["text"], F.lit(1), head(s)), F.repeat(F.lit(char), size(s) - head(s))))
 
 
 def label_of(kind: Column, labels: dict[str, str] | None = None) -> Column:
@@ -104,13 +127,37 @@ def label_of(kind: Column, labels: dict[str, str] | None = None) -> Column:
 
 def label(text: Column, spans: Column, labels: dict[str, str] | None = None, numbered: bool = False) -> Column:
     """Replace by ``[label]``; numbered ones count the distinct texts of a kind by first appearance."""
+    named = lambda s, number: F.concat(F.lit("["), label_of(s["kind"], labels), number, F.lit("]"))
+    if not numbered:
+        return rewrite(text, spans, lambda s: named(s, F.lit("")))
+    return let(numbers_of(spans), lambda numbers: rewrite_each(text, spans, lambda s, i: named(s, F.get(numbers, i).cast("string"))))
 
-    def value(s: Column) -> Column:
-        same = F.array_distinct(F.transform(F.filter(spans, lambda x: x["kind"] == s["kind"]), lambda x: x["text"]))
-        number = F.array_position(same, s["text"]).cast("string") if numbered else F.lit("")
-        return F.concat(F.lit("["), label_of(s["kind"], labels), number, F.lit("]"))
 
-    return rewrite(text, spans, value)
+def numbers_of(spans: Column) -> Column:
+    """For each span, the number of its text among the distinct texts of its kind, by first appearance.
+
+    By sorting: equal texts come together with their first place ahead, then the texts of a kind in order of it.
+    """
+    last = lambda values: before(values, F.lit(None).cast("int"), lambda a, x: F.coalesce(x, a))
+    changed = lambda xs, i, *fields: (i == 0) | F.array(*[F.get(xs, i)[f].cast("string") for f in fields]).eqNullSafe(F.array(*[F.get(xs, i - 1)[f].cast("string") for f in fields])).__invert__()
+
+    def with_first(same: Column) -> Column:
+        firsts = F.transform(same, lambda x, j: F.when(changed(same, j, "kind", "text"), x["place"]))
+        return let(firsts, lambda fs: let(last(fs), lambda ls: F.sort_array(F.transform(same, lambda x, j: F.struct(x["kind"].alias("kind"), F.coalesce(F.get(fs, j), F.get(ls, j)).alias("first"), x["place"].alias("place"))))))
+
+    def with_number(ordered: Column) -> Column:
+        new = F.transform(ordered, lambda x, j: F.when(changed(ordered, j, "kind", "first"), 1).otherwise(0))
+        counts = let(new, lambda ns: let(before(ns, F.lit(0), lambda a, x: a + x), lambda bs: F.transform(ns, lambda n, j: n + F.get(bs, j))))
+
+        def numbered(cs: Column) -> Column:
+            starts = F.transform(ordered, lambda x, j: F.when(changed(ordered, j, "kind"), F.get(cs, j) - 1))
+            number = lambda ss, ls: F.transform(ordered, lambda x, j: F.struct(x["place"].alias("place"), (F.get(cs, j) - F.coalesce(F.get(ss, j), F.get(ls, j))).alias("number")))
+            return F.transform(F.sort_array(let(starts, lambda ss: let(last(ss), lambda ls: number(ss, ls)))), lambda x: x["number"])
+
+        return let(counts, numbered)
+
+    same = F.sort_array(F.transform(spans, lambda s, i: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), i.alias("place"))))
+    return let(let(same, with_first), with_number)
 
 
 def pseudonym(text: Column, spans: Column, row_key: Column, salt: str | None = None) -> Column:

@@ -39,41 +39,86 @@ def let(value: Column, body) -> Column:
 
 
 def _places(parts: Column, groups: int) -> Column:
-    """Matches out of pieces, of which every second is one. Places are prefix sums of lengths, taken in two steps so
-    that they cost little more than linear time; a fold would copy all it has built at every step."""
-    step = 100
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    """Matches out of pieces, of which every second is one."""
     lengths = F.transform(parts, lambda p: F.length(F.get(p, F.lit(0))))
 
-    def matches(ls: Column, before: Column) -> Column:
-        chunk = lambda i: F.floor(i / step).cast("int")
-        at = lambda i: F.get(before, chunk(i)) + total(F.slice(ls, chunk(i) * step + 1, i % step))
-        one = lambda i: let(at(i), lambda a: F.struct(a.alias("start"), (a + F.get(ls, i)).alias("end"), F.get(F.get(parts, i), F.lit(0)).alias("match"), F.slice(F.get(parts, i), 2, groups).alias("groups")))
+    def matches(ls: Column, starts: Column) -> Column:
+        one = lambda i: let(F.get(starts, i), lambda a: F.struct(a.alias("start"), (a + F.get(ls, i)).alias("end"), F.get(F.get(parts, i), F.lit(0)).alias("match"), F.slice(F.get(parts, i), 2, groups).alias("groups")))
         every = F.when(F.size(ls) > 1, F.sequence(F.lit(1), F.size(ls) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
         return F.transform(every, one)
 
-    chunks = lambda ls: F.transform(F.sequence(F.lit(0), F.floor(F.size(ls) / step).cast("int")), lambda c: total(F.slice(ls, c * step + 1, F.lit(step))))
-    prefix = lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
-    return let(lengths, lambda ls: let(let(chunks(ls), prefix), lambda before: matches(ls, before)))
+    return let(lengths, lambda ls: let(before(ls, F.lit(0), lambda a, x: a + x), lambda starts: matches(ls, starts)))
+
+
+def before(values: Column, zero: Column, merge) -> Column:
+    """For each place of an array, the values before it folded by ``merge`` (associative, ``zero`` changes nothing).
+
+    The fold is taken over chunks and then within them, so that it costs little more than linear time; a fold that
+    builds a list would copy all it has built at every step.
+    """
+    step = 100
+    fold = lambda xs: F.aggregate(xs, zero, merge)
+    chunk = lambda i: F.floor(i / step).cast("int")
+    chunks = lambda vs: F.transform(F.sequence(F.lit(0), chunk(F.size(vs))), lambda c: fold(F.slice(vs, c * step + 1, F.lit(step))))
+    prefix = lambda sums: F.transform(sums, lambda _, i: fold(F.slice(sums, F.lit(1), i)))
+    each = lambda vs, pre: F.transform(vs, lambda _, i: merge(F.get(pre, chunk(i)), fold(F.slice(vs, chunk(i) * step + 1, i % step))))
+    return let(values, lambda vs: let(let(chunks(vs), prefix), lambda pre: each(vs, pre)))
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks, so that ``cut`` need not count its code points from the start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
 
+#: Code points of a block.
+BLOCK = 1000
 
-#: Lists that a fold builds are kept in chunks of so many, so that appending never copies all of a long one.
-CHUNK = 200
 
+def cut(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` code points of a text from ``start`` (from 0), out of its blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((start + length - 1) / BLOCK).cast("int")
+    part = F.when(first == last, F.get(pieces, first)).otherwise(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
+    return F.when(length > 0, F.coalesce(F.substring(part, start % BLOCK + 1, length), F.lit(""))).otherwise(F.lit(""))
+
+
+#: Windows around digits reach so far before the first and behind the last of them; stretches without a digit that are
+#: longer than GAP lie between two windows. No pattern of a detector reaches further, nor has such a gap within.
+BEFORE, AFTER, GAP = 25, 20, 30
+NEAR = "array<struct<start:int,text:string>>"
+
+
+def near_digits(text: Column, least: int = 6) -> Column:
+    """The surroundings of digits, of at least ``least`` in a row or close to each other: array of struct(start, text).
+
+    One pass over the text, which every detector of numbers can share. A match in a window is one in the text, and the
+    other way round: windows hold all that patterns look at, and what lies between them holds no digit.
+    """
+    safe = F.translate(text, MARK + FIELD, STAND_INS)
+    parts = F.split(F.regexp_replace(safe, F.lit(f"(?U)\\D{{{GAP},}}"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+
+    def windows(ps: Column, starts: Column) -> Column:
+        lead = lambda i: F.when(i > 0, F.right(F.get(ps, i - 1), F.lit(BEFORE))).otherwise(F.lit(""))
+        tail = lambda i: F.coalesce(F.left(F.get(ps, i + 1), F.lit(AFTER)), F.lit(""))
+        many = F.filter(F.sequence(F.lit(0), F.size(ps) - 1, F.lit(2)), lambda i: F.get(ps, i).rlike(f"(?U)(?:\\d\\D*){{{least}}}"))
+        return F.transform(many, lambda i: let(lead(i), lambda x: F.struct((F.get(starts, i) - F.length(x)).alias("start"), F.concat(x, F.get(ps, i), tail(i)).alias("text"))))
 
-def empty_list(kind: str) -> Column:
-    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("tail"))
+    lengths = lambda ps: F.transform(ps, lambda p: F.length(p))
+    found = let(parts, lambda ps: let(before(lengths(ps), F.lit(0), lambda a, x: a + x), lambda starts: windows(ps, starts)))
+    return F.when(text.rlike(r"(?U)\d(?:\D{0,29}\d){" + str(least - 1) + "}"), found.cast(NEAR)).otherwise(F.array().cast(NEAR))
 
 
-def append(built: Column, item: Column, kind: str) -> Column:
-    one = F.array(item).cast(f"array<{kind}>")
-    whole = F.size(built["tail"]) >= CHUNK
-    full = F.when(whole, F.concat(built["full"], F.array(built["tail"]))).otherwise(built["full"])
-    return F.struct(full.alias("full"), F.when(whole, one).otherwise(F.concat(built["tail"], one)).alias("tail"))
+def find_near(near: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
+    """Matches in windows, as ``find`` gives them, with the ``context`` of 15 characters on either side."""
 
+    def of(w: Column) -> Column:
+        low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
+        one = lambda m: F.struct(
+            (m["start"] + w["start"]).alias("start"), (m["end"] + w["start"]).alias("end"), m["match"].alias("match"), m["groups"].alias("groups"),
+            F.substring(w["text"], low(m) + 1, m["start"] - low(m)).alias("lead"), F.substring(w["text"], low(m) + 1, m["end"] + 15 - low(m)).alias("context"),
+        )
+        return F.transform(find(w["text"], pattern, groups), one)
 
-def items(built: Column) -> Column:
-    return F.flatten(F.concat(built["full"], F.array(built["tail"])))
+    return F.flatten(F.transform(near, of))
 
 
 def group(match: Column, k: int) -> Column:

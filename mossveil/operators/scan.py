@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mossveil.functions import detectors as rules
 from mossveil.functions import resolve as res
-from mossveil.functions.spans import SPANS
+from mossveil.functions.spans import SPANS, near_digits
 
 
 def fixed(df: DataFrame, name: str, value) -> DataFrame:
@@ -19,22 +19,35 @@ def fixed(df: DataFrame, name: str, value) -> DataFrame:
     It is generated rather than projected: a filter or another expression over it would else be merged with it, and
     then evaluate it anew for every use and every element of an array.
     """
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+    return df.select(*[quoted(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of the caller has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def detect(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "raw_spans") -> DataFrame:
     """Add all spans of all detectors, in their order, overlaps included. ``None`` means the default set, an empty
     mapping no detector. Row-local: one narrow stage, whatever follows."""
-    chosen = rules.DEFAULT if detectors is None else detectors
-    arrays = [d(F.col(text)) for d in chosen.values()]
-    return fixed(df, out, F.concat(*arrays) if arrays else F.array().cast(SPANS))
+    chosen = list((rules.DEFAULT if detectors is None else detectors).values())
+    near = unused(df, "_near")
+    if any(getattr(d, "takes_windows", False) for d in chosen):
+        df = fixed(df, near, near_digits(F.col(text)))  # once for all detectors of numbers
+    arrays = [d(F.col(text), F.col(near)) if getattr(d, "takes_windows", False) else d(F.col(text)) for d in chosen]
+    return fixed(df, out, F.concat(*arrays) if arrays else F.array().cast(SPANS)).drop(near)
 
 
 def scan(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "spans") -> DataFrame:
     """Add the resolved, disjoint spans of a text."""
-    raw = "_raw"
-    while raw in df.columns:
-        raw += "_"
+    raw = unused(df, "_raw")
     return fixed(detect(df, text, detectors, raw), out, res.resolve(F.col(text), F.col(raw))).drop(raw)
 
 
@@ -58,7 +71,11 @@ def anonymize(df: DataFrame, text: str = "text", strategy: str | Callable[[Colum
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans", with_text: bool = False) -> DataFrame:
     """One row per span. The found text is left out unless asked for, so that reports carry no personal data."""
     fields = ["kind", "start", "end", *(["text"] if with_text else []), "confidence", "detector"]
-    return df.select(*keys, F.explode(spans).alias("_s")).select(*keys, *[F.col(f"_s.{f}").alias(f) for f in fields])
+    if clash := [k for k in keys if k in fields]:
+        raise ValueError(f"keys named as fields of spans: {clash}")
+    row = F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0)
+    both = df.select(row.alias("_row"), F.explode(spans).alias("_span"))
+    return both.select(*[F.col(f"_row.k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"_span.{f}").alias(f) for f in fields])
 
 
 def report_json(df: DataFrame, spans: str = "spans", out: str = "report", with_text: bool = True) -> DataFrame:
@@ -113,7 +130,8 @@ def validate_input(df: DataFrame, text: str = "text", longest: int = 100_000, ou
 
 def display(df: DataFrame, text: str = "text", raw: str = "raw_spans", strategy: str = "mask", out: str = "anonymized", **options) -> DataFrame:
     """Rewrite by the display rule: of raw spans, those that begin within an earlier one are left out, not merged."""
-    return anonymize(fixed(df, "_shown", res.first_only(F.col(raw))), text, strategy, "_shown", out, **options).drop("_shown")
+    shown = unused(df, "_shown")
+    return anonymize(fixed(df, shown, res.first_only(F.col(raw))), text, strategy, shown, out, **options).drop(shown)
 
 
 def at_strength(df: DataFrame, strength: int, spans: str = "spans", out: str = "shown") -> DataFrame:
