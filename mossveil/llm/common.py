@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediates that this application has written; results that were not saved cannot be read after."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, scratch_dir(spark))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -52,12 +52,42 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths written by ``saved`` within each open ``temporary`` block, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write a (large) intermediate once as compressed Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``saved`` wrote for these, once all that is made of them has been written itself."""
+    for df in frames:
+        delete(df.sparkSession, df._saved_at)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """At its end, delete what ``saved`` has written in this block; what is used after it has to be materialised in it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: T.StructType | str, limit: int = 8 << 20) -> DataFrame:

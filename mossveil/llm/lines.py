@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossveil.llm.common import map_arrow, materialise, numbered, quoted, saved
+from mossveil.llm.common import map_arrow, materialise, numbered, quoted, saved, temporary
 from mossveil.llm.shingles import BASE, INVERSE, U64, mix, repeated, text_bytes, word_hashes
 
 #: Scripts written without blanks, whose code points are words: Thai, Lao, Burmese, Khmer, kana and Han.
@@ -222,7 +222,8 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     are taken line by line. All other columns pass through, also those named like the working columns here; columns
     named ``n_lines`` or ``n_removed`` are replaced.
     """
-    gone = materialise(line_verdicts(docs, similarity)).distinct()
+    with temporary(docs.sparkSession):
+        gone = materialise(line_verdicts(docs, similarity).distinct())
     cut = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id")).agg(F.collect_list("line_no").alias("_gone"))
     work = docs.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text_id"), "text")
     work = work.join(cut, ["_id", "_text_id"], "left").select("_row", "text", "_gone")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossveil.llm.blocks import by_group, deal, local_roots, sides
-from mossveil.llm.common import lists, map_arrow, materialise, rows_of, saved
+from mossveil.llm.common import lists, map_arrow, materialise, rows_of, saved, temporary
 from mossveil.llm.components import components
 from mossveil.llm.shingles import BASE, U64, mix, ngram_hashes, word_hashes
 
@@ -170,6 +170,11 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near-duplicates: that of the smallest ``doc_id``."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with one document of each group of near-duplicates: that of the smallest ``doc_id``.
+
+    Of rows that share an id, all stay or none. Null ids, null and empty texts stay, as they link with nothing; all
+    columns pass through, whatever their names. An empty table gives no rows.
+    """
+    with temporary(docs.sparkSession):
+        gone = materialise(near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
