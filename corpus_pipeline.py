@@ -36,8 +36,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of a power of two of ids, one piece of one document each."""
-    # Workers outlive the stage: beside the heap of the other stages, a small memory of stretches has to do.
-    pieces = packing.cut_pieces(docs, TOKENIZER, size=2048, end_id=1, with_ids=False, remembered=100_000)
+    # Workers outlive the stage: beside the heap of the other stages, a small and short memory of stretches has to do.
+    pieces = packing.cut_pieces(docs, TOKENIZER, size=2048, end_id=1, with_ids=False, remembered=100_000, forget=True)
     return packing.pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mossveil.llm.common import give_back
+
 
 def deal(members: DataFrame, keys: list[str], ident: str, size: int = 256) -> DataFrame:
     """Add ``_work`` (array of struct of left and right block) and ``_block`` to distinct (keys, ident) rows."""
@@ -64,6 +66,8 @@ def by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.n
             yield from done(held)
             held = [batch.slice(cut)]
         yield from done(held)
+        held.clear()
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,23 +91,37 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: T.StructType | str, limit: int = 8 << 20) -> DataFrame:
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system, where they can: workers are kept."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: T.StructType | str, limit: int = 8 << 20, last: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes, so that very long texts never meet in one Python list.
 
-    What Arrow has freed goes back to the system after some slices: workers outlive their stage.
+    What Arrow has freed goes back to the system after some slices: workers outlive their stage. ``last`` is called
+    at the end of each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
-        for batch in batches:
-            for part in slices(batch, limit):
-                out, done = fn(part), done + part.nbytes
-                if done >= 8 << 20 or limit >= 8 << 20:
-                    pa.default_memory_pool().release_unused()
-                    done = 0
-                if out is None:
-                    continue
-                yield from out if isinstance(out, list) else [out]
+        try:
+            for batch in batches:
+                for part in slices(batch, limit):
+                    out, done = fn(part), done + part.nbytes
+                    if done >= 8 << 20 or limit >= 8 << 20:
+                        pa.default_memory_pool().release_unused()
+                        done = 0
+                    if out is None:
+                        continue
+                    yield from out if isinstance(out, list) else [out]
+        finally:
+            if last:
+                last()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -22,12 +22,13 @@ def binary_pieces(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << b for b in reversed(range(size.bit_length() - 1)) if n % size >> b & 1]
 
 
-def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None = 1, with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None = 1, with_ids: bool = True, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """Pieces of ``df`` (``doc_id``, ``text``): ``doc_id, start, length, ids_crc32, doc_tokens`` and ``ids`` if asked.
 
     Row-local. Null and empty texts consist of the end id alone (no piece if there is none); repeated rows are
     documents of their own; other columns play no part. ``size`` is a power of two. ``remembered``
-    stretches of text at most keep their ids in a worker's memory, which changes no result.
+    stretches of text at most keep their ids in a worker's memory, which changes no result; with ``forget`` only as
+    long as a task, so that little is left beside the stages that follow. A long text is cut in one task, whole.
     """
     if size & (size - 1) or size < 1:
         raise ValueError("size must be a power of two")
@@ -47,7 +48,7 @@ def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None =
         columns = [pa.array(c, pa.int64()) for c in (docs, starts, sizes, crcs, totals)] + ([lists(pieces, pa.int32())] if with_ids else [])
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
-    return map_arrow(df.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return map_arrow(df.select("doc_id", "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids, last=(lambda: tokens(path, remembered).forget()) if forget else None)
 
 
 def pack(pieces: DataFrame) -> DataFrame:

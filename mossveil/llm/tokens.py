@@ -48,6 +48,10 @@ class Tokens:
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory of stretches back: workers outlive a stage, and hold what they hold beside the next one's."""
+        self.chunks, self.parts = {}, {}
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
