@@ -27,11 +27,11 @@ def deal(members: DataFrame, keys: list[str], ident: str, size: int = 256) -> Da
     return dealt.withColumn("_work", F.transform(other, lambda o: F.struct(F.least("_block", o).alias("left"), F.greatest("_block", o).alias("right")))).drop("_blocks")
 
 
-def by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.ndarray], list[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.ndarray], list[pa.RecordBatch]], schema: str, then: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn`` to batches of whole groups, and to the bounds of the groups in them (one more than groups).
 
-    Groups must be of bounded size. Rows are shuffled by the keys and sorted within partitions, and the stream of
-    Arrow batches is cut where a key changes, which costs far less than a call of Python per group from Spark.
+    Groups must be of bounded size. Rows are shuffled by the keys and sorted within partitions (within a group by
+    ``then``), and the stream of Arrow batches is cut where a key changes, which costs far less than a call of Python per group from Spark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def by_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch, np.n
         held.clear()
         give_back()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(run, schema)
 
 
 def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
