@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mossveil.functions.detectors import Detector
@@ -63,15 +65,20 @@ def leaks(docs: DataFrame, gold: str = "labels", text: str = "text", rewritten:
     as wholly exposed if its value occurs anywhere.
     """
     g = docs.select("doc_id", F.col(text).alias("_a"), F.col(rewritten).alias("_b"), F.explode(gold).alias("g")).select("doc_id", "_a", "_b", "g.kind", "g.start", "g.end")
-    value, size = F.substring("_a", F.col("start") + 1, F.col("end") - F.col("start")), F.col("end") - F.col("start")
+    exposed = exposure(F.col("_a"), F.col("_b"), F.col("start"), F.col("end"), strategy, keep_head)
+    return g.select("doc_id", "kind", "start", "end", exposed.cast("double").alias("exposed"), (F.length("_a") == F.length("_b")).alias("same_length"))
+
+
+def exposure(text: Column, rewritten: Column, start: Column, end: Column, strategy: str = "mask", keep_head: int = 0) -> Column:
+    """The share of a span's characters that a rewritten text still shows."""
+    size = end - start
     head = F.least(F.lit(keep_head), size)
     # Only the span's own characters are taken apart, so that a place far into a text costs one look at it.
-    tail = lambda c: F.split(F.substring(c, F.col("start") + head + 1, size - head), "")
-    places = F.when(size > head, F.arrays_zip(tail("_a").alias("a"), tail("_b").alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    tail = lambda c: F.split(F.substring(c, start + head + 1, size - head), "")
+    places = F.when(size > head, F.arrays_zip(tail(text).alias("a"), tail(rewritten).alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
     same = F.size(F.filter(places, lambda x: x["a"] == x["b"]))
-    placed = F.lit(strategy == "mask") & (F.length("_a") == F.length("_b"))
-    exposed = F.when(size < 1, 0.0).when(placed, ratio(same, F.size(places))).otherwise(F.when(F.contains("_b", value), 1.0).otherwise(0.0))
-    return g.select("doc_id", "kind", "start", "end", exposed.cast("double").alias("exposed"), (F.length("_a") == F.length("_b")).alias("same_length"))
+    placed = F.lit(strategy == "mask") & (F.length(text) == F.length(rewritten))
+    return F.when(size < 1, 0.0).when(placed, ratio(same, F.size(places))).otherwise(F.when(F.contains(rewritten, F.substring(text, start + 1, size)), 1.0).otherwise(0.0))
 
 
 def leak_rollup(leaked: DataFrame) -> DataFrame:
@@ -84,9 +91,12 @@ def leak_rollup(leaked: DataFrame) -> DataFrame:
 def leak_totals(docs: DataFrame, text: str = "text", rewritten: str = "anonymized", gold: str = "labels", **options) -> DataFrame:
     """One row: documents, gold spans, leaks, and the share of documents whose length is kept (0.0 without any)."""
     same = (F.length(text) == F.length(rewritten)).cast("int")
-    whole = docs.agg(F.count("*").alias("docs"), F.coalesce(F.avg(same), F.lit(0.0)).alias("length_preserved_rate"))
-    spans = leaks(docs, gold, text, rewritten, **options).agg(F.count("*").alias("spans"), F.count_if(F.col("exposed") > 0).alias("leaks"))
-    return whole.join(F.broadcast(spans)).select("docs", "spans", "leaks", "length_preserved_rate")  # one row each
+    # One pass: a document's first row, that without a span too, stands for the document.
+    rows = docs.select(F.col(text).alias("_a"), F.col(rewritten).alias("_b"), same.alias("_same"), F.posexplode_outer(gold).alias("_at", "g"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+    exposed = exposure(F.col("_a"), F.col("_b"), F.col("g.start"), F.col("g.end"), **options)
+    out = rows.select(first.alias("_first"), "_same", F.col("g").isNotNull().alias("_span"), exposed.alias("_exposed"))
+    return out.agg(F.count_if("_first").alias("docs"), F.count_if("_span").alias("spans"), F.count_if(F.col("_span") & (F.col("_exposed") > 0)).alias("leaks"), F.coalesce(F.avg(F.when(F.col("_first"), F.col("_same"))), F.lit(0.0)).alias("length_preserved_rate"))
 
 
 def compare(gold: DataFrame, docs: DataFrame, detectors: Mapping[str, Detector], kind: str, key: str = "doc_id") -> DataFrame:
@@ -104,12 +114,68 @@ def in_report_order(scored: DataFrame, key: str = "kind") -> DataFrame:
     return scored.orderBy(F.col(key) == "__overall__", key)
 
 
+def judged(docs: DataFrame, key: str = "doc_id", labels: str = "labels", spans: str = "spans", difficulty: str | None = "difficulty") -> DataFrame:
+    """Distinct gold and found spans of documents that have both, with ``g``, ``p``, ``confidence`` and ``difficulty``.
+
+    Gold and findings stand in one row, so they are taken apart together, and met by one grouping of slim rows rather
+    than by a join of two scans. A missing difficulty is ``unknown``.
+    """
+    side = "array<struct<kind:string,start:int,end:int,found:boolean,confidence:double>>"
+    gold = F.transform(labels, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("found"), F.lit(None).cast("double").alias("confidence"))).cast(side)
+    found = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("found"), s["confidence"].alias("confidence"))).cast(side)
+    none = F.array().cast(side)
+    level = F.coalesce(F.col(difficulty), F.lit("unknown")) if difficulty else F.lit("unknown")
+    rows = docs.select(F.col(key).alias("doc_id"), level.alias("difficulty"), F.explode(F.concat(F.coalesce(gold, none), F.coalesce(found, none))).alias("s"))
+    met = rows.groupBy("doc_id", "difficulty", "s.kind", "s.start", "s.end").agg(F.bool_or(~F.col("s.found")).alias("_g"), F.bool_or("s.found").alias("_p"), F.max("s.confidence").alias("confidence"))
+    return met.withColumn("g", F.when(F.col("_g"), True)).withColumn("p", F.when(F.col("_p"), True)).drop("_g", "_p")
+
+
+def report(docs: DataFrame, thresholds=THRESHOLDS, **columns) -> DataFrame:
+    """``section, name`` and the scores by kind, by difficulty, overall, and at each least confidence, from one scan.
+
+    Kinds, difficulties and the whole come of grouping sets. For the sweep, spans are counted by the highest threshold
+    that they reach, and those counts, a dozen rows, are summed from the top down.
+    """
+    levels = sorted(float(t) for t in thresholds)
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: F.col("confidence") >= t))
+    met = judged(docs, **columns).withColumn("bin", F.when(F.col("p"), reached).otherwise(0))
+    sets = [[F.col("kind")], [F.col("difficulty")], [F.col("bin")], []]
+    tallied = met.groupingSets(sets, "kind", "difficulty", "bin").agg(*counts(), F.count_if("g").alias("golds"), F.grouping_id().alias("_set"))
+    tallied = tallied.select(F.element_at(F.create_map(*[x for k, v in ((3, "kind"), (5, "difficulty"), (6, "bin"), (7, "overall")) for x in (F.lit(k), F.lit(v))]), F.col("_set").cast("int")).alias("section"), F.coalesce("kind", "difficulty", F.lit("__overall__")).alias("name"), "bin", "tp", "fp", "fn", "golds")
+    bins = tallied.where("section = 'bin'")
+    # Bin 0 holds what reaches no threshold, so that it counts as not found at every one.
+    wanted = bins.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(levels)], "bin int, threshold double")
+    every = wanted.join(bins.select("bin", "tp", "fp", "golds"), "bin", "full")
+    down = W.orderBy(F.desc("bin"))
+    swept = every.select("threshold", F.sum(F.coalesce("tp", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, 0)).alias("tp"), F.sum(F.coalesce("fp", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, 0)).alias("fp"), F.sum(F.coalesce("golds", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("golds"))
+    swept = swept.where("threshold IS NOT NULL").select(F.lit("threshold").alias("section"), F.col("threshold").cast("string").alias("name"), "tp", "fp", (F.col("golds") - F.col("tp")).alias("fn"))
+    return scores(tallied.where("section <> 'bin'").select("section", "name", "tp", "fp", "fn").union(swept))
+
+
+def markdown_table(rows: list, key: str) -> list[str]:
+    lines = [f"| {key} | precision | recall | f1 | tp | fp | fn |", "|---|---|---|---|---|---|---|"]
+    return lines + [f"| {name} | {r.precision:.3f} | {r.recall:.3f} | {r.f1:.3f} | {r.tp} | {r.fp} | {r.fn} |" for name, r in rows]
+
+
 def markdown_report(scored: DataFrame, key: str = "kind", title: str = "Evaluation") -> str:
     """The table of some dozen groups as text; an aggregate of fixed size is all that reaches the driver."""
-    lines = [f"# {title}", "", f"| {key} | precision | recall | f1 | tp | fp | fn |", "|---|---|---|---|---|---|---|"]
-    for r in in_report_order(scored, key).collect():
-        lines.append(f"| {r[key]} | {r.precision:.3f} | {r.recall:.3f} | {r.f1:.3f} | {r.tp} | {r.fp} | {r.fn} |")
-    return "\n".join(lines) + "\n"
+    return "\n".join([f"# {title}", "", *markdown_table([(r[key], r) for r in in_report_order(scored, key).collect()], key)]) + "\n"
+
+
+def full_report(reported: DataFrame, docs: int, dataset: str, path: str | None = None) -> str:
+    """The text of a ``report`` with a section each for kinds, difficulties and thresholds; also written to ``path``."""
+    rows = reported.collect()  # kinds, difficulties and thresholds: some dozen
+    overall = [("**overall**", r) for r in rows if r.section == "overall"]
+    lines = ["# Evaluation", "", f"- data: `{dataset}` ({docs} documents)", "- a span counts if its kind, start and end are right", ""]
+    for section, title in (("kind", "By kind"), ("difficulty", "By difficulty"), ("threshold", "By least confidence")):
+        part = sorted(((r.name, r) for r in rows if r.section == section), key=lambda x: float(x[0]) if section == "threshold" else x[0])
+        lines += [f"## {title}", "", *markdown_table(part + (overall if section != "threshold" else []), section), ""]
+    text = "\n".join(lines)
+    if path:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+    return text
 
 
 def task_counts(tasks: DataFrame, status: str = "status") -> DataFrame:

@@ -6,6 +6,9 @@ follows from the lengths of what stands before it and of itself, independent of
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from mossveil.functions.detectors import BUSINESS_WEIGHTS, RRN_WEIGHTS
 
 #: For each kind of sentence: what stands before, the value, what stands after, and the confidence of its own detector
@@ -93,6 +96,55 @@ SELECT n, k, k * 100 + n AS doc_id, kind, base, before, value, after, confidence
  CASE WHEN as_card THEN 0.95 ELSE confidence END AS found_confidence FROM named"""
 
 
+#: Values that two detectors find in part: a phone number that begins before an account number and ends within it (neither
+#: holds the other), and one that an account number begins with and outlasts. Both are joined; the phone is the surer.
+OVERLAPS = [
+    "SELECT 100 AS n, k, '계좌 ' AS before, '+8210-' || " + pad("1000 + k * 31", 4) + " || '-' || " + pad("k * 7", 4) + " || '-' || " + pad("k", 2) + " AS value, ' 확인' AS after, 'phone' AS base, 1.0 AS found_confidence FROM keys",
+    "SELECT 101 AS n, k, '계좌 ' AS before, '02-' || " + pad("100 + k % 800", 3) + " || '-' || " + pad("k * 13", 4) + " || '-' || " + pad("k", 2) + " AS value, ' 확인' AS after, 'account' AS base, 0.95 AS found_confidence FROM keys",
+]
+#: Sentences that may stand beside any other: no cue of theirs, or for theirs, is in reach of another's value.
+BESIDE = [i for i, sql in enumerate(SENTENCES) if "'account" not in sql]
+NONE = [i for i in BESIDE if "_none'" in SENTENCES[i]]
+CHOSEN = BESIDE + [100, 101]
+
+
+def nth(expr: str, numbers: list[int]) -> str:
+    return f"CASE CAST(({expr}) % {len(numbers)} AS INT) " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(numbers)) + " END"
+
+
+#: Documents: a quarter without personal data, and of the rest 15 in 100 of three sentences; which ones follows from the key.
+PLACES = f"""SELECT k, CASE WHEN k * 7919 % 100 < 25 THEN 'negative' WHEN k % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, pos,
+ CASE WHEN k * 7919 % 100 < 25 THEN {nth('k', NONE)} WHEN pos = 0 THEN {nth('k', CHOSEN)} WHEN pos = 1 THEN {nth('k * 5 + 3', CHOSEN)} ELSE {nth('k * 11 + 7', CHOSEN)} END AS n
+ FROM keys CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2) WHERE pos = 0 OR (k * 7919 % 100 >= 25 AND k * 104729 % 100 < 15)"""
+PLACED = f"""WITH keys AS ({KEYS}), c AS (SELECT n, k, before, value, after, base, part, truth, found, CAST(found_confidence AS DOUBLE) AS found_confidence FROM ({CORPUS})
+ UNION ALL SELECT n, k, before, value, after, base, CAST(length(value) AS INT), true, 'phone', CAST(found_confidence AS DOUBLE) FROM ({' UNION ALL '.join(f'({sql})' for sql in OVERLAPS)})),
+places AS ({PLACES}) SELECT p.k AS doc_id, p.pos, p.difficulty, c.before, c.value, c.after, c.base, c.part, c.truth, c.found, c.found_confidence FROM places p JOIN c ON c.k = p.k AND c.n = p.n"""
+#: The same with the place at which each sentence begins, sentences being joined by one blank.
+SHIFTED = f"SELECT *, CAST(coalesce(sum(length(before) + length(value) + length(after) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS shift FROM ({PLACED})"
+
+
+def composed(select: str) -> str:
+    """SQL over the documents of one or several sentences: ``c`` has a row a sentence, with ``shift``."""
+    return f"WITH c AS ({SHIFTED}) {select}"
+
+
+def compose(rows: DataFrame) -> DataFrame:
+    """``doc_id, text, labels, difficulty`` of documents out of their sentences (``doc_id, pos, before, value, after,
+    base, truth, difficulty``), joined by one blank each. A fold over the few sentences of a document carries the
+    place at which the next one begins, so labels are placed by construction."""
+    sentence = F.struct("pos", F.concat("before", "value", "after").alias("text"), F.length("before").alias("before"), F.length("value").alias("size"), F.when(F.col("truth"), F.col("base")).alias("kind"))
+    docs = rows.groupBy("doc_id", "difficulty").agg(F.sort_array(F.collect_list(sentence)).alias("parts"))
+    label = "array<struct<kind:string,start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(label).alias("labels"))
+
+    def step(state, s):
+        begin = state["at"] + s["before"]
+        one = F.when(s["kind"].isNotNull(), F.array(F.struct(s["kind"].alias("kind"), begin.alias("start"), (begin + s["size"]).alias("end")))).otherwise(F.array().cast(label)).cast(label)
+        return F.struct((state["at"] + F.length(s["text"]) + 1).alias("at"), F.concat(state["labels"], one).alias("labels"))
+
+    return docs.select("doc_id", F.array_join(F.transform("parts", lambda s: s["text"]), " ").alias("text"), F.aggregate("parts", start, step, lambda s: s["labels"]).alias("labels"), "difficulty")
+
+
 def gold(select: str, kinds: str = "true") -> str:
     """SQL over the corpus: ``c`` has the columns of CORPUS."""
     return f"WITH c AS (SELECT * FROM ({CORPUS}) WHERE {kinds}) {select}"

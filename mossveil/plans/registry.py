@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from mossveil.functions import detectors as rules
 from mossveil.functions import resolve as res
 from mossveil.functions.spans import SPANS
+from mossveil.operators import custom, limits, scan
 from mossveil.operators import evaluate as ev
-from mossveil.operators import limits, scan
 from mossveil.plans import corpus
+from mossveil.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,10 +112,42 @@ def scan_documents(spark, sf_dir):
     return scan.explode_spans(docs, "doc_id")
 
 
-@register("pseudonymized_documents")
+#: Made-up values, by their form: what is left of a text beside them has to be the original, sign for sign.
+MADE_UP = "[a-z]{5,9}@example[.]com|4[0-9]{3}-[0-9]{4}-[0-9]{4}-[0-9]{4}"
+
+
+@register("pseudonymized_documents", f"""WITH {FOUND}, s AS (SELECT doc_id, start, "end" FROM emails UNION ALL SELECT doc_id, start, "end" FROM cards),
+p AS (SELECT s.*, text, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM s JOIN documents USING (doc_id)),
+r AS (SELECT doc_id, string_agg(text[before + 1:start] || '<>', '' ORDER BY start) || any_value(text)[max("end") + 1:] AS t, count(*) AS n FROM p GROUP BY 1)
+SELECT doc_id, sha256(regexp_replace(coalesce(t, text), '{MADE_UP}', '<>', 'g')) AS rest_sha256, coalesce(n, 0) AS made FROM documents LEFT JOIN r USING (doc_id)""")
 def pseudonymized_documents(spark, sf_dir):
     docs = scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scan.anonymize(docs, strategy="pseudonym", row_key="doc_id").select("doc_id", "anonymized")
+    made = scan.anonymize(docs, strategy="pseudonym", row_key="doc_id", salt="fixed").withColumn("made", F.size("spans").cast("long"))
+    return made.select("doc_id", F.sha2(F.regexp_replace("anonymized", MADE_UP, "<>"), 256).alias("rest_sha256"), "made")
+
+
+@register("report_json", f"""WITH {FOUND}, s AS (SELECT doc_id, 'email' AS kind, start, "end", '1.0' AS confidence, 'EmailDetector' AS detector FROM emails UNION ALL SELECT doc_id, 'card', start, "end", '0.95', 'CreditCardDetector' FROM cards)
+SELECT doc_id, '[' || coalesce((SELECT string_agg('{{"kind":"' || kind || '","start":' || start || ',"end":' || "end" || ',"confidence":' || confidence || ',"detector":"' || detector || '"}}', ',' ORDER BY start) FROM s WHERE s.doc_id = d.doc_id), '') || ']' AS report FROM documents d""")
+def report_json(spark, sf_dir):
+    docs = scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan.report_json(docs, with_text=False).select("doc_id", "report")
+
+
+@register("summaries", f"""WITH {FOUND}, n AS (SELECT doc_id, kind, count(*) AS n, min(start) AS first FROM (SELECT doc_id, '이메일' AS kind, start FROM emails UNION ALL SELECT doc_id, '카드번호', start FROM cards) GROUP BY 1, 2)
+SELECT doc_id, coalesce((SELECT string_agg(kind || ' ' || n, ' · ' ORDER BY first) FROM n WHERE n.doc_id = d.doc_id), '-') AS summary FROM documents d""")
+def summaries(spark, sf_dir):
+    return scan.summary_text(scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "summary")
+
+
+SECRET = "[0-9a-f]{40}"
+
+
+@register("user_table_function", f"SELECT doc_id, 'secret' AS kind, start, CAST(start + 40 AS INT) AS \"end\", text, 0.7::DOUBLE AS confidence FROM ({places(SECRET)})")
+def user_table_function(spark, sf_dir):
+    """A user's detector called from SQL, for each document."""
+    custom.register_detector(spark, "find_secrets", "secret", lambda text: [(m.start(), m.end(), 0.7) for m in re.finditer(SECRET, text)])
+    table(spark, sf_dir, "documents").createOrReplaceTempView("mossveil_documents")
+    return spark.sql("SELECT d.doc_id, s.* FROM mossveil_documents d, LATERAL find_secrets(d.text) s")
 
 
 # ---- constructed corpus ----------------------------------------------------------------------------------------
@@ -122,21 +156,19 @@ def sentences(spark: SparkSession, sf_dir: str, kinds: str = "true") -> DataFram
     return spark.sql(corpus.CORPUS).where(kinds).withColumn("text", F.concat("before", "value", "after"))
 
 
-def of_kind(kind: str) -> str:
-    return f"kind IN ('{kind}', '{kind}_none')"
-
-
 START, END = "CAST(length(before) AS INT)", "CAST(length(before) + length(value) AS INT)"
 FOUND_END = "CAST(length(before) + part AS INT)"
 
 
 def spans_of(kind: str) -> None:
-    sql = corpus.gold(f'SELECT k, text, {START} AS start, {END} AS "end", CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, value AS text FROM c) WHERE confidence IS NOT NULL', of_kind(kind))
+    """What one detector alone finds in all sentences, those of other kinds too."""
+    alone = f"CASE WHEN base = '{kind}' THEN confidence" + (f" WHEN kind = 'rrn' AND length(value) = 13 AND {corpus.luhn_13('value')} THEN 0.95" if kind == "card" else "") + " END"
+    sql = corpus.gold(f'SELECT doc_id, text, {START} AS start, {FOUND_END} AS "end", CAST(alone AS DOUBLE) AS confidence FROM (SELECT *, left(value, part) AS text, {alone} AS alone FROM c) WHERE alone IS NOT NULL')
 
     @register(f"spans_{kind}", sql)
     def query(spark, sf_dir):
-        found = scan.detect(sentences(spark, sf_dir, of_kind(kind)), detectors={kind: rules.DEFAULT[kind]}, out="spans").drop("text")
-        return scan.explode_spans(found, "k", with_text=True).select("k", "text", "start", "end", "confidence")
+        found = scan.detect(sentences(spark, sf_dir), detectors={kind: rules.DEFAULT[kind]}, out="spans").drop("text")
+        return scan.explode_spans(found, "doc_id", with_text=True).select("doc_id", "text", "start", "end", "confidence")
 
 
 for _kind in rules.DEFAULT:
@@ -186,10 +218,10 @@ def shown_at_strength(spark, sf_dir):
     return done.select("doc_id", F.size("shown").alias("shown"), F.col("n_hidden").alias("hidden"), F.exists("unsure", lambda u: u).alias("unsure"))
 
 
-@register("counts_of_kind", corpus.gold("SELECT 'passport' AS kind, count(*) AS n, coalesce(min(found_confidence), 0.0) AS min_confidence FROM c WHERE found = 'passport' UNION ALL SELECT 'account', 0, 0.0", "kind IN ('passport', 'passport_trap', 'rrn')"))
+@register("counts_of_kind", corpus.gold("SELECT 'passport' AS kind, count(*) AS n, coalesce(min(found_confidence), 0.0) AS min_confidence FROM c WHERE found = 'passport' UNION ALL SELECT 'account', count(*), coalesce(min(found_confidence), 0.0) FROM c WHERE found = 'account' UNION ALL SELECT 'password', 0, 0.0"))
 def counts_of_kind(spark, sf_dir):
-    found = scan.explode_spans(scan.scan(sentences(spark, sf_dir, "kind IN ('passport', 'passport_trap', 'rrn')")), "doc_id")
-    return scan.counts_of(found, "passport").union(scan.counts_of(found, "account"))
+    found = scan.explode_spans(scan.scan(sentences(spark, sf_dir)), "doc_id")
+    return scan.counts_of(found, "passport").union(scan.counts_of(found, "account")).union(scan.counts_of(found, "password"))
 
 
 ORDER = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(res.LABELS)) + " END"
@@ -219,14 +251,13 @@ def segments(spark, sf_dir):
     return found.select("doc_id", "kind", "s.is_span", "s.text")
 
 
-@register("pseudonym_properties", corpus.gold("SELECT found AS kind, count(*) AS n, 0::BIGINT AS originals_left, 0::BIGINT AS still_valid FROM c WHERE found IS NOT NULL GROUP BY 1", "kind <> 'address_partial'"))
+@register("pseudonym_properties", corpus.gold("SELECT found AS kind, count(*) AS n, 0::BIGINT AS originals_left, 0::BIGINT AS still_valid FROM c WHERE found IS NOT NULL GROUP BY 1"))
 def pseudonym_properties(spark, sf_dir):
-    found = scan.scan(sentences(spark, sf_dir, "kind <> 'address_partial'")).where("size(spans) > 0")
+    found = scan.scan(sentences(spark, sf_dir)).where("size(spans) > 0")
     made = scan.anonymize(found, strategy="pseudonym", row_key="doc_id")
     again = F.concat(rules.rrn(F.col("anonymized")), rules.card(F.col("anonymized")))
     valid = F.exists(again, lambda s: (s["kind"] == F.col("found")) & ((s["kind"] == "card") | (s["confidence"] == 1.0)))
-    # A made-up name may by chance be the original, as in any draw from few.
-    left = F.contains("anonymized", F.col("value")) & (F.col("found") != "name")
+    left = F.contains("anonymized", F.expr("left(value, part)"))
     return made.groupBy(F.col("found").alias("kind")).agg(F.count("*").alias("n"), F.count_if(left).alias("originals_left"), F.count_if(valid).alias("still_valid"))
 
 
@@ -236,9 +267,9 @@ CUES = list(dict.fromkeys(rules.ROLES + rules.HONORIFICS + rules.TITLES))
 
 
 @register("name_candidates", corpus.gold(f"""SELECT doc_id, regexp_matches(t, '{"|".join(CUES)}') OR regexp_matches(regexp_replace(t, '({"|".join(w for w in LOOSE if w[0] in "".join(rules.SURNAMES))})', ' ', 'g'), '({"|".join(rules.SURNAMES)})[가-힣]') AS candidate
-FROM (SELECT doc_id, before || value || after AS t FROM c)""", "kind IN ('email', 'name', 'name_none', 'name_missed', 'rrn', 'account_none', 'card_none')"))
+FROM (SELECT doc_id, before || value || after AS t FROM c)"""))
 def name_candidates(spark, sf_dir):
-    docs = sentences(spark, sf_dir, "kind IN ('email', 'name', 'name_none', 'name_missed', 'rrn', 'account_none', 'card_none')")
+    docs = sentences(spark, sf_dir)
     return docs.select("doc_id", rules.name_candidate(F.col("text")).alias("candidate"))
 
 
@@ -357,6 +388,94 @@ def compare_detectors(spark, sf_dir):
     return ev.compare(gold, made, {"rules": rules.name, "strict": lambda t: rules.name(t, min_confidence=0.7)}, "name")
 
 
+# ---- documents of several sentences, with values that two detectors find in part ------------------------------------
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return corpus.compose(spark.sql(corpus.PLACED))
+
+
+def composed_text(value: str) -> str:
+    return f"SELECT doc_id, difficulty, string_agg(before || CASE WHEN found IS NULL THEN value ELSE {value} || substr(value, part + 1) END || after, ' ' ORDER BY pos) AS anonymized FROM c GROUP BY ALL"
+
+
+@register("composed_labels", corpus.composed('SELECT doc_id, base AS kind, substr(string_agg(before || value || after, \' \' ORDER BY pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), CAST(shift + length(before) + 1 AS INT), CAST(length(value) AS INT)) AS text, value FROM c QUALIFY truth'))
+def composed_labels(spark, sf_dir):
+    """The text at every label of a document of one or several sentences is the value that was put there."""
+    docs = composed(spark, sf_dir).select("doc_id", "text", F.explode("labels").alias("l"))
+    there = F.substring("text", F.col("l.start") + 1, F.col("l.end") - F.col("l.start"))
+    return docs.select("doc_id", "l.kind", there.alias("text"), there.alias("value"))
+
+
+@register("composed_mask", corpus.composed(composed_text("repeat('*', part)")))
+def composed_mask(spark, sf_dir):
+    return scan.anonymize(scan.scan(composed(spark, sf_dir)), strategy="mask").select("doc_id", "difficulty", "anonymized")
+
+
+@register("composed_label", corpus.composed(composed_text(f"'[' || {LABEL_CASE} || ']'")))
+def composed_label(spark, sf_dir):
+    return scan.anonymize(scan.scan(composed(spark, sf_dir)), strategy="label", labels={"email": "MAIL"}).select("doc_id", "difficulty", "anonymized")
+
+
+NUMBERED = f"""SELECT doc_id, difficulty, string_agg(before || CASE WHEN found IS NULL THEN value ELSE '[' || {LABEL_CASE.replace("'MAIL'", f"'{res.LABELS['email']}'")} || no || ']' || substr(value, part + 1) END || after, ' ' ORDER BY pos) AS anonymized
+FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, found ORDER BY first) AS no FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, found, left(value, part)) AS first FROM c)) GROUP BY ALL"""
+
+
+@register("composed_numbered", corpus.composed(NUMBERED))
+def composed_numbered(spark, sf_dir):
+    return scan.anonymize(scan.scan(composed(spark, sf_dir)), strategy="label", numbered=True).select("doc_id", "difficulty", "anonymized")
+
+
+COMPOSED_GOLD = """g AS (SELECT doc_id, difficulty, base AS kind, shift + length(before) AS start, shift + length(before) + length(value) AS "end" FROM c WHERE truth),
+p AS (SELECT doc_id, difficulty, found AS kind, shift + length(before) AS start, shift + length(before) + part AS "end", found_confidence AS confidence FROM c WHERE found IS NOT NULL),
+j AS (SELECT coalesce(g.difficulty, p.difficulty) AS difficulty, coalesce(g.kind, p.kind) AS kind, g.doc_id IS NOT NULL AS ing, p.doc_id IS NOT NULL AS inp, p.confidence
+      FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.start = p.start AND g."end" = p."end")"""
+COMPOSED_LEVELS = ", ".join(f"({t}::DOUBLE, '{t}')" for t in ev.THRESHOLDS)
+
+
+@register("composed_report", corpus.composed(f"""SELECT * FROM (WITH {COMPOSED_GOLD}, h AS (SELECT name, ing, coalesce(inp AND confidence >= threshold, false) AS inp FROM j, (VALUES {COMPOSED_LEVELS}) v(threshold, name)),
+t AS (SELECT 'kind' AS section, kind AS name, {TALLY} FROM j GROUP BY kind UNION ALL SELECT 'difficulty', difficulty, {TALLY} FROM j GROUP BY difficulty UNION ALL SELECT 'overall', '__overall__', {TALLY} FROM j
+UNION ALL SELECT 'threshold', name, {TALLY.replace('NOT ing)', 'NOT ing AND inp)').replace('NOT inp)', 'ing AND NOT inp)')} FROM h GROUP BY name) {PRF.format(key='section, name')})"""))
+def composed_report(spark, sf_dir):
+    return ev.report(scan.scan(composed(spark, sf_dir)))
+
+
+COMPOSED_LEAK = """SELECT kind, count(*) AS spans, count(*) FILTER (WHERE e > 0) AS leaks FROM (SELECT base AS kind, CASE WHEN found IS NULL OR (part < length(value) AND {partial}) THEN 1.0 ELSE 0.0 END AS e FROM c WHERE truth) GROUP BY kind"""
+
+
+@register("composed_label_leaks", corpus.composed(COMPOSED_LEAK.format(partial="false")))
+def composed_label_leaks(spark, sf_dir):
+    """Labels change the length of a text, so a value leaks if it still occurs anywhere."""
+    done = scan.anonymize(scan.scan(composed(spark, sf_dir)), strategy="label")
+    return ev.leak_rollup(ev.leaks(done, strategy="label")).where("kind <> '__overall__'").select("kind", "spans", "leaks")
+
+
+@register("leak_totals_label", corpus.composed("""SELECT count(DISTINCT doc_id) AS docs, count(*) FILTER (WHERE truth) AS spans, count(*) FILTER (WHERE truth AND found IS NULL) AS leaks,
+(SELECT avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END) FROM (SELECT doc_id, sum(CASE WHEN found IS NULL THEN 0 ELSE part - length('[' || """ + LABEL_CASE.replace("'MAIL'", f"'{res.LABELS['email']}'") + """ || ']') END) AS d FROM c GROUP BY 1)) AS length_preserved_rate FROM c"""))
+def leak_totals_label(spark, sf_dir):
+    return ev.leak_totals(scan.anonymize(scan.scan(composed(spark, sf_dir)), strategy="label"), strategy="label")
+
+
+@register("generated_corpus", "SELECT count(*) AS docs, 0::BIGINT AS missed, 0::BIGINT AS false, true AS negatives_as_asked, true AS several_as_asked FROM customer")
+def generated_corpus(spark, sf_dir):
+    """A generated document for every customer: nothing of it is missed, nothing else found, and the mix is as asked."""
+    made = scan.scan(synthetic.for_keys(table(spark, sf_dir, "customer"), "c_custkey"))
+    known = lambda side, other: F.size(F.filter(side, lambda s: ~F.exists(other, lambda o: (o["kind"] == s["kind"]) & (o["start"] == s["start"]) & (o["end"] == s["end"]))))
+    each = made.select(known("labels", "spans").alias("missed"), known("spans", "labels").alias("false"), (F.col("difficulty") == "negative").alias("negative"), F.size("labels").alias("n"))
+    close = lambda rate, want: F.abs(rate - want) < 4 * F.sqrt(F.lit(want * (1 - want)) / F.count("*"))
+    return each.agg(F.count("*").alias("docs"), F.sum("missed").alias("missed"), F.sum("false").alias("false"), close(F.avg(F.col("negative").cast("int")), synthetic.NEGATIVE).alias("negatives_as_asked"), (F.avg(F.when(~F.col("negative"), (F.col("n") > 2).cast("int"))) < 0.3).alias("several_as_asked"))
+
+
+# ---- a model's replies -----------------------------------------------------------------------------------------------
+@register("model_replies", """SELECT c_custkey AS k, CASE WHEN m IN (0, 1, 7) THEN 'ok' WHEN m IN (2, 3, 8) THEN 'no list' ELSE 'unreadable' END AS status, CASE m WHEN 0 THEN c_custkey || ',b' WHEN 7 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS names
+FROM (SELECT c_custkey, c_custkey % 10 AS m FROM customer)""")
+def model_replies(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    forms = ['{"response": "{\\"names\\": [\\"%s\\", \\"b\\"]}"}', '{"response": "{}"}', '{"response": "{\\"names\\": \\"a\\"}"}', '{"response": "[1]"}', '{"answer": 1}', "no json", '{"response": "not json"}', '{"response": "{\\"names\\": [1, null, \\"\\", \\"%s\\"]}"}', '{"response": 3}']
+    form = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("c_custkey") % 10).cast("int"))
+    read = custom.names_of_reply(F.when(F.contains(form, F.lit("%s")), F.replace(form, F.lit("%s"), k)).otherwise(form))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), read.alias("r")).select("k", "r.status", F.array_join("r.names", ",").alias("names"))
+
+
 # ---- limits ----------------------------------------------------------------------------------------------------
 #: The state of a client is its last three admitted requests, passed on from each request to its next.
 WINDOW = 'coalesce(a1 <= e."at" - 86400.0, true)'

@@ -220,18 +220,3 @@ def test_reports_counts_and_order(spark):
     counts = spark.createDataFrame([("zzz", 1, 0.5), ("card", 2, 0.9), ("rrn", 3, 1.0), ("aaa", 1, 0.5)], "kind string, n int, min_confidence double")
     assert [r.kind for r in scan.in_order(counts).orderBy("place").collect()] == ["rrn", "card", "aaa", "zzz"]
     assert tuple(ev.leak_totals(gold.limit(0).selectExpr("doc_id", "'' as text", "'' as anonymized", "array(struct(kind, start, end)) as labels")).first()) == (0, 0, 0, 0.0)
-
-
-def test_stream_limits_as_batch(spark, tmp_path):
-    rows = [("a", t) for t in (0.0, 1.0, 2.0, 9.0, 10.5, 11.5)] + [("c", 3.0), ("b", None), ("b", 1.0), ("b", 1.5), ("b", 1.7)]
-    requests = spark.createDataFrame(rows, "client string, at double")
-    requests.repartition(3).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(requests.schema).json(str(tmp_path / "in"))
-    # State with time-outs keeps a stream running, so it does not end by itself.
-    query = jobs.rate_limit_stream(stream, 2, 10.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).start()
-    deadline, got = time.time() + 60, []
-    while len(got) < len(rows) and time.time() < deadline and query.isActive:
-        time.sleep(1)
-        got = sorted(map(repr, map(tuple, spark.table("limited").collect())))
-    query.stop()
-    assert got == sorted(map(repr, map(tuple, limits.rate_limit(requests, 2, 10.0).collect())))
