@@ -152,7 +152,8 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     """Add ``ids`` (array of int), replacing a column of that name; all other columns pass through. Row-local.
 
     Null and empty texts have no ids. ``digest`` names a further column for the lowercase hex SHA-256 of the ids as
-    little-endian unsigned 32-bit integers.
+    little-endian unsigned 32-bit integers. A text of any length is encoded whole, word by word, in one task; repeated
+    rows are encoded each for itself, with equal ids; an empty table gives no rows, with the columns added.
     """
     schema = T.StructType([f for f in df.schema if f.name not in (ids, digest)]).add(ids, T.ArrayType(T.IntegerType()))
     schema = schema.add(digest, T.StringType()) if digest else schema
@@ -167,7 +168,12 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add ``out``, the text of ``ids`` (null: empty), special tokens kept. Row-local."""
+    """Add ``out``, the text of ``ids`` (null and empty lists: empty), special tokens kept; a column of that name is
+    replaced, all others pass through. Row-local.
+
+    Ids that are not in the vocabulary fail the job. Long lists are decoded whole in one task; repeated rows give
+    equal texts; an empty table gives no rows, with the column added.
+    """
     schema = T.StructType([f for f in df.schema if f.name != out]).add(out, T.StringType())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

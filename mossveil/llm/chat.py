@@ -46,14 +46,14 @@ def turn_tokens(text: Column) -> Column:
 def chat_windows(df: DataFrame, budget: int = 2048, history: int = 256, tokens: str | None = None) -> DataFrame:
     """``conv_id, window, n_repeated, text, loss`` (array of start and end, code points from 0), ``n_tokens``.
 
-    ``df`` has ``conv_id, turn, role, text``, and a column of token counts if ``tokens`` names one (null: none), else
-    they are estimated; other columns play no part. Turns are in order of ``turn`` (nulls first), then role and MD5
+    ``df`` has ``conv_id, turn, role, text``, and a column of token counts if ``tokens`` names one (at least one a turn,
+    whatever it says, so that no number of turns fits a window), else they are estimated; other columns play no part. Turns are in order of ``turn`` (nulls first), then role and MD5
     of the text; repeated rows are turns of their own. Null roles and texts are empty; a null ``conv_id`` is a
     conversation; an empty table gives no rows. A window holds at most ``budget`` tokens unless a single turn, or the
     system turn, is longer than its share; a very long turn is a window by itself, never cut. Windows are planned on
     ids and counts alone, by blocks of turns and never in one task, and texts are joined once to the finished plan.
     """
-    count = turn_tokens(F.coalesce("text", F.lit(""))) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))
+    count = turn_tokens(F.coalesce("text", F.lit(""))) if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(1)), F.lit(1))
     texts = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), count.alias("tokens"))
     texts = saved(texts.withColumn("tie", F.md5("text")).withColumn("row_id", F.monotonically_increasing_id()), "turns")
     same = lambda a, b, *on: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on]
@@ -101,7 +101,11 @@ def chat_windows(df: DataFrame, budget: int = 2048, history: int = 256, tokens:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """From formatted windows: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
+    """From formatted windows: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+
+    Null roles and texts come back as empty ones, a null ``conv_id`` as itself, repeated turns each time. The digest of
+    a conversation is that of its whole text, so its windows meet in one row; no windows give no rows.
+    """
     segments = F.filter(F.split("text", "</turn>\n", -1), lambda s: s != "")
     new = windows.withColumn("_s", segments).withColumn("_s", F.expr("slice(_s, n_repeated + 1, size(_s))"))
     parsed = new.select(

@@ -26,7 +26,7 @@ def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None =
     """Pieces of ``df`` (``doc_id``, ``text``): ``doc_id, start, length, ids_crc32, doc_tokens`` and ``ids`` if asked.
 
     Row-local. Null and empty texts consist of the end id alone (no piece if there is none); repeated rows are
-    documents of their own; other columns play no part. ``size`` is a power of two. ``remembered``
+    documents of their own; an empty table gives no rows; other columns play no part. ``size`` is a power of two. ``remembered``
     stretches of text at most keep their ids in a worker's memory, which changes no result; with ``forget`` only as
     long as a task, so that little is left beside the stages that follow. A long text is cut in one task, whole.
     """
@@ -52,7 +52,11 @@ def cut_pieces(df: DataFrame, path: str, size: int = 2048, end_id: int | None =
 
 
 def pack(pieces: DataFrame) -> DataFrame:
-    """Give each piece its ``sequence_id``, dense and in order of (length, doc_id, start), and ``offset`` 0."""
+    """Give each piece its ``sequence_id``, dense and in order of (length, doc_id, start), and ``offset`` 0.
+
+    Null ids come first; pieces equal in all three (of rows that repeat an id) get numbers of their own, in any order.
+    Columns of these two names are replaced, all others pass through; no pieces give no rows.
+    """
     from pyspark.sql import functions as F
 
     return numbered(materialise(pieces), ["length", "doc_id", "start"], "sequence_id").withColumn("offset", F.lit(0).cast("long"))

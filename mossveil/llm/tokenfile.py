@@ -158,8 +158,9 @@ def id_blocks(df: DataFrame, path: str, end_id: int | None) -> DataFrame:
 def write_tokens(df: DataFrame, path: str, folder: str, end_id: int | None = None) -> None:
     """Write the ids of ``df`` (``doc_id``, ``text``; null texts are empty) to ``folder``, ascending by ``doc_id``.
 
-    Equal or null ``doc_id`` values are kept, nulls first. Other columns play no part. An empty table gives an
-    empty file set that reads back as no rows.
+    Equal or null ``doc_id`` values are kept, nulls first, and repeated rows each for itself. Other columns play no
+    part. A text longer than a block fills one by itself. An empty table gives an empty file set that reads back as
+    no rows.
     """
     raw = saved(id_blocks(df, path, end_id), "ids")
 
@@ -191,7 +192,12 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int | None = Non
 
 
 def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
-    """``doc_id, start, n_tokens`` and ``ids`` (array of int), or with ``digest`` their ``ids_crc32`` instead."""
+    """``doc_id, start, n_tokens`` and ``ids`` (array of int), or with ``digest`` their ``ids_crc32`` instead.
+
+    One row for each row that was written, null and repeated ids and empty texts among them (then of the end id alone,
+    if there is one). Blocks are read one by one, so a long document is one row of one task; files of an empty table
+    give no rows.
+    """
     book = spark.read.schema("id int, length int").parquet(f"{folder}/codes").collect()  # vocabulary-sized
     lengths = np.zeros(max([r["id"] for r in book], default=0) + 1, np.uint8)
     for r in book:

@@ -10,8 +10,8 @@ deals pages to as many files as keep one at FILE_BYTES in the mean. A file is on
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,22 +99,56 @@ def write_warc(pages: DataFrame, folder: str, dedup_bytes: int = 0, date: str =
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (names in lower case) and block of each record."""
+    """Headers (names in lower case) and block of each record.
+
+    A record whose Content-Length is missing, no number, or beyond the end of the file is left out; reading goes on at
+    the next line that begins a record.
+    """
     view, at = memoryview(content), 0
     while (start := content.find(b"WARC/1.", at)) >= 0:
         end = content.find(b"\r\n\r\n", start)
         lines = content[start:end].decode("utf-8", "replace").split(CRLF)[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
+        length = headers.get("content-length", "")
+        size = int(length) if length.isascii() and length.isdigit() else -1
+        if end < 0 or size < 0 or end + 4 + size > len(content):
+            following = content.find(b"\nWARC/1.", start + 1)
+            if following < 0:
+                return
+            at = following + 1
+            continue
         yield headers, view[end + 4 : end + 4 + size]
         at = end + 4 + size
 
 
+def inflated(content: bytes) -> bytes:
+    """The bytes of a file, of all gzip members if it is one; of a damaged one what comes before the damage."""
+    out, rest = [], content
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(rest), 1 << 16):
+                out.append(member.decompress(rest[at : at + (1 << 16)]))
+                if member.eof:
+                    rest = member.unused_data + rest[at + (1 << 16) :]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(out) if content[:2] == b"\x1f\x8b" else content
+
+
 RECORDS = "kind string, record_id string, concurrent_to string, uri string, date string, digest string, payload_bytes long, payload binary, fields map<string,string>"
 
 
-def read_records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """One row per record: RECORDS. The digest of a response is computed from the payload that is there."""
+def read_records(spark: SparkSession, folder: str, payload: bool = True, files: str = "part-*") -> DataFrame:
+    """One row per record: RECORDS. The digest of a response is computed from the payload that is there.
+
+    Archives of others can be read too (``files``: their names, e.g. ``*.warc.gz``). Records without a type have a
+    null ``kind``, those without a readable length are left out, and a damaged gzip file gives what comes before the
+    damage. A file has to fit a task; an empty folder or file gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
@@ -122,8 +156,8 @@ def read_records(spark: SparkSession, folder: str, payload: bool = True) -> Data
             for batch in slices(whole):
                 for content in batch.column("content"):
                     content, rows, held = content.as_py(), [], 0
-                    for headers, block in parse_warc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                        kind, body, digest, size, fields = headers["warc-type"], None, None, None, None
+                    for headers, block in parse_warc(inflated(content)):
+                        kind, body, digest, size, fields = headers.get("warc-type"), None, None, None, None
                         if kind == "metadata":
                             fields = [tuple(s.strip() for s in x.split(":", 1)) for x in bytes(block).decode("utf-8", "replace").split(CRLF) if ":" in x]
                         elif kind == "response":
@@ -140,8 +174,8 @@ def read_records(spark: SparkSession, folder: str, payload: bool = True) -> Data
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(run, RECORDS)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(folder).select("content")
+    return found.mapInArrow(run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -149,7 +183,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Requests and metadata meet their capture by its record id, in one shuffle of all records. Of several requests
     or metadata records of a capture the one with the smallest record id is taken; records that name no capture
-    present are dropped.
+    present are dropped, and so are those of another or no kind. Repeated records count once; no records give no rows.
     """
     cols = ["kind", "record_id", "uri", "date", "digest", "payload_bytes", "payload", "fields"]
     is_capture = F.col("kind").isin("response", "revisit")

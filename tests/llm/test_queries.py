@@ -174,3 +174,46 @@ def test_scratch_is_one_folder_that_can_be_cleared(spark):
     assert any(folder.glob("five-*"))
     common.clear_scratch(spark)
     assert not folder.exists()
+
+
+def test_archives_of_others_and_damaged_ones(spark, tmp_path):
+    import gzip
+
+    record = lambda kind, i, body, length=None: (f"WARC/1.1\r\n{kind}WARC-Record-ID: <{i}>\r\n" + (f"Content-Length: {len(body) if length is None else length}\r\n" if length != "" else "") + f"\r\n{body}\r\n\r\n").encode()
+    good = "HTTP/1.1 200 OK\r\n\r\n"
+    whole = record("WARC-Type: response\r\n", 1, good + "a") + record("WARC-Type: response\r\n", 2, good + "b", "") + record("WARC-Type: response\r\n", 3, good + "c", "x") + record("", 4, "d") + record("WARC-Type: response\r\n", 5, good + "e") + record("WARC-Type: response\r\n", 6, "cut", 999)
+    (tmp_path / "a.warc").write_bytes(b"noise\r\n" + whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("WARC-Type: response\r\n", 7, good + "f")) + gzip.compress(record("WARC-Type: response\r\n", 8, good + "g")))
+    damaged = gzip.compress(record("WARC-Type: response\r\n", 9, good + "h") + random.Random(1).randbytes(200_000))
+    (tmp_path / "c.warc.gz").write_bytes(damaged[:100_000] + b"\xff" * 50 + damaged[100_050:])
+    (tmp_path / "d.warc.gz").write_bytes(b"")
+    got = warc.read_records(spark, str(tmp_path), files="*.warc*").collect()
+    assert {(r.kind, r.record_id, bytes(r.payload).decode() if r.payload else None) for r in got} == {("response", "<1>", "a"), (None, "<4>", None), ("response", "<5>", "e"), ("response", "<7>", "f"), ("response", "<8>", "g"), ("response", "<9>", "h")}
+
+
+def test_turns_without_tokens_do_not_all_fit_one_window(spark):
+    rows = [(1, i, "user", f"t{i}", None if i % 2 else 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
+    got = chat.chat_windows(df, tokens="n").collect()
+    assert len(got) >= 3 and all(r.n_tokens <= 2048 for r in got) and sum(r.text.count("</turn>") - r.n_repeated for r in got) == 6000
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, small):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b = text(90), text(300)
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (1, text(70), "en", "s"), (2, None, None, None), (3, "", "en", "s"), (None, text(80), "en", None), (4, f"{text(10)} {a}", "en", "s"), (5, b, "en", "s"), (6, " ".join(b.split()[:299]) + " x", "en", "s"), (7, text(50_000), "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) as n_chars", "1 as kept", "2 as _row", "3 as start", "4 as `q``q`", "5 as `d.d`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, small)
+        assert got.columns == df.columns, name
+        rows_got = got.collect()
+        kept = {r.doc_id for r in rows_got}
+        assert {1, 5, 7, None} <= kept and all((r.kept, r._row, r.start, r["q`q"], r["d.d"]) == (1, 2, 3, 4, 5) for r in rows_got)
+        assert (2 in kept and 3 in kept) == (name != "quality_rules")
+        if name == "ngram_join":
+            assert 6 not in kept and sum(r.doc_id == 1 for r in rows_got) == 3
+        if name == "substring_dedup":
+            assert len(next(r.text for r in rows_got if r.doc_id == 4).split()) == 10
+    pieces = corpus_pipeline.pack(spark, df, small).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3, 4, 5, 6, 7, None} and len({r.sequence_id for r in pieces}) == len(pieces)
