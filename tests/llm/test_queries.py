@@ -217,3 +217,19 @@ def test_stages_take_nulls_repeats_and_clashing_columns(spark, small):
             assert len(next(r.text for r in rows_got if r.doc_id == 4).split()) == 10
     pieces = corpus_pipeline.pack(spark, df, small).collect()
     assert {r.doc_id for r in pieces} == {1, 2, 3, 4, 5, 6, 7, None} and len({r.sequence_id for r in pieces}) == len(pieces)
+
+
+def test_hosts_that_differ_by_chance_are_not_condemned():
+    import numpy as np
+
+    def condemned(rates, rng):
+        n = np.minimum(rng.zipf(1.5, len(rates)), 5000).astype(float)
+        k = rng.binomial(n.astype(int), rates).astype(float)
+        a, b = quality.beta_prior(k.sum(), n.sum(), (k * k / n).sum(), len(n))
+        rate, weight = (k + a) / (n + a + b), n + a + b
+        lower = rate - 3 * np.sqrt(rate * (1 - rate) / (weight + 1))
+        return (lower * b >= 3 * a * (1 - lower)).sum()
+
+    rng = np.random.default_rng(1)
+    assert sum(condemned(np.full(1000, p), rng) for p in (0.02, 0.1, 0.3, 0.5) for _ in range(100)) == 0
+    assert 0 < sum(condemned(rng.beta(1, 9, 1000), rng) for _ in range(100)) < 1000
