@@ -51,11 +51,35 @@ def evaluate_by_difficulty(gold: DataFrame, found: DataFrame, docs: DataFrame) -
 
 
 def threshold_sweep(gold: DataFrame, found: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """Overall counts at each least confidence, from one scan: every span counts at the thresholds it reaches."""
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    golds = gold.select("doc_id", "kind", "start", "end", F.explode(levels).alias("threshold"))
-    kept = found.select("doc_id", "kind", "start", "end", F.explode(F.filter(levels, lambda t: F.col("confidence") >= t)).alias("threshold"))
-    return scores(matched(golds, kept, "threshold").groupBy("threshold").agg(*counts()))
+    """Overall counts at each least confidence, from one scan and one join: see ``swept``."""
+    levels = sorted(float(t) for t in thresholds)
+    on = ["doc_id", "kind", "start", "end"]
+    surest = found.groupBy(*on).agg(F.max("confidence").alias("confidence")).withColumn("p", F.lit(True))
+    met = gold.select(*on).distinct().withColumn("g", F.lit(True)).join(surest, on, "full_outer")
+    bins = met.groupBy(bin_of(levels).alias("bin")).agg(*counts(), F.count_if("g").alias("golds"))
+    bins = bins.withColumn("section", F.lit("bin")).withColumn("name", F.lit(None).cast("string"))
+    return scores(swept(bins, levels).select(F.col("name").cast("double").alias("threshold"), "tp", "fp", "fn"))
+
+
+def bin_of(levels: list[float]) -> Column:
+    """How many thresholds a found span reaches; 0 where nothing was found."""
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: F.col("confidence") >= t))
+    return F.when(F.col("p"), reached).otherwise(0)
+
+
+def swept(tallied: DataFrame, levels: list[float]) -> DataFrame:
+    """``section, name, tp, fp, fn`` from counts by ``section, name, bin`` with ``tp, fp, golds``.
+
+    Each row of section ``bin``, of which there are a dozen, counts at every threshold that it reaches, and its gold
+    spans at all of them, found or not; other rows stay as they are. No join, no second look at the rows below.
+    """
+    kind = "array<struct<section:string,name:string,tp:bigint,fp:bigint,golds:bigint>>"
+    there = lambda c, i: F.when(F.col("bin") > i, F.col(c)).otherwise(0)
+    at = F.array(*[F.struct(F.lit("threshold").alias("section"), F.lit(str(t)).alias("name"), there("tp", i).alias("tp"), there("fp", i).alias("fp"), F.col("golds")) for i, t in enumerate(levels)]).cast(kind)
+    row = F.array(F.struct("section", "name", "tp", "fp", "golds")).cast(kind)
+    each = tallied.select(F.explode(F.when(F.col("section") == "bin", at).otherwise(row)).alias("t"))
+    summed = each.groupBy("t.section", "t.name").agg(*[F.sum(f"t.{c}").alias(c) for c in ("tp", "fp", "golds")])
+    return summed.select("section", "name", "tp", "fp", (F.col("golds") - F.col("tp")).alias("fn"))
 
 
 def leaks(docs: DataFrame, gold: str = "labels", text: str = "text", rewritten: str = "anonymized", strategy: str = "mask", keep_head: int = 0) -> DataFrame:
@@ -133,23 +157,15 @@ def judged(docs: DataFrame, key: str = "doc_id", labels: str = "labels", spans:
 def report(docs: DataFrame, thresholds=THRESHOLDS, **columns) -> DataFrame:
     """``section, name`` and the scores by kind, by difficulty, overall, and at each least confidence, from one scan.
 
-    Kinds, difficulties and the whole come of grouping sets. For the sweep, spans are counted by the highest threshold
-    that they reach, and those counts, a dozen rows, are summed from the top down.
+    Kinds, difficulties and the whole come of grouping sets, and so do the counts by the highest threshold reached,
+    of which the sweep is made.
     """
     levels = sorted(float(t) for t in thresholds)
-    reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: F.col("confidence") >= t))
-    met = judged(docs, **columns).withColumn("bin", F.when(F.col("p"), reached).otherwise(0))
+    met = judged(docs, **columns).withColumn("bin", bin_of(levels))
     sets = [[F.col("kind")], [F.col("difficulty")], [F.col("bin")], []]
     tallied = met.groupingSets(sets, "kind", "difficulty", "bin").agg(*counts(), F.count_if("g").alias("golds"), F.grouping_id().alias("_set"))
-    tallied = tallied.select(F.element_at(F.create_map(*[x for k, v in ((3, "kind"), (5, "difficulty"), (6, "bin"), (7, "overall")) for x in (F.lit(k), F.lit(v))]), F.col("_set").cast("int")).alias("section"), F.coalesce("kind", "difficulty", F.lit("__overall__")).alias("name"), "bin", "tp", "fp", "fn", "golds")
-    bins = tallied.where("section = 'bin'")
-    # Bin 0 holds what reaches no threshold, so that it counts as not found at every one.
-    wanted = bins.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(levels)], "bin int, threshold double")
-    every = wanted.join(bins.select("bin", "tp", "fp", "golds"), "bin", "full")
-    down = W.orderBy(F.desc("bin"))
-    swept = every.select("threshold", F.sum(F.coalesce("tp", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, 0)).alias("tp"), F.sum(F.coalesce("fp", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, 0)).alias("fp"), F.sum(F.coalesce("golds", F.lit(0))).over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("golds"))
-    swept = swept.where("threshold IS NOT NULL").select(F.lit("threshold").alias("section"), F.col("threshold").cast("string").alias("name"), "tp", "fp", (F.col("golds") - F.col("tp")).alias("fn"))
-    return scores(tallied.where("section <> 'bin'").select("section", "name", "tp", "fp", "fn").union(swept))
+    tallied = tallied.select(F.element_at(F.create_map(*[x for k, v in ((3, "kind"), (5, "difficulty"), (6, "bin"), (7, "overall")) for x in (F.lit(k), F.lit(v))]), F.col("_set").cast("int")).alias("section"), F.coalesce("kind", "difficulty", F.lit("__overall__")).alias("name"), "bin", "tp", "fp", "golds")
+    return scores(swept(tallied, levels))
 
 
 def markdown_table(rows: list, key: str) -> list[str]:
