@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,18 +39,44 @@ def unused(df: DataFrame, name: str) -> str:
 def detect(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "raw_spans") -> DataFrame:
     """Add all spans of all detectors, in their order, overlaps included. ``None`` means the default set, an empty
     mapping no detector. Row-local: one narrow stage, whatever follows."""
-    chosen = list((rules.DEFAULT if detectors is None else detectors).values())
+    chosen = tuple((rules.DEFAULT if detectors is None else detectors).values())
     near = unused(df, "_near")
-    if any(getattr(d, "takes_windows", False) for d in chosen):
-        df = fixed(df, near, near_digits(F.col(text)))  # once for all detectors of numbers
-    arrays = [d(F.col(text), F.col(near)) if getattr(d, "takes_windows", False) else d(F.col(text)) for d in chosen]
-    return fixed(df, out, F.concat(*arrays) if arrays else F.array().cast(SPANS)).drop(near)
+    if any(takes_windows(d) for d in chosen):
+        df = fixed(df, near, built(windows_of, text))  # once for all detectors of numbers
+    return fixed(df, out, built(spans_of, text, near, chosen)).drop(near)
+
+
+def takes_windows(detector: rules.Detector) -> bool:
+    return getattr(detector, "takes_windows", False)
+
+
+def windows_of(text: str) -> Column:
+    return near_digits(F.col(text))
+
+
+def spans_of(text: str, near: str, detectors: tuple[rules.Detector, ...]) -> Column:
+    arrays = [d(F.col(text), F.col(near)) if takes_windows(d) else d(F.col(text)) for d in detectors]
+    return F.concat(*arrays) if arrays else F.array().cast(SPANS)
+
+
+def resolved_of(text: str, raw: str) -> Column:
+    return res.resolve(F.col(text), F.col(raw))
+
+
+def built(make: Callable[..., Column], *names) -> Column:
+    """An expression over columns of these names, put together once: each takes thousands of calls to the JVM."""
+    return _built(SparkContext._gateway, make, *names)
+
+
+@functools.lru_cache(maxsize=256)
+def _built(gateway, make: Callable[..., Column], *names) -> Column:
+    return make(*names)
 
 
 def scan(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "spans") -> DataFrame:
     """Add the resolved, disjoint spans of a text."""
     raw = unused(df, "_raw")
-    return fixed(detect(df, text, detectors, raw), out, res.resolve(F.col(text), F.col(raw))).drop(raw)
+    return fixed(detect(df, text, detectors, raw), out, built(resolved_of, text, raw)).drop(raw)
 
 
 def anonymize(df: DataFrame, text: str = "text", strategy: str | Callable[[Column], Column] = "mask", spans: str = "spans", out: str = "anonymized", row_key: str | None = None, **options) -> DataFrame:
