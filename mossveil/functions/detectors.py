@@ -89,7 +89,7 @@ def rrn(text: Column, near: Column) -> Column:
 @of_numbers
 def passport(text: Column, near: Column) -> Column:
     """Passport numbers; 0.9 with the cue in the 15 characters before, else 0.6."""
-    found = find_near(near, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])")
+    found = find_near(near, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])", context=15)
     cued = lambda m: F.contains(m["lead"], F.lit(PASSPORT_CUE))
     return all_spans(F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
 
@@ -168,7 +168,7 @@ def card(text: Column, near: Column) -> Column:
 @of_numbers
 def account(text: Column, near: Column) -> Column:
     """Account numbers of 10 to 14 digits with a cue within 15 characters."""
-    found = find_near(near, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])")
+    found = find_near(near, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])", context=15)
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & m["context"].rlike("|".join(ACCOUNT_CUES)))
     return all_spans(F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
 

@@ -107,16 +107,18 @@ def near_digits(text: Column, least: int = 6) -> Column:
     return F.when(text.rlike(r"(?U)\d(?:\D{0,29}\d){" + str(least - 1) + "}"), found.cast(NEAR)).otherwise(F.array().cast(NEAR))
 
 
-def find_near(near: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
-    """Matches in windows, as ``find`` gives them, with the ``context`` of 15 characters on either side."""
+def find_near(near: Column, pattern: str, groups: tuple[str, ...] = (), context: int = 0) -> Column:
+    """Matches in windows, as ``find`` gives them; if asked with so many characters before them (``lead``), and on
+    either side (``context``)."""
 
     def of(w: Column) -> Column:
-        low = lambda m: F.greatest(m["start"] - 15, F.lit(0))
-        one = lambda m: F.struct(
-            (m["start"] + w["start"]).alias("start"), (m["end"] + w["start"]).alias("end"), m["match"].alias("match"), m["groups"].alias("groups"),
-            F.substring(w["text"], low(m) + 1, m["start"] - low(m)).alias("lead"), F.substring(w["text"], low(m) + 1, m["end"] + 15 - low(m)).alias("context"),
-        )
-        return F.transform(find(w["text"], pattern, groups), one)
+        def one(m: Column, pieces: Column | None) -> Column:
+            low = F.greatest(m["start"] - context, F.lit(0))
+            around = [cut(pieces, low, m["start"] - low).alias("lead"), cut(pieces, low, m["end"] + context - low).alias("context")] if context else []
+            return F.struct((m["start"] + w["start"]).alias("start"), (m["end"] + w["start"]).alias("end"), m["match"].alias("match"), m["groups"].alias("groups"), *around)
+
+        found = find(w["text"], pattern, groups)
+        return let(blocks(w["text"]), lambda pieces: F.transform(found, lambda m: one(m, pieces))) if context else F.transform(found, lambda m: one(m, None))
 
     return F.flatten(F.transform(near, of))
 
