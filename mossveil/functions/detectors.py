@@ -78,7 +78,7 @@ def hangul(text: Column) -> Column:
 @of_numbers
 def rrn(text: Column, near: Column) -> Column:
     """Resident and foreigner registration numbers; 1.0 with a right check digit, else 0.85."""
-    found = find_near(near, NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER)
+    found = find_near(near, NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER, least=13)
     d = lambda m: ascii_digits(m["match"])
     century = lambda m: F.when(digit(d(m), 6).isin(1, 2, 5, 6), "19").otherwise("20")
     real = F.filter(found, lambda m: real_date(F.concat(century(m), F.substring(d(m), 1, 2)), F.substring(d(m), 3, 2), F.substring(d(m), 5, 2)))
@@ -89,7 +89,7 @@ def rrn(text: Column, near: Column) -> Column:
 @of_numbers
 def passport(text: Column, near: Column) -> Column:
     """Passport numbers; 0.9 with the cue in the 15 characters before, else 0.6."""
-    found = find_near(near, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])", context=15)
+    found = find_near(near, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])", context=15, least=7, needs=r"(?U)[MSROD]\d{3}")
     cued = lambda m: F.contains(m["lead"], F.lit(PASSPORT_CUE))
     return all_spans(F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
 
@@ -97,7 +97,7 @@ def passport(text: Column, near: Column) -> Column:
 @of_numbers
 def driver_license(text: Column, near: Column) -> Column:
     """Driving licence numbers of the known regions."""
-    found = find_near(near, r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])")
+    found = find_near(near, r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])", least=12)
     return all_spans(F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)))
 
 
@@ -105,8 +105,8 @@ def driver_license(text: Column, near: Column) -> Column:
 def phone(text: Column, near: Column) -> Column:
     """Mobile numbers first, then landline, internet and personal numbers."""
     rest = SEP + r"\d{3,4}" + SEP + r"\d{4}" + NO_DIGIT_AFTER
-    mobile = find_near(near, NO_DIGIT_BEFORE + r"(?:\+82" + SEP + r"0?|0)1[016789]" + rest)
-    fixed = find_near(near, NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest)
+    mobile = find_near(near, NO_DIGIT_BEFORE + r"(?:\+82" + SEP + r"0?|0)1[016789]" + rest, least=10)
+    fixed = find_near(near, NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest, least=9)
 
     def spans(found: Column, separated: float, bare: float) -> Column:
         return F.transform(found, lambda m: span("phone", "PhoneDetector", m["match"], m["start"], m["end"], F.when(m["match"].rlike("[-. ]"), separated).otherwise(bare)))
@@ -159,7 +159,7 @@ def address(text: Column) -> Column:
 @of_numbers
 def card(text: Column, near: Column) -> Column:
     """Card numbers of 13 to 19 digits with a right Luhn digit."""
-    found = find_near(near, NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER)
+    found = find_near(near, NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER, least=13)
     d = lambda m: ascii_digits(m["match"])
     right = F.filter(found, lambda m: F.length(d(m)).between(13, 19) & F.call_function("luhn_check", d(m)))
     return all_spans(F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)))
@@ -168,7 +168,7 @@ def card(text: Column, near: Column) -> Column:
 @of_numbers
 def account(text: Column, near: Column) -> Column:
     """Account numbers of 10 to 14 digits with a cue within 15 characters."""
-    found = find_near(near, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])", context=15)
+    found = find_near(near, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])", context=15, least=4, needs="|".join(ACCOUNT_CUES))
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & m["context"].rlike("|".join(ACCOUNT_CUES)))
     return all_spans(F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
 
@@ -176,7 +176,7 @@ def account(text: Column, near: Column) -> Column:
 @of_numbers
 def business_registration(text: Column, near: Column) -> Column:
     """Business registration numbers with a right check digit."""
-    found = find_near(near, NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER)
+    found = find_near(near, NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER, least=10, needs=r"(?U)\d-\d")
     d = lambda m: ascii_digits(m["match"])
     total = lambda m: weighted(d(m), BUSINESS_WEIGHTS) + F.floor(digit(d(m), 8) * 5 / 10)
     right = F.filter(found, lambda m: (F.lit(10) - total(m) % 10) % 10 == digit(d(m), 9))
@@ -218,7 +218,7 @@ def name_candidate(text: Column) -> Column:
 def birth_date(text: Column, near: Column) -> Column:
     """Real dates behind a birth label; the span is the date."""
     day = rf"\d{{4}}{WS}?년{WS}?\d{{1,2}}{WS}?월{WS}?\d{{1,2}}{WS}?일|\d{{4}}[-./]\d{{1,2}}[-./]\d{{1,2}}"
-    found = find_near(near, rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})", ("lead", "date"))
+    found = find_near(near, rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})", ("lead", "date"), needs="|".join(BIRTH_ANCHORS))
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))
     at = lambda m: m["start"] + F.length(group(m, 0))

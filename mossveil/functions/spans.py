@@ -84,11 +84,11 @@ def cut(pieces: Column, start: Column, length: Column) -> Column:
 #: Windows around digits reach so far before the first and behind the last of them; stretches without a digit that are
 #: longer than GAP lie between two windows. No pattern of a detector reaches further, nor has such a gap within.
 BEFORE, AFTER, GAP = 25, 20, 30
-NEAR = "array<struct<start:int,text:string>>"
+NEAR = "array<struct<start:int,text:string,digits:int>>"
 
 
 def near_digits(text: Column, least: int = 6) -> Column:
-    """The surroundings of digits, of at least ``least`` in a row or close to each other: array of struct(start, text).
+    """The surroundings of digits, of at least ``least`` in a row or close to each other: array of struct(start, text, digits).
 
     One pass over the text, which every detector of numbers can share. A match in a window is one in the text, and the
     other way round: windows hold all that patterns look at, and what lies between them holds no digit.
@@ -100,16 +100,17 @@ def near_digits(text: Column, least: int = 6) -> Column:
         lead = lambda i: F.when(i > 0, F.right(F.get(ps, i - 1), F.lit(BEFORE))).otherwise(F.lit(""))
         tail = lambda i: F.coalesce(F.left(F.get(ps, i + 1), F.lit(AFTER)), F.lit(""))
         many = F.filter(F.sequence(F.lit(0), F.size(ps) - 1, F.lit(2)), lambda i: F.get(ps, i).rlike(f"(?U)(?:\\d\\D*){{{least}}}"))
-        return F.transform(many, lambda i: let(lead(i), lambda x: F.struct((F.get(starts, i) - F.length(x)).alias("start"), F.concat(x, F.get(ps, i), tail(i)).alias("text"))))
+        return F.transform(many, lambda i: let(lead(i), lambda x: F.struct((F.get(starts, i) - F.length(x)).alias("start"), F.concat(x, F.get(ps, i), tail(i)).alias("text"), F.length(F.regexp_replace(F.get(ps, i), r"(?U)\D", "")).alias("digits"))))
 
     lengths = lambda ps: F.transform(ps, lambda p: F.length(p))
     found = let(parts, lambda ps: let(before(lengths(ps), F.lit(0), lambda a, x: a + x), lambda starts: windows(ps, starts)))
     return F.when(text.rlike(r"(?U)\d(?:\D{0,29}\d){" + str(least - 1) + "}"), found.cast(NEAR)).otherwise(F.array().cast(NEAR))
 
 
-def find_near(near: Column, pattern: str, groups: tuple[str, ...] = (), context: int = 0) -> Column:
+def find_near(near: Column, pattern: str, groups: tuple[str, ...] = (), context: int = 0, least: int = 0, needs: str | None = None) -> Column:
     """Matches in windows, as ``find`` gives them; if asked with so many characters before them (``lead``), and on
-    either side (``context``)."""
+    either side (``context``). Windows with fewer digits than a match has at ``least``, or without what it ``needs``,
+    are passed over."""
 
     def of(w: Column) -> Column:
         def one(m: Column, pieces: Column | None) -> Column:
@@ -120,7 +121,8 @@ def find_near(near: Column, pattern: str, groups: tuple[str, ...] = (), context:
         found = find(w["text"], pattern, groups)
         return let(blocks(w["text"]), lambda pieces: F.transform(found, lambda m: one(m, pieces))) if context else F.transform(found, lambda m: one(m, None))
 
-    return F.flatten(F.transform(near, of))
+    fit = F.filter(near, lambda w: (w["digits"] >= least) & w["text"].rlike(needs) if needs else w["digits"] >= least)
+    return F.flatten(F.transform(fit, of))
 
 
 def group(match: Column, k: int) -> Column:
