@@ -183,12 +183,12 @@ def test_twenty_thousand_spans(spark):
     start = time.time()
     found = scan.scan(df, detectors={"email": rules.email})
     got = scan.anonymize(found, strategy="label", numbered=True).first().anonymized
-    assert time.time() - start < 10
+    assert time.time() - start < 20
     seen = {}
     assert got == " ".join(f"[이메일{seen.setdefault((i % 500, i % 7), len(seen) + 1)}]😀" for i in range(n))
     start = time.time()
     masked = scan.display(scan.detect(df, detectors={"email": rules.email})).first().anonymized
-    assert time.time() - start < 10 and masked == " ".join("*" * len(f"u{i % 500}@m{i % 7}.co") + "😀" for i in range(n))
+    assert time.time() - start < 20 and masked == " ".join("*" * len(f"u{i % 500}@m{i % 7}.co") + "😀" for i in range(n))
 
 
 def merge(spans):
