@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mossveil.functions.spans import ASCII_DIGITS, DIGITS, SPANS, ascii_digits, digit, find, find_near, group, let, near_digits, real_date, span, weighted
+from mossveil.functions.spans import ASCII_DIGITS, DIGITS, SHORT, SPANS, ascii_digits, digit, find, find_near, group, let, near_digits, real_date, span, weighted
 
 # ---- fixed values ----------------------------------------------------------------------------------------------
 PROVINCES = (
@@ -56,15 +58,24 @@ def of_numbers(body: Callable[[Column, Column], Column]) -> Detector:
     return detector
 
 
-def all_spans(spans: Column) -> Column:
-    """Spans of windows; none for null texts too."""
-    return F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))
+def all_spans(text: Column, spans: Column, *patterns: str) -> Column:
+    """Spans of windows; none for null texts too, nor for short ones in which one look finds none of the patterns."""
+    worth = (F.length(text) > SHORT) | reduce(or_, [text.rlike(f"(?U){p}") for p in patterns])
+    return F.when(worth, F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))).otherwise(F.array().cast(SPANS))
 
 
 def longest_first(words: list[str]) -> str:
     return "|".join(sorted(dict.fromkeys(words), key=len, reverse=True))
 
 
+def any_of(words: list[str]) -> str:
+    """Any of the words, the longest first; signs with which none begins are passed over at one look."""
+    single = "".join(dict.fromkeys(w for w in words if len(w) == 1))
+    longer = [w for w in words if len(w) > 1]
+    options = [longest_first(longer)] * bool(longer) + [f"[{single}]"] * bool(single)
+    return f"(?=[{''.join(dict.fromkeys(w[0] for w in words))}])(?:{'|'.join(options)})"
+
+
 def guarded(text: Column, condition: Column, spans: Column) -> Column:
     """Spans where the cheap condition holds, none elsewhere (null texts included)."""
     return F.when(condition, spans.cast(SPANS)).otherwise(F.array().cast(SPANS))
@@ -78,40 +89,44 @@ def hangul(text: Column) -> Column:
 @of_numbers
 def rrn(text: Column, near: Column) -> Column:
     """Resident and foreigner registration numbers; 1.0 with a right check digit, else 0.85."""
-    found = find_near(near, NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER, least=13)
+    pattern = NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER
+    found = find_near(near, pattern, least=13)
     d = lambda m: ascii_digits(m["match"])
     century = lambda m: F.when(digit(d(m), 6).isin(1, 2, 5, 6), "19").otherwise("20")
     real = F.filter(found, lambda m: real_date(F.concat(century(m), F.substring(d(m), 1, 2)), F.substring(d(m), 3, 2), F.substring(d(m), 5, 2)))
     right = lambda m: (F.lit(11) - weighted(d(m), RRN_WEIGHTS) % 11) % 10 == digit(d(m), 12)
-    return all_spans(F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))))
+    return all_spans(text, F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))), pattern)
 
 
 @of_numbers
 def passport(text: Column, near: Column) -> Column:
     """Passport numbers; 0.9 with the cue in the 15 characters before, else 0.6."""
-    found = find_near(near, r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])", context=15, least=7, needs=r"(?U)[MSROD]\d{3}")
+    pattern = r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])"
+    found = find_near(near, pattern, context=15, least=7, needs=r"(?U)[MSROD]\d{3}")
     cued = lambda m: F.contains(m["lead"], F.lit(PASSPORT_CUE))
-    return all_spans(F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))))
+    return all_spans(text, F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))), pattern)
 
 
 @of_numbers
 def driver_license(text: Column, near: Column) -> Column:
     """Driving licence numbers of the known regions."""
-    found = find_near(near, r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])", least=12)
-    return all_spans(F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)))
+    pattern = r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])"
+    found = find_near(near, pattern, least=12)
+    return all_spans(text, F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)), pattern)
 
 
 @of_numbers
 def phone(text: Column, near: Column) -> Column:
     """Mobile numbers first, then landline, internet and personal numbers."""
     rest = SEP + r"\d{3,4}" + SEP + r"\d{4}" + NO_DIGIT_AFTER
-    mobile = find_near(near, NO_DIGIT_BEFORE + r"(?:\+82" + SEP + r"0?|0)1[016789]" + rest, least=10)
-    fixed = find_near(near, NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest, least=9)
+    of_mobile = NO_DIGIT_BEFORE + r"(?:\+82" + SEP + r"0?|0)1[016789]" + rest
+    of_fixed = NO_DIGIT_BEFORE + r"0(?:2|3[1-3]|4[1-4]|5[1-5]|6[1-4]|70|50\d?)" + rest
+    mobile, fixed = find_near(near, of_mobile, least=10), find_near(near, of_fixed, least=9)
 
     def spans(found: Column, separated: float, bare: float) -> Column:
         return F.transform(found, lambda m: span("phone", "PhoneDetector", m["match"], m["start"], m["end"], F.when(m["match"].rlike("[-. ]"), separated).otherwise(bare)))
 
-    return all_spans(F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)))
+    return all_spans(text, F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)), of_mobile, of_fixed)
 
 
 def email(text: Column) -> Column:
@@ -135,7 +150,7 @@ ADDRESS_WEIGHTS = {"gu": 0.15, "gu2": 0.05, "dong": 0.15, "lot": 0.2, "building"
 
 def address(text: Column) -> Column:
     """Addresses from a province on, and from a city or county on where no such address overlaps; by start."""
-    province = find(text, f"(?:{longest_first(PROVINCES)})(?!(?!{'|'.join(PARTICLES)}){HANGUL})" + ADDRESS_TAIL, ADDRESS_GROUPS)
+    province = find(text, f"{any_of(PROVINCES)}(?!(?!{'|'.join(PARTICLES)}){HANGUL})" + ADDRESS_TAIL, ADDRESS_GROUPS)
     city = find(text, rf"(?<!{HANGUL}){HANGUL}{{2,9}}[시군](?={WS}{HANGUL}{{1,10}}[구동읍면리])" + ADDRESS_TAIL, ADDRESS_GROUPS)
 
     def spans(found: Column, base: float, cap: float) -> Column:
@@ -159,41 +174,47 @@ def address(text: Column) -> Column:
 @of_numbers
 def card(text: Column, near: Column) -> Column:
     """Card numbers of 13 to 19 digits with a right Luhn digit."""
-    found = find_near(near, NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER, least=13)
+    pattern = NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER
+    found = find_near(near, pattern, least=13)
     d = lambda m: ascii_digits(m["match"])
     right = F.filter(found, lambda m: F.length(d(m)).between(13, 19) & F.call_function("luhn_check", d(m)))
-    return all_spans(F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)))
+    return all_spans(text, F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)), pattern)
 
 
 @of_numbers
 def account(text: Column, near: Column) -> Column:
     """Account numbers of 10 to 14 digits with a cue within 15 characters."""
-    found = find_near(near, r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])", context=15, least=4, needs="|".join(ACCOUNT_CUES))
+    pattern = r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])"
+    found = find_near(near, pattern, context=15, least=4, needs="|".join(ACCOUNT_CUES))
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & m["context"].rlike("|".join(ACCOUNT_CUES)))
-    return all_spans(F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)))
+    return all_spans(text, F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)), pattern)
 
 
 @of_numbers
 def business_registration(text: Column, near: Column) -> Column:
     """Business registration numbers with a right check digit."""
-    found = find_near(near, NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER, least=10, needs=r"(?U)\d-\d")
+    pattern = NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER
+    found = find_near(near, pattern, least=10, needs=r"(?U)\d-\d")
     d = lambda m: ascii_digits(m["match"])
     total = lambda m: weighted(d(m), BUSINESS_WEIGHTS) + F.floor(digit(d(m), 8) * 5 / 10)
     right = F.filter(found, lambda m: (F.lit(10) - total(m) % 10) % 10 == digit(d(m), 9))
-    return all_spans(F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)))
+    return all_spans(text, F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)), pattern)
 
 
 #: Takes nothing, and keeps what follows, as long as the longest label word.
 AHEAD = r"(?=(?<ahead>[\s\S]{0,6}))"
+SURNAME_HEADS = "".join(dict.fromkeys(s[0] for s in SURNAMES))
+#: Any word that makes a name of what stands beside it.
+CUE = any_of(ROLES + HONORIFICS + TITLES)
 TITLE_ONLY = [t for t in TITLES if t not in HONORIFICS]
 
 
 def name(text: Column, min_confidence: float = 0.0) -> Column:
     """Names by surname and cues: 0.75 with cues on both sides, 0.5 with one."""
     pattern = (
-        rf"(?<lead>(?:(?<prefix>{longest_first(ROLES + TITLE_ONLY)})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL}){AHEAD}"
-        rf"(?<name>(?:{longest_first(SURNAMES)}){HANGUL}(?:(?![{HONORIFIC_TAILS}]){HANGUL})?)"
-        rf"(?:{WS}?(?<suffix>{longest_first(HONORIFICS + TITLES)}))?"
+        rf"(?<lead>(?:(?<prefix>{any_of(ROLES + TITLE_ONLY)})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL})(?=[{SURNAME_HEADS}]){AHEAD}"
+        rf"(?<name>{any_of(SURNAMES)}{HANGUL}(?:(?![{HONORIFIC_TAILS}]){HANGUL})?)"
+        rf"(?:{WS}?(?<suffix>{any_of(HONORIFICS + TITLES)}))?"
     )
     found = find(text, pattern, ("lead", "prefix", "name", "suffix", "ahead"))
     at = lambda m: m["start"] + F.length(group(m, 0))
@@ -204,25 +225,26 @@ def name(text: Column, min_confidence: float = 0.0) -> Column:
     good = F.filter(found, lambda m: ~label(m) & ((prefix(m) != "") | (suffix(m) != "")) & ~(only_title(m) & ((F.length(called(m)) < 3) | department(m))))
     score = lambda m: F.when((prefix(m) != "") & (suffix(m) != ""), 0.75).otherwise(0.5)
     spans = F.transform(F.filter(good, lambda m: score(m) >= min_confidence), lambda m: span("name", "NameDetector", called(m), at(m), at(m) + F.length(called(m)), score(m)))
-    return guarded(text, hangul(text) & text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))), spans)
+    return guarded(text, hangul(text) & text.rlike(CUE), spans)
 
 
 def name_candidate(text: Column) -> Column:
     """Whether a text may hold a name at all: any cue, or a surname and a syllable that begin no label word."""
-    found = find(text, f"{AHEAD}(?:{longest_first(SURNAMES)}){HANGUL}", ("ahead",))
+    found = find(text, f"(?=[{SURNAME_HEADS}]){AHEAD}{any_of(SURNAMES)}{HANGUL}", ("ahead",))
     loose = F.exists(found, lambda m: ~group(m, 0).rlike(f"^(?:{'|'.join(LABEL_WORDS)})"))
-    return F.coalesce(text.rlike("|".join(dict.fromkeys(ROLES + HONORIFICS + TITLES))) | loose, F.lit(False))
+    return F.coalesce(text.rlike(CUE) | loose, F.lit(False))
 
 
 @of_numbers
 def birth_date(text: Column, near: Column) -> Column:
     """Real dates behind a birth label; the span is the date."""
     day = rf"\d{{4}}{WS}?년{WS}?\d{{1,2}}{WS}?월{WS}?\d{{1,2}}{WS}?일|\d{{4}}[-./]\d{{1,2}}[-./]\d{{1,2}}"
-    found = find_near(near, rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})", ("lead", "date"), needs="|".join(BIRTH_ANCHORS))
+    pattern = rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})"
+    found = find_near(near, pattern, ("lead", "date"), needs="|".join(BIRTH_ANCHORS))
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))
     at = lambda m: m["start"] + F.length(group(m, 0))
-    return all_spans(F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)))
+    return all_spans(text, F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)), pattern)
 
 
 #: The default set; the order breaks ties when spans overlap.

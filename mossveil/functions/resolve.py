@@ -61,7 +61,8 @@ def resolve(text: Column, spans: Column) -> Column:
     one = lambda run: F.aggregate(F.slice(run, F.lit(2), F.greatest(F.size(run) - 1, F.lit(0))), plain(F.get(run, F.lit(0))), join)
     merged = F.transform(let(F.sort_array(keyed), islands), one)
     done = lambda pieces: F.transform(merged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["text"], cut(pieces, s["start"], s["end"] - s["start"])).alias("text"), s["confidence"].alias("confidence"), s["detector"].alias("detector")))
-    return F.when(F.size(spans) > 0, let(blocks(text), done).cast(SPANS)).otherwise(spans.cast(SPANS))
+    alone = (F.size(spans) == 1) & F.get(spans, F.lit(0))["text"].isNotNull()  # joined with nothing, it stays as it is
+    return F.when((F.size(spans) > 0) & ~alone, let(blocks(text), done).cast(SPANS)).otherwise(spans.cast(SPANS))
 
 
 def first_only(spans: Column) -> Column:

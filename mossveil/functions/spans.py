@@ -19,6 +19,7 @@ STAND_INS = "\ue002\ue003"
 
 SPAN = "struct<kind:string,start:int,end:int,text:string,confidence:double,detector:string>"
 SPANS = f"array<{SPAN}>"
+MATCHES = "array<struct<start:int,end:int,match:string,groups:array<string>>>"
 
 #: Every decimal digit of Unicode, and the ASCII digit of its value.
 DIGITS = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
@@ -26,16 +27,27 @@ ASCII_DIGITS = "".join(str(unicodedata.digit(d)) for d in DIGITS)
 
 
 def find(text: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
-    """All leftmost matches: array of struct(start, end, match, groups); groups that took no part are empty."""
-    safe = F.translate(text, MARK + FIELD, STAND_INS)
+    """All leftmost matches: array of struct(start, end, match, groups); groups that took no part are empty.
+
+    Texts without a match, null ones among them, cost one look: nothing is taken apart in them.
+    """
+    safe = unmarked(text)
     fields = "".join(f"{FIELD}${{{g}}}" for g in groups)
     pieces = F.split(F.regexp_replace(safe, F.lit(f"(?U){pattern}"), F.lit(f"{MARK}$0{fields}{MARK}")), MARK, -1)
-    return let(F.transform(pieces, lambda p: F.split(p, FIELD, -1)), lambda parts: _places(parts, max(len(groups), 1)))
+    found = let(F.transform(pieces, lambda p: F.split(p, FIELD, -1)), lambda parts: _places(parts, max(len(groups), 1)))
+    return F.when(text.rlike(f"(?U){pattern}"), found).otherwise(F.array().cast(MATCHES))
+
+
+def unmarked(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(FIELD)), F.translate(text, MARK + FIELD, STAND_INS)).otherwise(text)
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with the value evaluated once.
+
+    ``element_at`` rather than ``get``: that asks for the type of what it gets for every row, and nested ones each twice.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _places(parts: Column, groups: int) -> Column:
@@ -54,7 +66,7 @@ def before(values: Column, zero: Column, merge) -> Column:
     """For each place of an array, the values before it folded by ``merge`` (associative, ``zero`` changes nothing).
 
     The fold is taken over chunks and then within them, so that it costs little more than linear time; a fold that
-    builds a list would copy all it has built at every step.
+    builds a list would copy all it has built at every step. Arrays of a few values, the most common, have one chunk.
     """
     step = 100
     fold = lambda xs: F.aggregate(xs, zero, merge)
@@ -62,12 +74,13 @@ def before(values: Column, zero: Column, merge) -> Column:
     chunks = lambda vs: F.transform(F.sequence(F.lit(0), chunk(F.size(vs))), lambda c: fold(F.slice(vs, c * step + 1, F.lit(step))))
     prefix = lambda sums: F.transform(sums, lambda _, i: fold(F.slice(sums, F.lit(1), i)))
     each = lambda vs, pre: F.transform(vs, lambda _, i: merge(F.get(pre, chunk(i)), fold(F.slice(vs, chunk(i) * step + 1, i % step))))
-    return let(values, lambda vs: let(let(chunks(vs), prefix), lambda pre: each(vs, pre)))
+    few = lambda vs: F.transform(vs, lambda _, i: fold(F.slice(vs, F.lit(1), i)))
+    return let(values, lambda vs: F.when(F.size(vs) <= 10, few(vs)).otherwise(let(let(chunks(vs), prefix), lambda pre: each(vs, pre))))
 
 
 def blocks(text: Column) -> Column:
     """A text in blocks, so that ``cut`` need not count its code points from the start each time."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
 
 
 #: Code points of a block.
@@ -84,6 +97,8 @@ def cut(pieces: Column, start: Column, length: Column) -> Column:
 #: Windows around digits reach so far before the first and behind the last of them; stretches without a digit that are
 #: longer than GAP lie between two windows. No pattern of a detector reaches further, nor has such a gap within.
 BEFORE, AFTER, GAP = 25, 20, 30
+#: Texts of so many code points at most are not cut into windows.
+SHORT = 120
 NEAR = "array<struct<start:int,text:string,digits:int>>"
 
 
@@ -91,9 +106,10 @@ def near_digits(text: Column, least: int = 6) -> Column:
     """The surroundings of digits, of at least ``least`` in a row or close to each other: array of struct(start, text, digits).
 
     One pass over the text, which every detector of numbers can share. A match in a window is one in the text, and the
-    other way round: windows hold all that patterns look at, and what lies between them holds no digit.
+    other way round: windows hold all that patterns look at, and what lies between them holds no digit. A short text is
+    one window as it stands, and its length says how many digits it has at most.
     """
-    safe = F.translate(text, MARK + FIELD, STAND_INS)
+    safe = unmarked(text)
     parts = F.split(F.regexp_replace(safe, F.lit(f"(?U)\\D{{{GAP},}}"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
     def windows(ps: Column, starts: Column) -> Column:
@@ -104,7 +120,9 @@ def near_digits(text: Column, least: int = 6) -> Column:
 
     lengths = lambda ps: F.transform(ps, lambda p: F.length(p))
     found = let(parts, lambda ps: let(before(lengths(ps), F.lit(0), lambda a, x: a + x), lambda starts: windows(ps, starts)))
-    return F.when(text.rlike(r"(?U)\d(?:\D{0,29}\d){" + str(least - 1) + "}"), found.cast(NEAR)).otherwise(F.array().cast(NEAR))
+    whole = F.array(F.struct(F.lit(0).alias("start"), safe.alias("text"), F.length(text).alias("digits")))
+    found = F.when(F.length(text) <= SHORT, whole.cast(NEAR)).otherwise(found.cast(NEAR))
+    return F.when(text.rlike(r"(?U)\d(?:\D{0,29}\d){" + str(least - 1) + "}"), found).otherwise(F.array().cast(NEAR))
 
 
 def find_near(near: Column, pattern: str, groups: tuple[str, ...] = (), context: int = 0, least: int = 0, needs: str | None = None) -> Column:

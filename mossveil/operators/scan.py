@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mossveil.functions import detectors as rules
 from mossveil.functions import resolve as res
-from mossveil.functions.spans import SPANS, near_digits
+from mossveil.functions.spans import SPANS, let, near_digits
 
 
 def fixed(df: DataFrame, name: str, value) -> DataFrame:
@@ -21,7 +21,7 @@ def fixed(df: DataFrame, name: str, value) -> DataFrame:
     It is generated rather than projected: a filter or another expression over it would else be merged with it, and
     then evaluate it anew for every use and every element of an array.
     """
-    return df.select(*[quoted(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+    return df.select(*[quoted(c) for c in df.columns if c != name], F.explode(let(value, lambda v: F.array(v))).alias(name))
 
 
 def quoted(name: str) -> Column:
@@ -36,6 +36,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """The same rows on all cores: a small file of keys is one task's input, however much is made of every key."""
+    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism)
+
+
 def detect(df: DataFrame, text: str = "text", detectors: Mapping[str, rules.Detector] | None = None, out: str = "raw_spans") -> DataFrame:
     """Add all spans of all detectors, in their order, overlaps included. ``None`` means the default set, an empty
     mapping no detector. Row-local: one narrow stage, whatever follows."""
