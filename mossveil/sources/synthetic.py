@@ -118,7 +118,8 @@ def distractor(rng: random.Random) -> str:
         "phone of no area": lambda: f"0{rng.choice('0789')}-{rng.randint(1000, 9999)}-{digits(rng, 4)}",
         "registration number of no date": lambda: f"{digits(rng, 2)}{rng.randint(13, 19)}{rng.randint(32, 39)}-{rng.randint(1, 4)}{digits(rng, 6)}",
         "mention of a region": lambda: rng.choice(["강남구에서", "성남시로", "수원시로"]),
-        "passport of another length": lambda: rng.choice("MSROD") + digits(rng, rng.choice([7, 9])),
+        # Nine digits from 02 on would be a phone number of Seoul.
+        "passport of another length": lambda: re.sub("^(.)0", r"\g<1>1", rng.choice("MSROD") + digits(rng, rng.choice([7, 9]))),
         "account without a cue": lambda: f"{digits(rng, 3)}-{digits(rng, 2)}-{digits(rng, 6)}",
         "licence of no region": lambda: f"{rng.choice(['05', '27', '29', '77'])}-{digits(rng, 2)}-{digits(rng, 6)}-{digits(rng, 2)}",
     }
