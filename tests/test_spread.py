@@ -9,6 +9,7 @@ from mossveil.functions.spans import SHORT, find
 from mossveil.operators import scan
 from mossveil.plans import registry
 
+
 def test_a_file_of_keys_is_dealt_over_all_cores(spark, small):
     cores = spark.sparkContext.defaultParallelism
     keys = scan.spread(registry.table(spark, small, "customer").select("c_custkey"))
