@@ -98,7 +98,7 @@ def cut(pieces: Column, start: Column, length: Column) -> Column:
 #: longer than GAP lie between two windows. No pattern of a detector reaches further, nor has such a gap within.
 BEFORE, AFTER, GAP = 25, 20, 30
 #: Texts of so many code points at most are not cut into windows.
-SHORT = 120
+SHORT = 60
 NEAR = "array<struct<start:int,text:string,digits:int>>"
 
 
