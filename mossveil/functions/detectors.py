@@ -58,12 +58,18 @@ def of_numbers(body: Callable[[Column, Column], Column]) -> Detector:
     return detector
 
 
-def all_spans(text: Column, spans: Column, *patterns: str) -> Column:
-    """Spans of windows; none for null texts too, nor for short ones in which one look finds none of the patterns."""
-    worth = (F.length(text) > SHORT) | reduce(or_, [text.rlike(f"(?U){p}") for p in patterns])
+def all_spans(text: Column, near: Column, least: int, spans: Column, *patterns: str) -> Column:
+    """Spans of windows; none for null texts too, nor where no window has ``least`` digits, nor for short texts in which
+    one look finds none of the patterns."""
+    worth = F.exists(near, lambda w: w["digits"] >= least) & ((F.length(text) > SHORT) | reduce(or_, [text.rlike(f"(?U){p}") for p in patterns]))
     return F.when(worth, F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))).otherwise(F.array().cast(SPANS))
 
 
+def with_digits(found: Column) -> Column:
+    """Matches with their ASCII digits, which checks of a number ask for a dozen times."""
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), ascii_digits(m["match"]).alias("digits")))
+
+
 def longest_first(words: list[str]) -> str:
     return "|".join(sorted(dict.fromkeys(words), key=len, reverse=True))
 
@@ -90,12 +96,12 @@ def hangul(text: Column) -> Column:
 def rrn(text: Column, near: Column) -> Column:
     """Resident and foreigner registration numbers; 1.0 with a right check digit, else 0.85."""
     pattern = NO_DIGIT_BEFORE + r"\d{6}" + SEP + r"[1-8]\d{6}" + NO_DIGIT_AFTER
-    found = find_near(near, pattern, least=13)
-    d = lambda m: ascii_digits(m["match"])
+    found = with_digits(find_near(near, pattern, least=13))
+    d = lambda m: m["digits"]
     century = lambda m: F.when(digit(d(m), 6).isin(1, 2, 5, 6), "19").otherwise("20")
     real = F.filter(found, lambda m: real_date(F.concat(century(m), F.substring(d(m), 1, 2)), F.substring(d(m), 3, 2), F.substring(d(m), 5, 2)))
     right = lambda m: (F.lit(11) - weighted(d(m), RRN_WEIGHTS) % 11) % 10 == digit(d(m), 12)
-    return all_spans(text, F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))), pattern)
+    return all_spans(text, near, 13, F.transform(real, lambda m: span("rrn", "RRNDetector", m["match"], m["start"], m["end"], F.when(right(m), 1.0).otherwise(0.85))), pattern)
 
 
 @of_numbers
@@ -104,7 +110,7 @@ def passport(text: Column, near: Column) -> Column:
     pattern = r"(?<![A-Za-z0-9])[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})(?![A-Za-z0-9])"
     found = find_near(near, pattern, context=15, least=7, needs=r"(?U)[MSROD]\d{3}")
     cued = lambda m: F.contains(m["lead"], F.lit(PASSPORT_CUE))
-    return all_spans(text, F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))), pattern)
+    return all_spans(text, near, 7, F.transform(found, lambda m: span("passport", "PassportDetector", m["match"], m["start"], m["end"], F.when(cued(m), 0.9).otherwise(0.6))), pattern)
 
 
 @of_numbers
@@ -112,7 +118,7 @@ def driver_license(text: Column, near: Column) -> Column:
     """Driving licence numbers of the known regions."""
     pattern = r"(?<![\d-])(?:1[1-9]|2[0-6]|28)[- ]?\d{2}[- ]?\d{6}[- ]?\d{2}(?![\d-])"
     found = find_near(near, pattern, least=12)
-    return all_spans(text, F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)), pattern)
+    return all_spans(text, near, 12, F.transform(found, lambda m: span("driver_license", "DriverLicenseDetector", m["match"], m["start"], m["end"], 0.85)), pattern)
 
 
 @of_numbers
@@ -126,7 +132,7 @@ def phone(text: Column, near: Column) -> Column:
     def spans(found: Column, separated: float, bare: float) -> Column:
         return F.transform(found, lambda m: span("phone", "PhoneDetector", m["match"], m["start"], m["end"], F.when(m["match"].rlike("[-. ]"), separated).otherwise(bare)))
 
-    return all_spans(text, F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)), of_mobile, of_fixed)
+    return all_spans(text, near, 9, F.concat(spans(mobile, 1.0, 0.9), spans(fixed, 0.95, 0.8)), of_mobile, of_fixed)
 
 
 def email(text: Column) -> Column:
@@ -175,30 +181,30 @@ def address(text: Column) -> Column:
 def card(text: Column, near: Column) -> Column:
     """Card numbers of 13 to 19 digits with a right Luhn digit."""
     pattern = NO_DIGIT_BEFORE + r"(?:\d{4}([ .-]{1,3})\d{4}\1\d{4}\1\d{1,4}|\d{4}([ .-]{1,3})\d{6}\2\d{5}|\d{13,19})" + NO_DIGIT_AFTER
-    found = find_near(near, pattern, least=13)
-    d = lambda m: ascii_digits(m["match"])
+    found = with_digits(find_near(near, pattern, least=13))
+    d = lambda m: m["digits"]
     right = F.filter(found, lambda m: F.length(d(m)).between(13, 19) & F.call_function("luhn_check", d(m)))
-    return all_spans(text, F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)), pattern)
+    return all_spans(text, near, 13, F.transform(right, lambda m: span("card", "CreditCardDetector", m["match"], m["start"], m["end"], 0.95)), pattern)
 
 
 @of_numbers
 def account(text: Column, near: Column) -> Column:
     """Account numbers of 10 to 14 digits with a cue within 15 characters."""
     pattern = r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])"
-    found = find_near(near, pattern, context=15, least=4, needs="|".join(ACCOUNT_CUES))
+    found = find_near(near, pattern, context=15, least=10, needs="|".join(ACCOUNT_CUES))
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & m["context"].rlike("|".join(ACCOUNT_CUES)))
-    return all_spans(text, F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)), pattern)
+    return all_spans(text, near, 10, F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)), pattern)
 
 
 @of_numbers
 def business_registration(text: Column, near: Column) -> Column:
     """Business registration numbers with a right check digit."""
     pattern = NO_DIGIT_BEFORE + r"\d{3}-\d{2}-\d{5}" + NO_DIGIT_AFTER
-    found = find_near(near, pattern, least=10, needs=r"(?U)\d-\d")
-    d = lambda m: ascii_digits(m["match"])
+    found = with_digits(find_near(near, pattern, least=10, needs=r"(?U)\d-\d"))
+    d = lambda m: m["digits"]
     total = lambda m: weighted(d(m), BUSINESS_WEIGHTS) + F.floor(digit(d(m), 8) * 5 / 10)
     right = F.filter(found, lambda m: (F.lit(10) - total(m) % 10) % 10 == digit(d(m), 9))
-    return all_spans(text, F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)), pattern)
+    return all_spans(text, near, 10, F.transform(right, lambda m: span("biz_reg", "BusinessRegistrationDetector", m["match"], m["start"], m["end"], 1.0)), pattern)
 
 
 #: Takes nothing, and keeps what follows, as long as the longest label word.
@@ -240,11 +246,11 @@ def birth_date(text: Column, near: Column) -> Column:
     """Real dates behind a birth label; the span is the date."""
     day = rf"\d{{4}}{WS}?년{WS}?\d{{1,2}}{WS}?월{WS}?\d{{1,2}}{WS}?일|\d{{4}}[-./]\d{{1,2}}[-./]\d{{1,2}}"
     pattern = rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})"
-    found = find_near(near, pattern, ("lead", "date"), needs="|".join(BIRTH_ANCHORS))
+    found = find_near(near, pattern, ("lead", "date"), least=6, needs="|".join(BIRTH_ANCHORS))
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))
     at = lambda m: m["start"] + F.length(group(m, 0))
-    return all_spans(text, F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)), pattern)
+    return all_spans(text, near, 6, F.transform(real, lambda m: span("birth_date", "BirthDateDetector", group(m, 1), at(m), m["end"], 0.9)), pattern)
 
 
 #: The default set; the order breaks ties when spans overlap.

@@ -34,7 +34,8 @@ def find(text: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
     safe = unmarked(text)
     fields = "".join(f"{FIELD}${{{g}}}" for g in groups)
     pieces = F.split(F.regexp_replace(safe, F.lit(f"(?U){pattern}"), F.lit(f"{MARK}$0{fields}{MARK}")), MARK, -1)
-    found = let(F.transform(pieces, lambda p: F.split(p, FIELD, -1)), lambda parts: _places(parts, max(len(groups), 1)))
+    taken = lambda ps: let(F.transform(ps, lambda p: F.split(p, FIELD, -1)), lambda parts: _places(parts, max(len(groups), 1)))
+    found = let(pieces, lambda ps: F.when(F.size(ps) == 3, _single(ps, groups)).otherwise(taken(ps)))
     return F.when(text.rlike(f"(?U){pattern}"), found).otherwise(F.array().cast(MATCHES))
 
 
@@ -50,6 +51,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _single(pieces: Column, groups: tuple[str, ...]) -> Column:
+    """The match out of three pieces, the most common case: nothing has to be summed for its place."""
+    start = F.length(F.get(pieces, F.lit(0)))
+    one = lambda m, gs: F.array(F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), gs.alias("groups")))
+    match = F.get(pieces, F.lit(1))
+    return let(F.split(match, FIELD, -1), lambda p: one(F.get(p, F.lit(0)), F.slice(p, 2, len(groups)))) if groups else one(match, F.array().cast("array<string>"))
+
+
 def _places(parts: Column, groups: int) -> Column:
     """Matches out of pieces, of which every second is one."""
     lengths = F.transform(parts, lambda p: F.length(F.get(p, F.lit(0))))
@@ -91,7 +100,9 @@ def cut(pieces: Column, start: Column, length: Column) -> Column:
     """``length`` code points of a text from ``start`` (from 0), out of its blocks."""
     first, last = F.floor(start / BLOCK).cast("int"), F.floor((start + length - 1) / BLOCK).cast("int")
     part = F.when(first == last, F.get(pieces, first)).otherwise(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
-    return F.when(length > 0, F.coalesce(F.substring(part, start % BLOCK + 1, length), F.lit(""))).otherwise(F.lit(""))
+    only = (F.size(pieces) == 1) & (start >= 0)
+    found = F.when(only, F.substring(F.get(pieces, F.lit(0)), start + 1, length)).otherwise(F.substring(part, start % BLOCK + 1, length))
+    return F.when(length > 0, F.coalesce(found, F.lit(""))).otherwise(F.lit(""))
 
 
 #: Windows around digits reach so far before the first and behind the last of them; stretches without a digit that are
@@ -107,7 +118,7 @@ def near_digits(text: Column, least: int = 6) -> Column:
 
     One pass over the text, which every detector of numbers can share. A match in a window is one in the text, and the
     other way round: windows hold all that patterns look at, and what lies between them holds no digit. A short text is
-    one window as it stands, and its length says how many digits it has at most.
+    one window as it stands.
     """
     safe = unmarked(text)
     parts = F.split(F.regexp_replace(safe, F.lit(f"(?U)\\D{{{GAP},}}"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
@@ -120,7 +131,7 @@ def near_digits(text: Column, least: int = 6) -> Column:
 
     lengths = lambda ps: F.transform(ps, lambda p: F.length(p))
     found = let(parts, lambda ps: let(before(lengths(ps), F.lit(0), lambda a, x: a + x), lambda starts: windows(ps, starts)))
-    whole = F.array(F.struct(F.lit(0).alias("start"), safe.alias("text"), F.length(text).alias("digits")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), safe.alias("text"), F.length(F.regexp_replace(text, r"(?U)\D+", "")).alias("digits")))
     found = F.when(F.length(text) <= SHORT, whole.cast(NEAR)).otherwise(found.cast(NEAR))
     return F.when(text.rlike(r"(?U)\d(?:\D{0,29}\d){" + str(least - 1) + "}"), found).otherwise(F.array().cast(NEAR))
 
