@@ -40,7 +40,8 @@ def counts() -> list:
 
 def evaluate(gold: DataFrame, found: DataFrame) -> DataFrame:
     """By kind, and ``__overall__``, for exact matches of (document, kind, start, end)."""
-    rolled = matched(gold, found).rollup("kind").agg(*counts(), F.grouping("kind").alias("_all"))
+    by_kind = matched(gold, found).groupBy("kind").agg(*counts())  # the whole is summed from a dozen rows
+    rolled = by_kind.rollup("kind").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.grouping("kind").alias("_all"))
     return scores(rolled.select(F.when(F.col("_all") == 1, "__overall__").otherwise(F.col("kind")).alias("kind"), "tp", "fp", "fn"))
 
 
@@ -108,8 +109,10 @@ def exposure(text: Column, rewritten: Column, start: Column, end: Column, strate
 def leak_rollup(leaked: DataFrame) -> DataFrame:
     """Spans, leaks (full and partial), their rate and mean exposure by kind and overall."""
     leak = F.col("exposed") > 0
-    rolled = leaked.rollup("kind").agg(F.count("*").alias("spans"), F.count_if(leak).alias("leaks"), F.count_if(F.col("exposed") >= 1).alias("full_leaks"), F.count_if(leak & (F.col("exposed") < 1)).alias("partial_leaks"), F.coalesce(F.avg(F.when(leak, F.col("exposed"))), F.lit(0.0)).alias("mean_exposed"), F.grouping("kind").alias("_all"))
-    return rolled.select(F.when(F.col("_all") == 1, "__overall__").otherwise(F.col("kind")).alias("kind"), "spans", "leaks", "full_leaks", "partial_leaks", "mean_exposed", ratio(F.col("leaks"), F.col("spans")).alias("leak_rate"))
+    by_kind = leaked.groupBy("kind").agg(F.count("*").alias("spans"), F.count_if(leak).alias("leaks"), F.count_if(F.col("exposed") >= 1).alias("full_leaks"), F.count_if(leak & (F.col("exposed") < 1)).alias("partial_leaks"), F.sum(F.when(leak, F.col("exposed"))).alias("_total"))
+    rolled = by_kind.rollup("kind").agg(*[F.sum(c).alias(c) for c in ("spans", "leaks", "full_leaks", "partial_leaks", "_total")], F.grouping("kind").alias("_all"))
+    mean = ratio(F.col("_total"), F.col("leaks"))
+    return rolled.select(F.when(F.col("_all") == 1, "__overall__").otherwise(F.col("kind")).alias("kind"), "spans", "leaks", "full_leaks", "partial_leaks", mean.alias("mean_exposed"), ratio(F.col("leaks"), F.col("spans")).alias("leak_rate"))
 
 
 def leak_totals(docs: DataFrame, text: str = "text", rewritten: str = "anonymized", gold: str = "labels", **options) -> DataFrame:

@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from mossveil.functions import detectors as rules
-from mossveil.functions.spans import SHORT, find
+from mossveil.functions.spans import SHORT, find, near_digits
+from mossveil.operators import evaluate as ev
 from mossveil.operators import scan
 from mossveil.plans import registry
 
@@ -32,3 +33,26 @@ def test_no_match_gives_an_empty_array(spark):
     df = spark.createDataFrame([("abc",), ("",), (None,)], "text string")
     assert [r[0] for r in df.select(F.size(find(F.col("text"), "z"))).collect()] == [0, 0, 0]
     assert re.search(rules.CUE, "고객") and not re.search(rules.CUE, "abc")
+
+
+def test_short_texts_know_their_digits(spark):
+    df = spark.createDataFrame([("사무실 02-123-4567 로 문의",), ("８００101",)], "text string")
+    assert [[w.digits for w in r[0]] for r in df.select(near_digits(F.col("text"))).collect()] == [[9], [6]]
+
+
+def test_one_match_and_several_have_their_groups(spark):
+    df = spark.createDataFrame([("😀 a1",), ("a1 b22 ",), ("none",)], "text string")
+    rows = df.select(find(F.col("text"), r"(?<w>[a-z])(?<n>\d+)", ("w", "n")).alias("m"), find(F.col("text"), r"\d+").alias("d")).collect()
+    assert [[(m.start, m.end, m.match, m.groups) for m in r.m] for r in rows] == [[(2, 4, "a1", ["a", "1"])], [(0, 2, "a1", ["a", "1"]), (3, 6, "b22", ["b", "22"])], []]
+    assert [[(m.start, m.end, m.match, m.groups) for m in r.d] for r in rows] == [[(3, 4, "1", [])], [(1, 2, "1", []), (4, 6, "22", [])], []]
+
+
+def test_the_whole_is_summed_from_kinds(spark):
+    leaked = spark.createDataFrame([("a", 0.5), ("a", 0.0), ("b", 1.0), (None, 0.25)], "kind string, exposed double")
+    done = ev.leak_rollup(leaked)
+    got = {r.kind: (r.spans, r.leaks, r.full_leaks, r.partial_leaks, r.mean_exposed, r.leak_rate) for r in done.collect()}
+    assert got["__overall__"] == (4, 3, 1, 2, 1.75 / 3, 0.75) and got["a"] == (2, 1, 0, 1, 0.5, 0.5) and got[None] == (1, 1, 0, 1, 0.25, 1.0)
+    spans = spark.createDataFrame([(1, "a", 0, 1)], "doc_id long, kind string, start int, end int")
+    for plan in (done, ev.evaluate(spans, spans)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [kind" in text[text.index("Expand"):]
