@@ -121,12 +121,18 @@ def above(spans: str, threshold: float) -> Column:
     return F.filter(spans, lambda s: s["confidence"] >= threshold)
 
 
+#: Parts that spans are dealt into, for each partition of their input (128 MB of a file at most).
+PARTS = 16
+
+
 def merge_islands(spans: DataFrame, key: str) -> DataFrame:
     """Overlap resolution of exploded spans (``key, kind, start, end, confidence, detector, ord``) by windows.
 
     The relational form of ``functions.resolve.resolve``, for spans that are rows already: islands of overlapping
-    spans by a running maximum of ends. One shuffle by the document key.
+    spans by a running maximum of ends. One shuffle by the document key, into a number of parts that follows from the
+    input's: left to itself, Spark joins small parts again, and one task then sorts all of what they hold.
     """
+    spans = spans.repartition(PARTS * spans.rdd.getNumPartitions(), key)
     order = [F.col("start"), F.col("start") - F.col("end"), -F.col("confidence"), F.col("ord")]
     before = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     marked = spans.withColumn("_end", F.max("end").over(before)).withColumn("_new", (F.col("_end").isNull() | (F.col("start") >= F.col("_end"))).cast("int"))

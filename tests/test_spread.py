@@ -56,3 +56,11 @@ def test_the_whole_is_summed_from_kinds(spark):
     for plan in (done, ev.evaluate(spans, spans)):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [kind" in text[text.index("Expand"):]
+
+
+def test_islands_are_dealt_by_the_size_of_the_input(spark, small):
+    spans = registry.made_spans(spark, small)
+    merged = scan.merge_islands(spans.repartition(3), "doc_id")
+    assert merged.rdd.getNumPartitions() == 3 * scan.PARTS
+    columns = ["doc_id", "start", "end", "kind", "confidence", "detector"]
+    assert sorted(merged.select(columns).collect()) == sorted(registry.overlap_merge(spark, small).select(columns).collect())
