@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mossveil.functions.detectors import Detector
+from mossveil.functions.spans import let
 from mossveil.operators import scan
 
 #: The thresholds of a sweep.
@@ -101,9 +102,9 @@ def exposure(text: Column, rewritten: Column, start: Column, end: Column, strate
     # Only the span's own characters are taken apart, so that a place far into a text costs one look at it.
     tail = lambda c: F.split(F.substring(c, start + head + 1, size - head), "")
     places = F.when(size > head, F.arrays_zip(tail(text).alias("a"), tail(rewritten).alias("b"))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-    same = F.size(F.filter(places, lambda x: x["a"] == x["b"]))
+    shown = let(places, lambda ps: ratio(F.size(F.filter(ps, lambda x: x["a"] == x["b"])), F.size(ps)))
     placed = F.lit(strategy == "mask") & (F.length(text) == F.length(rewritten))
-    return F.when(size < 1, 0.0).when(placed, ratio(same, F.size(places))).otherwise(F.when(F.contains(rewritten, F.substring(text, start + 1, size)), 1.0).otherwise(0.0))
+    return F.when(size < 1, 0.0).when(placed, shown).otherwise(F.when(F.contains(rewritten, F.substring(text, start + 1, size)), 1.0).otherwise(0.0))
 
 
 def leak_rollup(leaked: DataFrame) -> DataFrame:
