@@ -61,7 +61,7 @@ def of_numbers(body: Callable[[Column, Column], Column]) -> Detector:
 def all_spans(text: Column, near: Column, least: int, spans: Column, *patterns: str) -> Column:
     """Spans of windows; none for null texts too, nor where no window has ``least`` digits, nor for short texts in which
     one look finds none of the patterns."""
-    worth = F.exists(near, lambda w: w["digits"] >= least) & ((F.length(text) > SHORT) | reduce(or_, [text.rlike(f"(?U){p}") for p in patterns]))
+    worth = (F.array_max(near["digits"]) >= least) & ((F.length(text) > SHORT) | reduce(or_, [text.rlike(f"(?U){p}") for p in patterns]))
     return F.when(worth, F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))).otherwise(F.array().cast(SPANS))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mossveil.functions.detectors import RRN_WEIGHTS
-from mossveil.functions.spans import SPANS, before, blocks, cut, let
+from mossveil.functions.spans import BLOCK, SPANS, before, blocks, cut, let
 
 #: Labels of the kinds.
 LABELS = {
@@ -98,20 +98,25 @@ def previous_end(spans: Column, i: Column) -> Column:
     return F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
 
 
-def rewrite(text: Column, spans: Column, value) -> Column:
+def rewrite(text: Column, spans: Column, value, short: bool = True) -> Column:
     """The text with every span replaced by ``value(span)``; spans are disjoint and in order."""
-    return rewrite_each(text, spans, lambda s, i: value(s))
+    return rewrite_each(text, spans, lambda s, i: value(s), short)
 
 
-def rewrite_each(text: Column, spans: Column, value) -> Column:
-    """``rewrite`` by a function of a span and its number."""
+def rewrite_each(text: Column, spans: Column, value, short: bool = True) -> Column:
+    """``rewrite`` by a function of a span and its number; with ``short``, single spans have a way of their own, which
+    holds the value once more and does not pay for long ones."""
     end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
 
     def whole(pieces: Column) -> Column:
         parts = F.transform(spans, lambda s, i: F.concat(cut(pieces, previous_end(spans, i), s["start"] - previous_end(spans, i)), value(s, i)))
         return F.concat(F.array_join(parts, ""), cut(pieces, end, F.length(text) - end))
 
-    return F.when(F.size(spans) > 0, let(blocks(text), whole)).otherwise(text)
+    # One span in a text of one block, the most common case: three pieces, and nothing to loop over.
+    only = F.get(spans, F.lit(0))
+    single = F.concat(F.substring(text, F.lit(1), only["start"]), value(only, F.lit(0)), F.substring(text, only["end"] + 1, F.length(text)))
+    many = F.when(F.size(spans) > 0, let(blocks(text), whole)).otherwise(text)
+    return F.when((F.size(spans) == 1) & (F.length(text) <= BLOCK), single).otherwise(many) if short else many
 
 
 def mask(text: Column, spans: Column, char: str = "*", keep_head: int = 0) -> Column:
@@ -195,4 +200,4 @@ def pseudonym(text: Column, spans: Column, row_key: Column, salt: str | None = N
             .otherwise(F.concat(F.lit("["), label_of(s["kind"]), F.lit("]")))
         )
 
-    return rewrite(text, spans, value)
+    return rewrite(text, spans, value, short=False)

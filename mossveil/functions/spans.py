@@ -33,10 +33,10 @@ def find(text: Column, pattern: str, groups: tuple[str, ...] = ()) -> Column:
     """
     safe = unmarked(text)
     fields = "".join(f"{FIELD}${{{g}}}" for g in groups)
-    pieces = F.split(F.regexp_replace(safe, F.lit(f"(?U){pattern}"), F.lit(f"{MARK}$0{fields}{MARK}")), MARK, -1)
+    marked = F.regexp_replace(safe, F.lit(f"(?U){pattern}"), F.lit(f"{MARK}$0{fields}{MARK}"))
     taken = lambda ps: let(F.transform(ps, lambda p: F.split(p, FIELD, -1)), lambda parts: _places(parts, max(len(groups), 1)))
-    found = let(pieces, lambda ps: F.when(F.size(ps) == 3, _single(ps, groups)).otherwise(taken(ps)))
-    return F.when(text.rlike(f"(?U){pattern}"), found).otherwise(F.array().cast(MATCHES))
+    apart = lambda ps: F.when(F.size(ps) == 3, _single(ps, groups)).otherwise(taken(ps))
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(MARK)), let(F.split(m, MARK, -1), apart)).otherwise(F.array().cast(MATCHES)))
 
 
 def unmarked(text: Column) -> Column:

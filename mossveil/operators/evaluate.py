@@ -41,7 +41,12 @@ def counts() -> list:
 
 def evaluate(gold: DataFrame, found: DataFrame) -> DataFrame:
     """By kind, and ``__overall__``, for exact matches of (document, kind, start, end)."""
-    by_kind = matched(gold, found).groupBy("kind").agg(*counts())  # the whole is summed from a dozen rows
+    return by_kind(matched(gold, found))
+
+
+def by_kind(met: DataFrame) -> DataFrame:
+    """The scores of ``evaluate`` for spans of either side that have met (``matched`` or ``judged``)."""
+    by_kind = met.groupBy("kind").agg(*counts())  # the whole is summed from a dozen rows
     rolled = by_kind.rollup("kind").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.grouping("kind").alias("_all"))
     return scores(rolled.select(F.when(F.col("_all") == 1, "__overall__").otherwise(F.col("kind")).alias("kind"), "tp", "fp", "fn"))
 
@@ -49,15 +54,22 @@ def evaluate(gold: DataFrame, found: DataFrame) -> DataFrame:
 def evaluate_by_difficulty(gold: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """As ``evaluate``, by the difficulty of documents (missing: ``unknown``)."""
     level = docs.select("doc_id", F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"))
-    return scores(matched(gold, found).join(level, "doc_id").groupBy("difficulty").agg(*counts()))
+    return by_difficulty(matched(gold, found).join(level, "doc_id"))
+
+
+def by_difficulty(met: DataFrame) -> DataFrame:
+    return scores(met.groupBy("difficulty").agg(*counts()))
 
 
 def threshold_sweep(gold: DataFrame, found: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """Overall counts at each least confidence, from one scan and one join: see ``swept``."""
-    levels = sorted(float(t) for t in thresholds)
     on = ["doc_id", "kind", "start", "end"]
     surest = found.groupBy(*on).agg(F.max("confidence").alias("confidence")).withColumn("p", F.lit(True))
-    met = gold.select(*on).distinct().withColumn("g", F.lit(True)).join(surest, on, "full_outer")
+    return by_threshold(gold.select(*on).distinct().withColumn("g", F.lit(True)).join(surest, on, "full_outer"), thresholds)
+
+
+def by_threshold(met: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    levels = sorted(float(t) for t in thresholds)
     bins = met.groupBy(bin_of(levels).alias("bin")).agg(*counts(), F.count_if("g").alias("golds"))
     bins = bins.withColumn("section", F.lit("bin")).withColumn("name", F.lit(None).cast("string"))
     return scores(swept(bins, levels).select(F.col("name").cast("double").alias("threshold"), "tp", "fp", "fn"))

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from mossveil.functions import detectors as rules
 from mossveil.functions import resolve as res
-from mossveil.functions.spans import SPANS, let, near_digits
+from mossveil.functions.spans import SPANS, near_digits
 
 
 def fixed(df: DataFrame, name: str, value) -> DataFrame:
     """Add a column that is evaluated once per row.
 
-    It is generated rather than projected: a filter or another expression over it would else be merged with it, and
-    then evaluate it anew for every use and every element of an array.
+    It is projected and then generated: a filter or another expression over it would else be merged with it, and then
+    evaluate it anew for every use and every element of an array. The projection is compiled, with all its tests and
+    branches that no function of higher order holds; a generator would interpret them.
     """
-    return df.select(*[quoted(c) for c in df.columns if c != name], F.explode(let(value, lambda v: F.array(v))).alias(name))
+    kept, held = [quoted(c) for c in df.columns if c != name], unused(df, "_held")
+    return df.select(*kept, value.alias(held)).select(*kept, F.explode(F.array(F.col(held))).alias(name))
 
 
 def quoted(name: str) -> Column:
@@ -184,9 +186,11 @@ def flag_unsure(df: DataFrame, spans: str = "spans", out: str = "unsure") -> Dat
     return df.withColumn(out, F.transform(spans, lambda s: s["confidence"] < 1))
 
 
-def counts_of(spans: DataFrame, kind: str) -> DataFrame:
-    """The counts of one kind, in one row of zeros if there is none."""
-    return spans.where(F.col("kind") == kind).agg(F.count("*").alias("n"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("min_confidence")).select(F.lit(kind).alias("kind"), "n", "min_confidence")
+def counts_of(spans: DataFrame, *kinds: str) -> DataFrame:
+    """The counts of some kinds, a row each, of zeros for those that are not there; from one pass over the spans."""
+    of = lambda k: F.col("kind") == k
+    each = [F.struct(F.lit(k).alias("kind"), F.count_if(of(k)).alias("n"), F.coalesce(F.min(F.when(of(k), F.col("confidence"))), F.lit(0.0)).alias("min_confidence")) for k in kinds]
+    return spans.agg(F.array(*each).alias("_each")).select(F.inline("_each"))
 
 
 def in_order(counts: DataFrame) -> DataFrame:
