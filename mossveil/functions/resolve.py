@@ -180,23 +180,27 @@ def pseudonym(text: Column, spans: Column, row_key: Column, salt: str | None = N
         digits = lambda k, n: F.lpad(draw(k, 10**n).cast("string"), n, "0")
         letters = F.array_join(F.transform(F.sequence(F.lit(1), draw(40, 5) + 5), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(F.xxhash64(F.lit(salt), row_key, s["kind"], s["text"], i), F.lit(26)).cast("int") + 1, F.lit(1))), "")
         body = F.concat(F.lpad((draw(1, 60) + 40).cast("string"), 2, "0"), F.lpad((draw(2, 12) + 1).cast("string"), 2, "0"), F.lpad((draw(3, 28) + 1).cast("string"), 2, "0"), (draw(4, 2) + 1).cast("string"), digits(5, 5))
-        total = F.lit(0)
-        for i, w in enumerate(RRN_WEIGHTS):
-            total = total + F.substring(body, i + 1, 1).cast("int") * w
-        wrong = ((F.lit(11) - total % 11) % 10 + 1 + draw(6, 9)) % 10
-        card = F.concat(F.lit("4"), digits(7, 7), digits(8, 7))
-        luhn = F.lit(0)
-        for i in range(15):
-            d = F.substring(card, i + 1, 1).cast("int") * (2 - i % 2)
-            luhn = luhn + F.when(d > 9, d - 9).otherwise(d)
-        card = F.concat(card, ((F.lit(10) - luhn % 10 + 1 + draw(9, 9)) % 10).cast("string"))
+        at = lambda x, i: F.substring(x, i + 1, 1).cast("int")
+
+        # What digits are taken from is made once, not once for each of them.
+        def registration(made: Column) -> Column:
+            total = sum((at(made, i) * w for i, w in enumerate(RRN_WEIGHTS)), F.lit(0))
+            wrong = ((F.lit(11) - total % 11) % 10 + 1 + draw(6, 9)) % 10
+            return F.concat(F.substring(made, 1, 6), F.lit("-"), F.substring(made, 7, 6), wrong.cast("string"))
+
+        def card(made: Column) -> Column:
+            doubled = lambda twice: sum((at(made if i % 2 else twice, i) for i in range(15)), F.lit(0))
+            luhn = let(F.translate(made, "0123456789", "0246813579"), doubled)
+            whole = F.concat(made, ((F.lit(10) - luhn % 10 + 1 + draw(9, 9)) % 10).cast("string"))
+            return let(whole, lambda w: F.concat_ws("-", *[F.substring(w, 4 * i + 1, 4) for i in range(4)]))
+
         return (
             F.when(s["kind"] == "name", F.concat(pick(10, FAMILY), pick(11, GIVEN)))
             .when(s["kind"] == "phone", F.concat(F.lit("010-"), digits(12, 4), F.lit("-"), digits(13, 4)))
             .when(s["kind"] == "email", F.concat(letters, F.lit("@example.com")))
             .when(s["kind"] == "address", F.concat_ws(" ", pick(14, CITIES), pick(15, DISTRICTS), pick(16, TOWNS), F.concat((draw(17, 99) + 1).cast("string"), F.lit("-"), (draw(18, 9) + 1).cast("string"))))
-            .when(s["kind"] == "rrn", F.concat(F.substring(body, 1, 6), F.lit("-"), F.substring(body, 7, 6), wrong.cast("string")))
-            .when(s["kind"] == "card", F.concat_ws("-", *[F.substring(card, 4 * i + 1, 4) for i in range(4)]))
+            .when(s["kind"] == "rrn", let(body, registration))
+            .when(s["kind"] == "card", let(F.concat(F.lit("4"), digits(7, 7), digits(8, 7)), card))
             .otherwise(F.concat(F.lit("["), label_of(s["kind"]), F.lit("]")))
         )
 

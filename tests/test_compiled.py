@@ -37,3 +37,10 @@ def test_single_spans_are_rewritten_as_several_are(spark):
     value = lambda s: F.concat(F.lit("<"), s["text"], F.lit(">"))
     got = df.select("t", "a", "b", res.rewrite(F.col("t"), F.col("s"), value), res.rewrite(F.col("t"), F.col("s"), value, short=False)).collect()
     assert all(x == y == f"{t[:a]}<{t[a:b]}>{t[b:]}" for t, a, b, x, y in got)
+
+
+def test_pseudonyms_draw_each_part_once(spark):
+    docs = spark.createDataFrame([(1, "고객 김철수님")], "doc_id long, text string")
+    found = docs.withColumn("spans", F.array().cast(SPANS))
+    made = scan.anonymize(found, strategy="pseudonym", row_key="doc_id", salt="s")
+    assert plan_of(made).count("xxhash64") < 30
