@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
@@ -58,10 +58,11 @@ def of_numbers(body: Callable[[Column, Column], Column]) -> Detector:
     return detector
 
 
-def all_spans(text: Column, near: Column, least: int, spans: Column, *patterns: str) -> Column:
+def all_spans(text: Column, near: Column, least: int, spans: Column, *patterns: str, needs: str | None = None) -> Column:
     """Spans of windows; none for null texts too, nor where no window has ``least`` digits, nor for short texts in which
-    one look finds none of the patterns."""
-    worth = (F.array_max(near["digits"]) >= least) & ((F.length(text) > SHORT) | reduce(or_, [text.rlike(f"(?U){p}") for p in patterns]))
+    one look finds none of the patterns, or not what they ``need``."""
+    seen = reduce(or_, [text.rlike(f"(?U){p}") for p in patterns])
+    worth = (F.array_max(near["digits"]) >= least) & ((F.length(text) > SHORT) | (text.rlike(needs) & seen if needs else seen))
     return F.when(worth, F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))).otherwise(F.array().cast(SPANS))
 
 
@@ -76,10 +77,20 @@ def longest_first(words: list[str]) -> str:
 
 def any_of(words: list[str]) -> str:
     """Any of the words, the longest first; signs with which none begins are passed over at one look."""
-    single = "".join(dict.fromkeys(w for w in words if len(w) == 1))
+    single = [w for w in words if len(w) == 1]
     longer = [w for w in words if len(w) > 1]
-    options = [longest_first(longer)] * bool(longer) + [f"[{single}]"] * bool(single)
-    return f"(?=[{''.join(dict.fromkeys(w[0] for w in words))}])(?:{'|'.join(options)})"
+    options = [longest_first(longer)] * bool(longer) + [one_of(single)] * bool(single)
+    return f"(?={one_of(w[0] for w in words)})(?:{'|'.join(options)})"
+
+
+def one_of(signs: Iterable[str]) -> str:
+    """A class of signs (none of them special in one) as ranges within ranges: the matcher asks for the signs of a plain
+    class one after the other, for one of these only in the half that holds the sign."""
+    ordered = sorted(set(signs))
+    if len(ordered) <= 4:
+        return f"[{''.join(ordered)}]"
+    half = len(ordered) // 2
+    return "[" + "".join(f"[{part[0]}-{part[-1]}&&{one_of(part)}]" for part in (ordered[:half], ordered[half:])) + "]"
 
 
 def guarded(text: Column, condition: Column, spans: Column) -> Column:
@@ -193,7 +204,7 @@ def account(text: Column, near: Column) -> Column:
     pattern = r"(?<![\d-])(?:\d{2,7}(?:-\d{2,7}){1,3}|\d{10,14})(?![\d-])"
     found = find_near(near, pattern, context=15, least=10, needs="|".join(ACCOUNT_CUES))
     kept = F.filter(found, lambda m: F.length(ascii_digits(m["match"])).between(10, 14) & m["context"].rlike("|".join(ACCOUNT_CUES)))
-    return all_spans(text, near, 10, F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)), pattern)
+    return all_spans(text, near, 10, F.transform(kept, lambda m: span("account", "AccountDetector", m["match"], m["start"], m["end"], 0.6)), pattern, needs=any_of(ACCOUNT_CUES))
 
 
 @of_numbers
@@ -209,7 +220,7 @@ def business_registration(text: Column, near: Column) -> Column:
 
 #: Takes nothing, and keeps what follows, as long as the longest label word.
 AHEAD = r"(?=(?<ahead>[\s\S]{0,6}))"
-SURNAME_HEADS = "".join(dict.fromkeys(s[0] for s in SURNAMES))
+SURNAME_HEADS = one_of(s[0] for s in SURNAMES)
 #: Any word that makes a name of what stands beside it.
 CUE = any_of(ROLES + HONORIFICS + TITLES)
 TITLE_ONLY = [t for t in TITLES if t not in HONORIFICS]
@@ -218,7 +229,7 @@ TITLE_ONLY = [t for t in TITLES if t not in HONORIFICS]
 def name(text: Column, min_confidence: float = 0.0) -> Column:
     """Names by surname and cues: 0.75 with cues on both sides, 0.5 with one."""
     pattern = (
-        rf"(?<lead>(?:(?<prefix>{any_of(ROLES + TITLE_ONLY)})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL})(?=[{SURNAME_HEADS}]){AHEAD}"
+        rf"(?<lead>(?:(?<prefix>{any_of(ROLES + TITLE_ONLY)})[:\s\x1c-\x1f]{{1,2}})?)(?<!{HANGUL})(?={SURNAME_HEADS}){AHEAD}"
         rf"(?<name>{any_of(SURNAMES)}{HANGUL}(?:(?![{HONORIFIC_TAILS}]){HANGUL})?)"
         rf"(?:{WS}?(?<suffix>{any_of(HONORIFICS + TITLES)}))?"
     )
@@ -231,12 +242,12 @@ def name(text: Column, min_confidence: float = 0.0) -> Column:
     good = F.filter(found, lambda m: ~label(m) & ((prefix(m) != "") | (suffix(m) != "")) & ~(only_title(m) & ((F.length(called(m)) < 3) | department(m))))
     score = lambda m: F.when((prefix(m) != "") & (suffix(m) != ""), 0.75).otherwise(0.5)
     spans = F.transform(F.filter(good, lambda m: score(m) >= min_confidence), lambda m: span("name", "NameDetector", called(m), at(m), at(m) + F.length(called(m)), score(m)))
-    return guarded(text, hangul(text) & text.rlike(CUE), spans)
+    return guarded(text, ((F.length(text) <= SHORT) | hangul(text)) & text.rlike(CUE), spans)
 
 
 def name_candidate(text: Column) -> Column:
     """Whether a text may hold a name at all: any cue, or a surname and a syllable that begin no label word."""
-    found = find(text, f"(?=[{SURNAME_HEADS}]){AHEAD}{any_of(SURNAMES)}{HANGUL}", ("ahead",))
+    found = find(text, f"(?={SURNAME_HEADS}){AHEAD}{any_of(SURNAMES)}{HANGUL}", ("ahead",))
     loose = F.exists(found, lambda m: ~group(m, 0).rlike(f"^(?:{'|'.join(LABEL_WORDS)})"))
     return F.coalesce(text.rlike(CUE) | loose, F.lit(False))
 
@@ -245,7 +256,7 @@ def name_candidate(text: Column) -> Column:
 def birth_date(text: Column, near: Column) -> Column:
     """Real dates behind a birth label; the span is the date."""
     day = rf"\d{{4}}{WS}?년{WS}?\d{{1,2}}{WS}?월{WS}?\d{{1,2}}{WS}?일|\d{{4}}[-./]\d{{1,2}}[-./]\d{{1,2}}"
-    pattern = rf"(?<lead>(?:{'|'.join(BIRTH_ANCHORS)})[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})"
+    pattern = rf"(?<lead>{any_of(BIRTH_ANCHORS)}[:\s\x1c-\x1f]{{0,10}}(?:은|는|이|가)?{WS}{{0,5}})(?<date>{day})"
     found = find_near(near, pattern, ("lead", "date"), least=6, needs="|".join(BIRTH_ANCHORS))
     part = lambda m, k: F.translate(F.get(F.split(F.regexp_replace(group(m, 1), r"(?U)\D+", "-"), "-"), F.lit(k)), "".join(DIGITS), ASCII_DIGITS)
     real = F.filter(found, lambda m: real_date(part(m, 0), part(m, 1), part(m, 2)))

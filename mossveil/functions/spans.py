@@ -165,8 +165,8 @@ def span(kind: str, detector: str, found: Column, start: Column, end: Column, co
 
 def ascii_digits(value: Column) -> Column:
     """Only the digits of a value, in ASCII; the long table of other digits is consulted only where there are any."""
-    digits = F.regexp_replace(value, r"(?U)\D", "")
-    return F.when(F.length(digits) == F.octet_length(digits), digits).otherwise(F.translate(digits, "".join(DIGITS), ASCII_DIGITS))
+    ascii_only = lambda d: F.when(F.length(d) == F.octet_length(d), d).otherwise(F.translate(d, "".join(DIGITS), ASCII_DIGITS))
+    return let(F.regexp_replace(value, r"(?U)\D+", ""), ascii_only)
 
 
 def digit(value: Column, place: int) -> Column:
