@@ -246,3 +246,51 @@ def test_a_pair_that_recurs_in_a_document_is_one_row_of_it(spark, monkeypatch):
     pairs = made["pairs"].groupBy("doc_id", "pair").count().agg({"count": "max"}).first()[0]
     assert pairs == 1 and made["pairs"].count() <= 6 * 60
     assert {r.doc_id for r in got} == set(range(1, 6)) and all(r.start >= 20 for r in got)
+
+
+def test_every_kmer_is_looked_at(spark):
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for case in range(80):
+        passage = some(53)
+        copy = [some(1)[0] if k % 6 == 5 else w for k, w in enumerate(passage)]  # nine runs of five words, one seed each
+        rows += [(2 * case, " ".join(some(20) + passage + some(20))), (2 * case + 1, " ".join(some(30) + copy + some(20)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.src_doc_id, r.matched) for r in got) == [(2 * c + 1, 30, 83, 2 * c, 45) for c in range(80)]
+
+
+def test_chains_of_runs_are_the_chains_of_their_matches():
+    rng = np.random.default_rng(12)
+    places = lambda found: sorted(sorted(zip(x.tolist(), y.tolist())) for x, y in found)
+    for t in range(400):
+        p, q, x, y = 0, 0, [], []
+        for _ in range(int(rng.integers(2, 8))):
+            n = int(rng.integers(1, 9))
+            x, y = [*x, *range(p, p + n)], [*y, *range(q, q + n)]
+            p, q = p + n + int(rng.integers(t % 2, 90)), max(0, q + n + int(rng.integers(-20 * (t % 3 == 0), 40)))
+        both = np.unique(np.array(x) << 32 | np.array(y))
+        x, y = both >> 32, both & 0xFFFFFFFF
+        found = passages.chains_of_runs(*passages.runs(x, y))
+        assert places((passages.spread(a, n), passages.spread(b, n)) for a, b, n in found) == places((x[c], y[c]) for c in passages.chains(x, y))
+
+
+def test_parts_of_the_seeds_and_dense_stretches():
+    rng = random.Random(13)
+    words, before = passages.short_words(pa.array([" ".join(rng.choices("abcdefgh", k=n)) for n in (0, 4, 5, 9, 90, 900)] + [None]))
+    of = lambda *args: list(zip(*[c.tolist() for c in passages.seeds_of(words, before, *args)]))
+    assert sorted(sum((of(1, k, 3) for k in range(3)), [])) == sorted(of(1)) and len(of(1)) == 1 + 5 + 86 + 896
+    equal = np.random.default_rng(14).random((300, 30)) < 0.75
+    brute = [any(row[i:j].mean() >= 0.8 for i in range(31) for j in range(i + 12, 31)) for row in equal]
+    assert passages.holds_dense(equal, 12, 0.8).tolist() == brute and 30 < sum(brute) < 270
+    assert not passages.holds_dense(equal, 31, 0.8).any()
+
+
+def test_a_text_that_repeats_itself_has_one_row_of_matches_for_each_earlier_document(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(passages, "saved", lambda df, what: made.setdefault(what, df.localCheckpoint()) if what == "pairs" else df.localCheckpoint())
+    monkeypatch.setattr(passages, "discard", lambda *frames: None)
+    rows = [(d, " ".join([f"d{d}x{i}" for i in range(20)] + [f"r{i}" for i in range(7)] * 40)) for d in range(5)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(covered_words(found, d) == set(range(20, 300)) for d in range(1, 5)) and not covered_words(found, 0)
+    assert made["pairs"].where("pair IS NULL").groupBy("doc_id", "src").count().where("count > 1").isEmpty()
